@@ -1 +1 @@
-""" """
+"""Scalar expressions, all evaluated by Spark itself."""

@@ -1,4 +1,4 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import data_queries, metric_queries, prompt_queries, result_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
