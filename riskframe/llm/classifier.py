@@ -31,14 +31,20 @@ def _byte_classes() -> np.ndarray:
 
 
 _CLASSES = _byte_classes()
+#: Buckets of the patterns of equal words.
+_PATTERNS = np.arange(8) * 7919 + 101
 
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text, buckets of its words and of its runs of bytes, blanks included; with repeats."""
+    """For each text, buckets of its words, of its runs of bytes, blanks included, and of which of three words in a row are equal; with repeats."""
     words = Words(texts)
     out = []
     for t, a, b in zip(texts, words.bounds[:-1], words.bounds[1:]):
-        parts = [(words.hashes[a:b] >> np.uint64(48)).astype(np.int64)]
+        w = words.hashes[a:b]
+        parts = [(w >> np.uint64(48)).astype(np.int64)]
+        if len(w) > 2:
+            equal = w[1:] == w[:-1]
+            parts.append(_PATTERNS[equal[:-1] + 2 * equal[1:] + 4 * (w[2:] == w[:-2])])
         x = _CLASSES[np.frombuffer(t, np.uint8)]
         for n in GRAMS:
             if len(x) >= n:
@@ -68,8 +74,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dimensions: int = 8, epochs: int = 6, rate: float = 4.0, seed: int = 3, batch: int = 32) -> Model:
-    """Fits embeddings and the softmax by gradient descent. rows: distinct buckets and their shares. Without rows, or with one
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dimensions: int = 8, visits: int = 30000, rate: float = 4.0, seed: int = 3, batch: int = 32) -> Model:
+    """Fits embeddings and the softmax by gradient descent, with about so many visits to documents. rows: distinct buckets and their shares. Without rows, or with one
     label only, the model gives the smoothed share of label 1 to all texts."""
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     if not len(rows) or labels.min() == labels.max():
@@ -77,6 +83,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, dime
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1, 1, (BUCKETS, dimensions)).astype(np.float32) / dimensions
     w, b = np.zeros((2, dimensions), np.float32), np.log(np.array([1 - share, share], np.float32))
+    epochs = max(4, -(-visits // len(rows)))
     steps, done = epochs * (-(-len(rows) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
