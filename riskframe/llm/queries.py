@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import classifier, decontam, langid, licenses, mixing, ngram_join, rules, secrets, sharding, warc
 from .common import Scratch
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +64,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_decontamination, op4_sharding, op5_secret_scan, op6_warc, op7_quality, op8_quality_rules, op9_language, op10_mixing)
 }
-ORACLES: dict[str, str] = {}

@@ -99,12 +99,12 @@ def _bracketed(blocks: list[tuple], before: dict, low: int, high: int, shards: i
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, *, bins: int = 256, keep: bool = False, doc_id: str = "doc_id", text: str = "text", block_digits: int = BLOCK_DIGITS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, *, bin_digits: int = 2, keep: bool = False, doc_id: str = "doc_id", text: str = "text", block_digits: int = BLOCK_DIGITS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null: the law doesn't foresee it); a row for each row of docs.
 
     size: UTF-8 bytes plus 1; a null text counts as empty and goes with empty texts. Equal texts share a shard, even where
-    they outweigh a fair share. Slots count from 0 in each shard, in the order of a hash of the row; identical rows are
-    interchangeable. Rows are ordered within hash bins, so that no task orders a whole shard. No rows: no rows. keep: column doc has the row.
+    they outweigh a fair share. Slots count from 0 in each shard, in the order of the MD5 of id and text; identical rows are
+    interchangeable. Rows are ordered within ranges of it, 16 ** bin_digits a shard, so that no task orders a whole shard. No rows: no rows. keep: column doc has the row.
     """
     rows = _sized(docs, doc_id, text, keep)
     cuts = cut_keys(_sized(docs, doc_id, text), shards, block_digits)
@@ -112,8 +112,8 @@ def shard(docs: DataFrame, shards: int = 8, *, bins: int = 256, keep: bool = Fal
     number = F.lit(0)
     for c in cuts[:-1]:
         number = number + (F.col("key") > c).cast("int")
-    rows = rows.select(*doc, "doc_id", "size", "text_crc32", number.alias("shard"), F.xxhash64("doc_id", "key").alias("_o"))
-    rows = rows.withColumn("_b", F.pmod("_o", F.lit(bins)).cast("int"))
+    rows = rows.select(*doc, "doc_id", "size", "text_crc32", number.alias("shard"), F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "key")).alias("_o"))
+    rows = rows.withColumn("_b", F.substring("_o", 1, bin_digits))
     counts = rows.drop("doc").groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
