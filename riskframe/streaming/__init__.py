@@ -1 +1 @@
-""" """
+"""Scoring and evaluating rows as they arrive."""
