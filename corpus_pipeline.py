@@ -11,17 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import classifier, decontam, mixing, ngram_join, sharding
-from riskframe.llm.common import Scratch
+from riskframe.llm.common import Scratch, without_ids
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _named(rows: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """Rows whose doc_id is (left_semi) or isn't (left_anti) among those decided on; a null id is an id."""
-    own = decided.select(F.col("doc_id").alias("_decided")).distinct()
-    return rows.join(own, rows["doc_id"].eqNullSafe(own["_decided"]), how)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on labelled rows of the input, rejects."""
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, that of the least doc_id, of each group."""
     groups = ngram_join.ngram_join(docs)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _named(docs, gone, "left_anti")
+    return without_ids(docs, "doc_id", Scratch(spark, "near-duplicates").table(gone.select("doc_id"), "gone"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,3 +159,20 @@ def unit_hash(*parts: Column | str, seed: int) -> Column:
 def crc_fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 4; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
+
+
+#: Slots that ids are dealt into, by hash: a table of slots has no more rows than this, whatever the ids.
+SLOTS = 1 << 20
+
+
+def id_slot(column: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(column.cast("string"), F.lit(""))), F.lit(SLOTS)).cast("int")
+
+
+def without_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id isn't in ids (one column of the same name); null is an id. Rows whose slot holds none of the ids are kept where they
+    are; only the others are moved to meet the ids. The table of slots is broadcast: SLOTS bounds its size."""
+    own = ids.select(F.col(column).alias("_gone")).distinct()
+    slots = F.broadcast(own.select(id_slot(F.col("_gone")).alias("_slot")).distinct())
+    here = id_slot(rows[column]) == F.col("_slot")
+    return rows.join(slots, here, "left_anti").unionByName(rows.join(slots, here, "left_semi").join(own, rows[column].eqNullSafe(F.col("_gone")), "left_anti"))
