@@ -12,12 +12,13 @@ components that still share enough shingles are then verified. No pair of the gr
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, distinct, gram_hashes, small_batches, text_bytes
@@ -26,9 +27,11 @@ from .common import Scratch, Words, distinct, gram_hashes, small_batches, text_b
 SKETCH_BITS = 20
 _SKETCH_PARTS = 64
 #: Lowest and highest level. Sets that must share fewer shingles than a level have that many as theirs.
-LEVELS = (2, 4)
-#: The cost of verifying a pair, in postings.
-VERIFY_COST = 50
+LEVELS = (1, 4)
+#: The cost of what follows for a pair that is found, in postings.
+VERIFY_COST = 2
+#: Classes in the middle of each token's classes that all of them meet first.
+PIVOTS = 4
 #: Slots of the filter that says which texts are read again for verification: 1 bit each.
 _FILTER_BITS = 20
 
@@ -62,20 +65,20 @@ def shingle_sketch(docs: DataFrame, text: str, n: int, bits: int = SKETCH_BITS)
             sums += np.bincount(_slot(np.concatenate(found), bits), minlength=1 << bits).astype(np.uint32)
         for part, x in enumerate(sums.reshape(_SKETCH_PARTS, size)):
             if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, x in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
-                sums.setdefault(part, np.zeros(size, np.uint64))[:] += np.frombuffer(x, np.uint32)
+                sums.setdefault(part, np.zeros(size, np.uint64))[:] += np.frombuffer(zlib.decompress(x), np.uint32)
         for part, x in sums.items():
             scaled = np.minimum(255, np.round(8 * np.log2(1 + x.astype(np.float64)))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([scaled.tobytes()], pa.binary())], ["part", "counts"])
 
     rows = docs.select(text_bytes(text).alias("t")).mapInArrow(count, "part int, counts binary")
     out = np.zeros((_SKETCH_PARTS, size), np.uint8)
-    for r in rows.repartition(8, "part").mapInArrow(add, "part int, counts binary").collect():
+    for r in rows.repartition(_SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
         out[r["part"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
 
@@ -114,15 +117,15 @@ def set_features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int,
 
 
 def posted(features: DataFrame) -> DataFrame:
-    """tok, h, n, level, df, pivot: the prefix tokens that two classes or more have. level: the lowest at which the prefix holds the token;
-    df: rows with the token; pivot: one of its classes."""
+    """tok, h, n, pos, df: the prefix tokens that two classes or more have, their places in the order of the class's set, and the rows with the token."""
     rows = features.where("n > 0").select("h", "n", F.posexplode("prefix").alias("pos", "tok"))
-    shared = rows.groupBy("tok").agg(F.min("h").alias("pivot"), F.max("h").alias("_top"), F.count(F.lit(1)).alias("df")).where("pivot <> _top").select(F.col("tok").alias("_t"), "pivot", "df")
-    return rows.join(shared, F.col("tok") == F.col("_t")).groupBy("tok", "h", "n").agg(F.min("pos").alias("pos"), F.min("pivot").alias("pivot"), F.min("df").alias("df"))
+    shared = rows.groupBy("tok").agg(F.min("h").alias("_low"), F.max("h").alias("_top"), F.count(F.lit(1)).alias("df")).where("_low <> _top").select(F.col("tok").alias("_t"), "df")
+    return rows.join(shared, F.col("tok") == F.col("_t")).groupBy("tok", "h", "n").agg(F.min("pos").alias("pos"), F.min("df").alias("df"))
 
 
 def with_levels(tokens: DataFrame, percent: int, verify_cost: float = VERIFY_COST) -> DataFrame:
-    """Adds level (of the token) and chosen (of the class): the level at which postings plus verifications cost least.
+    """Adds chosen (of the class), the level at which postings plus verifications cost least, and score (of the class), the postings of its
+    tokens by its size: the class in the middle of a group of near copies, with few shingles of its own, has the highest.
 
     Postings of a level: the other rows that its tokens meet; each pair takes at least `level` of them, which bounds the pairs.
     """
@@ -139,7 +142,27 @@ def with_levels(tokens: DataFrame, percent: int, verify_cost: float = VERIFY_COS
     for x in levels:
         better = F.col(f"_c{x}").isNotNull() & (best.isNull() | (F.col(f"_c{x}") < best))
         chosen, best = F.when(better, F.lit(x)).otherwise(chosen), F.when(better, F.col(f"_c{x}")).otherwise(best)
-    return rows.withColumn("chosen", chosen).drop("_o", *[f"_c{x}" for x in levels])
+    return rows.withColumn("chosen", chosen).withColumn("score", F.sum("df").over(by) / F.col("n")).drop("_o", "level", *[f"_c{x}" for x in levels])
+
+
+def may_link(percent: int, level: Column, a: str, b: str) -> Column:
+    """Whether a shared token can be one of the first `level` that two sets share, if they are linked: sizes allow a link, and in either set
+    no more tokens follow the first `level` shared ones than the sets have to share."""
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    needed = F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.col(f"pos_{a}") < na - needed + level) & (F.col(f"pos_{b}") < nb - needed + level)
+
+
+def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), with how many tokens they share, that share enough tokens within all that is known of their prefixes. Of the set whose prefix ends first, only what
+    follows the prefix can be shared besides; both prefixes are at the highest level here, whose demand on shared tokens is the greatest."""
+    o = -F.floor(-(F.lit(percent) * F.col("n")) / 100)
+    after = (o - F.least(F.lit(LEVELS[1]), o)).cast("bigint")
+    side = lambda x: prefixes.select(F.col("h").alias(x), F.col("n").alias(f"n_{x}"), F.col("toks").alias(f"t_{x}"), after.alias(f"after_{x}"))
+    needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - 1e-9)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    counted = both.withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
+    return counted.where(F.col("shared") + F.greatest("after_a", "after_b") >= needed).select("a", "b", "shared")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
@@ -223,23 +246,28 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str =
     near = tokens.select("h").distinct()
     classes = scratch.table(features.join(near, "h", "left_semi").groupBy("h", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # Pivots: of what shares enough tokens with one, most is linked to it.
-    pivots = tokens.where("h <> pivot").groupBy(F.col("h").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("chosen").alias("chosen")).where("c >= chosen").select("a", "b")
+    prefixes = scratch.table(tokens.groupBy("h", "n").agg(F.collect_list("tok").alias("toks")), "prefixes")
+    # Pivots: each token's classes meet those in the middle. What isn't linked to them that way is found below.
+    rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("score"), "h"))
+    middle = tokens.withColumn("_r", rank).where(F.col("_r") <= PIVOTS).select("tok", F.col("h").alias("pivot"), F.col("n").alias("n_m"), F.col("pos").alias("pos_m"), "_r")
+    mine = tokens.select("tok", "h", F.col("n").alias("n_h"), F.col("pos").alias("pos_h")).join(middle, "tok")
+    pivots = mine.where((F.col("h") != F.col("pivot")) & may_link(percent, F.lit(1), "h", "m")).select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
+    # One pivot for each class, that with the most shared tokens, will do: one link puts it into the component.
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    pivots = promising(pivots, prefixes, percent).withColumn("_r", nearest).where("_r = 1").select("a", "b")
     links = scratch.table(verified(docs, scratch.table(pivots, "pivots"), classes, doc_id, text, n, percent), "pivot-links")
     comps = scratch.table(components(spark, classes.select("h"), links, scratch), "pivot-components")
 
-    # All other pairs: in different components, with enough shared tokens within both prefixes, and sizes that allow a link.
-    mine = tokens.join(comps, "h")
-    mixed_up = mine.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("tok")
-    mine = mine.join(mixed_up, "tok", "left_semi").select("tok", "h", "n", "level", "chosen", "pos", "comp")
-    left = mine.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("h", "n", "level", "chosen", "pos", "comp")])
-    right = mine.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("h", "n", "level", "chosen", "pos", "comp")])
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    # All other pairs: those of a token's classes that are outside its pivot's component, with all of other components.
+    placed = scratch.table(tokens.select("tok", "h", "n", "pos", "chosen").join(comps, "h"), "placed")
+    mains = middle.where("_r = 1").select("tok", F.col("pivot").alias("h")).join(comps, "h").select("tok", F.col("comp").alias("main"))
+    left = placed.join(mains, "tok").where("comp <> main").select("tok", "main", *[F.col(c).alias(f"{c}_a") for c in ("h", "n", "pos", "chosen", "comp")])
+    right = placed.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("h", "n", "pos", "chosen", "comp")])
     use = F.least("chosen_a", "chosen_b")
-    # What the two can share at most from this token on, it included, and what they could before it.
-    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b")
-    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("h_a") < F.col("h_b")) & (100 * small >= percent * large) & (F.greatest("level_a", "level_b") <= use) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
-    pairs = left.join(right, "tok").where(fits).groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(use).alias("need")).where("c >= need").select("a", "b")
+    once = (F.col("comp_b") == F.col("main")) | (F.col("h_a") < F.col("h_b"))
+    joined = left.join(right, (left["tok"] == right["tok"]) & (F.col("comp_a") != F.col("comp_b")) & once & may_link(percent, use, "a", "b"))
+    pairs = joined.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(use).alias("need")).where("c >= need").select("a", "b")
+    pairs = promising(pairs, prefixes, percent).select("a", "b")
     more = scratch.table(verified(docs, scratch.table(pairs, "pairs"), classes, doc_id, text, n, percent), "links")
     comps = components(spark, classes.select("h"), links.unionByName(more), scratch)
 
