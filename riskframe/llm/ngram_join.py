@@ -242,9 +242,11 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str =
     scratch = Scratch(spark, "ngram-join")
     features = scratch.table(set_features(docs, doc_id, text, n, percent, shingle_sketch(docs, text, n)), "features")
     tokens = scratch.table(with_levels(posted(features), percent), "tokens")
+    ids = scratch.table(features.select("doc_id", "n", "h"), "ids")
+    scratch.drop(features)
     # Classes that share a prefix token with another; all others are alone.
     near = tokens.select("h").distinct()
-    classes = scratch.table(features.join(near, "h", "left_semi").groupBy("h", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.table(ids.join(near, "h", "left_semi").groupBy("h", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     prefixes = scratch.table(tokens.groupBy("h", "n").agg(F.collect_list("tok").alias("toks")), "prefixes")
     # Pivots: each token's classes meet those in the middle. What isn't linked to them that way is found below.
@@ -271,7 +273,8 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str =
     more = scratch.table(verified(docs, scratch.table(pairs, "pairs"), classes, doc_id, text, n, percent), "links")
     comps = components(spark, classes.select("h"), links.unionByName(more), scratch)
 
-    rows = features.select("doc_id", "n", "h").join(scratch.table(comps, "components"), "h", "left")
+    rows = ids.join(scratch.table(comps, "components"), "h", "left")
+    scratch.drop(tokens, placed, prefixes)
     # Equal sets are linked; sets without a shared token still have their copies.
     rows = rows.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "h")))
     names = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
