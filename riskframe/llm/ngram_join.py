@@ -268,7 +268,8 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str =
     use = F.least("chosen_a", "chosen_b")
     once = (F.col("comp_b") == F.col("main")) | (F.col("h_a") < F.col("h_b"))
     joined = left.join(right, (left["tok"] == right["tok"]) & (F.col("comp_a") != F.col("comp_b")) & once & may_link(percent, use, "a", "b"))
-    pairs = joined.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(use).alias("need")).where("c >= need").select("a", "b")
+    # A token has a pair in either order, by the component its pivot lies in; all tokens of a pair count together.
+    pairs = joined.groupBy(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(use).alias("need")).where("c >= need").select("a", "b")
     pairs = promising(pairs, prefixes, percent).select("a", "b")
     more = scratch.table(verified(docs, scratch.table(pairs, "pairs"), classes, doc_id, text, n, percent), "links")
     comps = components(spark, classes.select("h"), links.unionByName(more), scratch)

@@ -77,6 +77,36 @@ def test_ngram_join_finds_all_links(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute.components(rows)
 
 
+def drifting_groups(seed: int, groups: int = 240) -> list[list[tuple]]:
+    """Groups of near copies that drift from several members at once, so that links near the threshold join what the pivots leave apart. Groups share no words."""
+    rng = random.Random(seed)
+    out, k = [], 0
+    for g in range(groups):
+        size = rng.choice([14, 20, 30, 45])
+        members = [[f"g{g}w{i}" for i in range(size)]]
+        for _ in range(rng.choice([8, 16, 28])):
+            text = list(rng.choice(members[-4:]))
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                at = rng.randrange(len(text))
+                text[at : at + rng.choice([0, 1, 1])] = [f"g{g}x{rng.randrange(40)}"]
+            members.append(text)
+        rng.shuffle(members)
+        out.append([(k + i, " ".join(x)) for i, x in enumerate(members)])
+        k += len(members)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_ngram_join_links_drifting_groups(spark, n):
+    """A pair's shared tokens count together, whichever component the pivot of each lies in."""
+    groups = drifting_groups(n)
+    want = {}
+    for rows in groups:
+        want |= {d: c for d, (_, c) in brute.components(rows, n=n).items()}
+    found = ngram_join.ngram_join(spark.createDataFrame([r for rows in groups for r in rows], "doc_id long, text string"), n=n)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+
+
 def test_ngram_join_levels_do_not_change_links(spark, monkeypatch):
     rows = near_copies()
     for levels in ((1, 1), (1, 3), (3, 6)):
