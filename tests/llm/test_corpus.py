@@ -77,12 +77,12 @@ def test_ngram_join_finds_all_links(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute.components(rows)
 
 
-def drifting_groups(seed: int, groups: int = 240) -> list[list[tuple]]:
+def drifting_groups(seed: int, groups: int = 240, sizes: tuple = (14, 20, 30, 45)) -> list[list[tuple]]:
     """Groups of near copies that drift from several members at once, so that links near the threshold join what the pivots leave apart. Groups share no words."""
     rng = random.Random(seed)
     out, k = [], 0
     for g in range(groups):
-        size = rng.choice([14, 20, 30, 45])
+        size = rng.choice(sizes)
         members = [[f"g{g}w{i}" for i in range(size)]]
         for _ in range(rng.choice([8, 16, 28])):
             text = list(rng.choice(members[-4:]))

@@ -8,6 +8,7 @@ import corpus_pipeline
 from riskframe.llm import classifier, mixing
 
 from . import brute
+from .test_corpus import drifting_groups
 
 
 def test_pipeline(spark, sf):
@@ -34,6 +35,14 @@ def test_pipeline(spark, sf):
     assert max(by_shard.values()) == brute.least_capacity([sizes[k] for k in sorted(sizes)], 8)
 
 
+def test_one_of_each_drifting_group_stays(spark, sf):
+    """No link between parts of a group that the pivots left apart is lost, so no group keeps two documents."""
+    groups = drifting_groups(5, sizes=(60, 90, 120, 150))
+    want = sorted(d for rows in groups for d, (_, c) in brute.components(rows).items() if d == c)
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([r for rows in groups for r in rows], "doc_id long, text string"), sf)
+    assert sorted(r["doc_id"] for r in out.collect()) == want
+
+
 def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "source_mix", "shards"]
