@@ -1,4 +1,4 @@
-"""License scans: lines and whole texts against licence templates, by the Dice coefficient of their word bigrams.
+"""License scans: lines, whole texts and windows of words against licence templates, by the Dice coefficient of their word bigrams.
 
 Dice is twice the shared bigrams by the sum of both counts, over distinct bigrams. A template can only reach the
 threshold t on a text of b bigrams if its own count lies between b * t / (2 - t) and b * (2 - t) / t: others are
@@ -27,6 +27,34 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS{} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_CC = "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution{} 4.0 International Public License"
+#: Whole sentences, headers and texts, for windows. The SQL has only TEMPLATES. Licences of thousands of words are here by a title or sentence of their own.
+TEXTS = {
+    "MIT": [_MIT, f"{_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_WARRANTY.format(' OR COPYRIGHT HOLDERS')}"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."],
+    "GPL-3.0": [(_GNU + _GNU_REST).format("General Public License", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0": [(_GNU + _GNU_REST).format("General Public License", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."],
+    "LGPL-3.0": [_GNU.format("Lesser General Public License", 3), (_GNU + _GNU_REST).format("Lesser General Public License", 3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."],
+    "AGPL-3.0": [_GNU.format("Affero General Public License", 3), (_GNU + _GNU_REST).format("Affero General Public License", 3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."],
+    "BSD-2-Clause": [_BSD.format("")],
+    "BSD-3-Clause": [_BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")],
+    "ISC": [_ISC, _ISC + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "Unlicense": [_UNLICENSE],
+    "CC-BY-4.0": [_CC.format("")],
+    "CC-BY-SA-4.0": [_CC.format("-ShareAlike")],
+    "CC-BY-NC-4.0": [_CC.format("-NonCommercial")],
+    "CC0-1.0": ["The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\")."],
+}
+#: Lengths of windows, by that of the template.
+WINDOWS = (0.7, 0.8, 0.9, 1.0, 1.1, 1.25, 1.45)
 THRESHOLD = 0.8
 
 
@@ -48,11 +76,56 @@ def template_bigrams(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[
     return out
 
 
-def license_hits(docs: DataFrame, *, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def window_templates(templates: dict[str, list[str]], texts: dict[str, list[str]]) -> list[tuple[str, int, list[str], list[int]]]:
+    """(licence, number of the notice, its distinct bigrams, the lengths of its windows in bigrams); texts are numbered after the licence's templates."""
+    short, full = template_bigrams(templates), template_bigrams(texts)
+    return [(name, k, g, sorted({max(1, round(len(g) * r)) for r in WINDOWS})) for name, k, g in [*short, *[(name, k + len(templates.get(name, [])), g) for name, k, g in full]]]
+
+
+def window_hits(rows: DataFrame, threshold: float, grams: list[tuple[str, int, list[str], list[int]]]) -> DataFrame:
+    """Replaces _w (words of the whole text) and _s (its distinct bigrams that any template has) by _v, array<struct<rank, start, end, license, notice, dice>>:
+    of each template's windows that reach the threshold those that no better one overlaps, best first. Best is the most shared bigrams times Dice.
+
+    A window begins at one of the template's bigrams; the one before it that has none would only lower Dice. Only a text that
+    shares m * t / (2 - t) of a template's m bigrams can hold a window of it.
+    """
+    known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(k).alias("notice"), F.array(*map(F.lit, g)).alias("g"), F.array(*map(F.lit, sizes)).alias("sizes")) for name, k, g, sizes in grams])
+    low = threshold / (2 - threshold)
+    least = min(len(g) for _, _, g, _ in grams) * low
+    here = F.when(F.size("_s") >= least, F.filter(known, lambda t: F.size(F.array_intersect("_s", t["g"])) >= F.size(t["g"]) * low))
+    others = [c for c in rows.columns if c not in ("_w", "_s")]
+    rows = rows.select(*others, "_w", here.alias("_h"))
+    # A column of its own: an expression would be made anew for each window.
+    bigrams = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1)))
+    rows = rows.select(*others, "_h", F.when(F.size("_h") > 0, bigrams).alias("_b"))
+
+    def found(t: Column) -> Column:
+        def dice(n: Column) -> Column:
+            return 2.0 * n["both"] / (n["size"] + F.size(t["g"]))
+
+        def measured(i: Column, size: Column) -> Column:
+            unit = F.array(F.array_distinct(F.slice("_b", i + 1, size)))
+            counts = F.transform(unit, lambda u: F.struct(i.alias("start"), (i + size).alias("end"), F.size(u).alias("size"), F.size(F.array_intersect(u, t["g"])).alias("both")))
+            return F.get(counts, F.lit(0))
+
+        starts = F.filter(F.transform("_b", lambda b, i: F.when(F.array_contains(t["g"], b), i)), lambda i: i.isNotNull())
+        counts = F.flatten(F.transform(starts, lambda i: F.filter(F.transform(t["sizes"], lambda size: measured(i, size)), lambda n: dice(n) >= threshold)))
+        return F.transform(counts, lambda n: F.struct((-n["both"] * dice(n)).alias("rank"), n["start"].alias("start"), n["end"].alias("end"), t["license"].alias("license"), t["notice"].alias("notice"), dice(n).alias("dice")))
+
+    rows = rows.select(*others, F.array_sort(F.flatten(F.transform("_h", found))).alias("_v"))
+    empty = F.array().cast("array<struct<rank: double, start: int, end: int, license: string, notice: int, dice: double>>")
+    apart = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] <= y["end"]) & (y["start"] <= x["end"]))
+    best = F.aggregate("_v", empty, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return rows.select(*others, F.when(F.size("_v") > 0, best).alias("_v"))
+
+
+def license_hits(docs: DataFrame, *, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, texts: dict[str, list[str]] = TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and hits, array<struct<line, license, notice, dice>>; a row for each row of docs.
 
     Compared are each line (from 0), each sentence of a line, and the whole text (line -1); a hit is the best template that a
     line or one of its sentences reaches. Null and empty texts have no hits; nor have units of one word.
+    Windows of words, wherever lines end, are compared with the templates and with whole texts; a hit of a window is put on its first line. It's
+    left out where it overlaps a line (or the whole text) that is a hit of the same licence, or one as high.
     A unit's bigrams are bigrams of its text, so texts that hold fewer of any template's than a hit needs are done with.
     """
     grams = template_bigrams(templates)
@@ -61,22 +134,29 @@ def license_hits(docs: DataFrame, *, threshold: float = THRESHOLD, templates: di
     least, most = int(min(sizes) * low), int(max(sizes) * high) + 1
     need = max(1, int(threshold * min(sizes) * (1 + low) / 2))
     known = sorted({x for _, _, g in grams for x in g})
+    wide = window_templates(templates, texts)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("_t"), F.split(normalised(t), " +").alias("_w"))
-    shared = F.filter(F.transform("_w", lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1))), lambda g: g.isin(known))
-    rows = rows.select("doc_id", F.when(F.size(shared) >= need, F.col("_t")).alias("_t"))
+    shared = F.filter(F.transform("_w", lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1))), lambda g: g.isin(sorted({x for _, _, g, _ in wide for x in g})))
+    rows = rows.select("doc_id", "_t", "_w", shared.alias("_s"))
+    rows = rows.select("doc_id", F.when(F.size(F.filter("_s", lambda g: g.isin(known))) >= need, F.col("_t")).alias("_t"), F.col("_t").alias("_all"), "_w", F.array_distinct("_s").alias("_s"))
+    rows = window_hits(rows, threshold, wide)
+    # The line of each word.
+    places = F.flatten(F.transform(F.split("_all", "\n"), lambda x, i: F.array_repeat(i, F.when(normalised(x) == "", 0).otherwise(F.size(F.split(normalised(x), " +"))))))
+    rows = rows.select("doc_id", "_t", "_v", F.when(F.size("_v") > 0, places).alias("_l"))
+    rows = rows.select("doc_id", "_t", F.transform("_v", lambda v: F.struct(F.get("_l", v["start"]).alias("line"), F.coalesce(F.get("_l", v["end"]), F.get("_l", F.size("_l") - 1)).alias("last"), v["license"].alias("license"), v["notice"].alias("notice"), v["dice"].alias("dice"))).alias("_v"))
     lines = F.split("_t", "\n")
     unit = lambda line, x: F.struct(line.alias("line"), x.alias("x"))
     each = F.flatten(F.transform(lines, lambda x, i: F.transform(F.array_distinct(F.concat(F.array(x), F.split(x, "(?<=[.!?]) +"))), lambda y: unit(i, y))))
     # Words are a character and a blank at least: shorter units go before they are normalised.
     units = F.filter(F.concat(F.array(unit(F.lit(-1), F.col("_t"))), each), lambda u: F.length(u["x"]) > 2 * least)
-    rows = rows.select("doc_id", F.transform(units, lambda u: F.struct(u["line"].alias("line"), F.split(normalised(u["x"]), " +").alias("w"))).alias("_u"))
-    rows = rows.select("doc_id", F.filter("_u", lambda u: F.size(u["w"]) > 1).alias("_u"))
+    rows = rows.select("doc_id", "_v", F.transform(units, lambda u: F.struct(u["line"].alias("line"), F.split(normalised(u["x"]), " +").alias("w"))).alias("_u"))
+    rows = rows.select("doc_id", "_v", F.filter("_u", lambda u: F.size(u["w"]) > 1).alias("_u"))
     bigrams = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
-    rows = rows.select("doc_id", F.transform("_u", lambda u: F.struct(u["line"].alias("line"), bigrams(u["w"]).alias("g"))).alias("_g"))
+    rows = rows.select("doc_id", "_v", F.transform("_u", lambda u: F.struct(u["line"].alias("line"), bigrams(u["w"]).alias("g"))).alias("_g"))
     # With the size of a unit and the bigrams that any template has; size bounds say which templates are compared.
-    rows = rows.select("doc_id", F.transform(F.filter("_g", lambda u: F.size(u["g"]).between(least, most)), lambda u: F.struct(u["line"].alias("line"), F.size(u["g"]).alias("n"), F.filter(u["g"], lambda g: g.isin(known)).alias("g"))).alias("_g"))
-    rows = rows.select("doc_id", F.filter("_g", lambda u: F.size(u["g"]) >= need).alias("_g"))
+    rows = rows.select("doc_id", "_v", F.transform(F.filter("_g", lambda u: F.size(u["g"]).between(least, most)), lambda u: F.struct(u["line"].alias("line"), F.size(u["g"]).alias("n"), F.filter(u["g"], lambda g: g.isin(known)).alias("g"))).alias("_g"))
+    rows = rows.select("doc_id", "_v", F.filter("_g", lambda u: F.size(u["g"]) >= need).alias("_g"))
 
     def compared(u: Column) -> Column:
         tried = []
@@ -86,14 +166,19 @@ def license_hits(docs: DataFrame, *, threshold: float = THRESHOLD, templates: di
             tried.append(F.when(fits, F.struct(u["line"].alias("line"), F.lit(name).alias("license"), F.lit(k).alias("notice"), dice.alias("dice"))))
         return F.filter(F.array(*tried), lambda x: x["dice"] >= threshold)
 
-    rows = rows.select("doc_id", F.flatten(F.transform("_g", compared)).alias("_h"))
+    rows = rows.select("doc_id", "_v", F.flatten(F.transform("_g", compared)).alias("_h"))
     # Of the hits in a line the highest; ties go to the first template.
     lone = F.filter("_h", lambda a, i: ~F.exists(F.transform("_h", lambda b, j: (a["line"] == b["line"]) & ((b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (j < i)))), lambda x: x))
-    return rows.select("doc_id", F.coalesce(lone, F.array().cast("array<struct<line: int, license: string, notice: int, dice: double>>")).alias("hits"))
+    none = F.array().cast("array<struct<line: int, license: string, notice: int, dice: double>>")
+    rows = rows.select("doc_id", "_v", F.coalesce(lone, none).alias("hits"))
+    covered = lambda v, h: ((h["line"] == -1) | h["line"].between(v["line"], v["last"])) & ((h["license"] == v["license"]) | (h["dice"] >= v["dice"]))
+    more = F.filter("_v", lambda v: ~F.exists("hits", lambda h: covered(v, h)))
+    more = F.transform(more, lambda v: F.struct(v["line"].alias("line"), v["license"].alias("license"), v["notice"].alias("notice"), v["dice"].alias("dice")))
+    return rows.select("doc_id", F.concat("hits", F.coalesce(more, none)).alias("hits"))
 
 
 def licenses(docs: DataFrame, *, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_hits (lines, and the whole text where it is a hit), license and dice of the best hit (ties: first by name; null where none), licenses
+    """doc_id, n_hits (lines, windows, and the whole text where it is a hit), license and dice of the best hit (ties: first by name; null where none), licenses
     (names of all hits, sorted, comma-joined); a row for each row of docs."""
     rows = license_hits(docs, threshold=threshold, doc_id=doc_id, text=text)
     best = F.element_at(F.array_sort(F.transform("hits", lambda h: F.struct((-h["dice"]).alias("d"), h["license"].alias("l")))), 1)

@@ -133,6 +133,25 @@ def test_licenses(spark, odd, none):
     assert licenses.licenses(odd).count() == len(ODD) and licenses.licenses(none).count() == 0
 
 
+def test_licenses_in_wrapped_notices_and_whole_texts(spark, sf):
+    """Notices wrapped over lines of a longer document, behind comment signs, and whole texts in one line or many."""
+    import textwrap
+
+    prose = "The river ran past seven mills before it met the sea.\nNobody counted them again after the flood."
+    cases = []
+    for name, notices in [*licenses.TEXTS.items(), *licenses.TEMPLATES.items()]:
+        for notice in notices:
+            for width, sign in ((70, ""), (76, "# "), (79, " * "), (10**6, "")):
+                wrapped = "\n".join(sign + x for x in textwrap.wrap(notice, width))
+                cases.append((name, f"{prose}\n{wrapped}\n\n{prose} {prose}"))
+    cases += [(None, prose), (None, "the software is provided to the following persons, subject to the conditions of the licence")]
+    rows = licenses.licenses(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(cases)], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["license"] for r in rows}
+    assert [(i, name, got[i]) for i, (name, _) in enumerate(cases) if got[i] != name] == []
+    hits = licenses.license_hits(spark.createDataFrame([(1, cases[0][1])], "doc_id long, text string")).first()["hits"]
+    assert [(h["line"], h["license"]) for h in hits] == [(2, "MIT")]
+
+
 def test_license_size_bounds_lose_no_hit():
     """Dice can't reach the threshold outside the bounds."""
     for b in range(1, 60):
