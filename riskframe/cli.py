@@ -11,7 +11,7 @@ from .plans.benchmark import DEFAULT, Benchmark, Config, FewShot
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--model", required=True, help="module:attribute that makes the backend, or 'hash'")
+    p.add_argument("--model", required=True, help="module:attribute that makes the backend or is a Model, 'hash', or transformers:NAME, vllm:NAME or web:NAME")
     p.add_argument("--results-dir", required=True)
     p.add_argument("--data", required=True, help="Parquet table with row_id, the task's features and its target")
     p.add_argument("--task", default="ACSIncome")
@@ -36,6 +36,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--system-prompt", default=DEFAULT)
     p.add_argument("--use-feature-subset", type=lambda x: tuple(x.split(",")))
     p.add_argument("--use-population-filter", default="", help="column=value pairs, parted by commas")
+    p.add_argument("--task-population", action="store_true", help="only rows that the task is about")
+    p.add_argument("--feature-importance", action="store_true", help="permutation importance in place of the benchmark's metrics")
+    p.add_argument("--importance-repeats", type=int, default=5)
     return p
 
 
@@ -69,23 +72,32 @@ def config(a: argparse.Namespace) -> Config:
     )
 
 
-def backend(name: str):
+def backend(name: str, text: bool = False):
+    """text: whether answers are texts, as of reasoning, and not tokens."""
     from .operators.inference import HashBackend
 
     if name == "hash":
         return HashBackend
     module, _, attribute = name.partition(":")
+    if module in ("transformers", "vllm", "web"):
+        from .sources.models import open_model
+
+        return open_model(module, attribute, text=text)
     return getattr(importlib.import_module(module), attribute)
 
 
 def main(argv: list[str] | None = None) -> dict:
     from .session import session
-    from .sources.census import LOW, TASKS
+    from .sources.census import LOW, POPULATIONS, TASKS
 
     a = parser().parse_args(argv)
     task = TASKS[a.task]
     low = {k: v for k, v in LOW.items() if k in task.features}
-    b = Benchmark(task, session().read.parquet(a.data), backend(a.model), config(a), a.model.replace(":", "."), low)
+    b = Benchmark(task, session().read.parquet(a.data), backend(a.model, a.cot_prompting or a.enable_thinking), config(a), a.model.replace(":", "."), low, population=POPULATIONS[a.task] if a.task_population else None)
+    if a.feature_importance:
+        found = b.importance(a.results_dir, repeats=a.importance_repeats, subsampling=a.subsampling)
+        print(json.dumps(found))
+        return {"importance": found}
     record = b.run(a.results_dir, fit_threshold=a.fit_threshold, subsampling=a.subsampling)
     print(json.dumps(record, default=str))
     return record

@@ -22,7 +22,8 @@ def safe_division(a: Column, b: Column, worst: float) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Null and NaN are no scores: both give null."""
+    return F.when(valid(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def round_half_up(x: Column) -> Column:
@@ -48,6 +49,11 @@ def hash_int(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
+def hash_long(key: Column) -> Column:
+    """The first 60 bits of a hash_key."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """A multiple of 1/10000 in [0, 1)."""
     return (hash_int(hash_key(*parts)) % 10000) / 10000.0

@@ -41,10 +41,11 @@ def split(df: DataFrame, *, test: float, val: float = 0.0, seed: int = 42, row_i
     return out if val > 0 else out.where("split <> 'val'")
 
 
-def subsample(df: DataFrame, share: float) -> DataFrame:
-    """The first int(size * share + 0.5) rows of each split."""
+def subsample(df: DataFrame, share: float, *, seed: int = 42, row_id: str = "row_id") -> DataFrame:
+    """The first int(size * share + 0.5) rows of each split, in the split's own order. Rows are ranked anew, so that a filter after the split doesn't change the share."""
     sizes = df.groupBy("split").agg(F.floor(F.count(F.lit(1)) * F.lit(share) + 0.5).alias("_k"))
-    return df.join(sizes, "split").where("split_rank <= _k").drop("_k")
+    ranked = with_position(df.drop("split_rank"), "split_rank", hash_key(row_id, seed), row_id, by=("split",))
+    return ranked.join(sizes, "split").where("split_rank <= _k").drop("_k").select(*df.columns)
 
 
 def sample(df: DataFrame, n: int, *, seed: int = 42, draw: int = 0, row_id: str = "row_id") -> DataFrame:

@@ -1,13 +1,18 @@
-"""Metrics of scores: counts in one pass, curves from one row a distinct score. Scores lie between 0 and 1, labels are 0 or 1."""
+"""Metrics of scores: counts in one pass, curves from one row a distinct score. Scores lie between 0 and 1, labels are 0 or 1.
+
+A row without a score (null or NaN) counts in no metric; evaluate() says how many there are.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import safe_division
+from ..functions.numbers import hash_key, hash_long, safe_division, valid
 from .positions import percentiles, running
 
 EPSILON = 2.220446049250313e-16
@@ -15,6 +20,10 @@ EPSILON = 2.220446049250313e-16
 RATES = ("accuracy", "tpr", "fnr", "fpr", "tnr", "balanced_accuracy", "precision", "ppr")
 
 
+def with_scores(df: DataFrame, score: str) -> DataFrame:
+    return df.where(valid(F.col(score)))
+
+
 def binarised(score: Column, threshold: Column | float) -> Column:
     return (score >= threshold).cast("int")
 
@@ -41,7 +50,7 @@ def rates() -> dict[str, Column]:
 
 def confusion(df: DataFrame, threshold: float | Column = 0.5, *, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     predicted = binarised(F.col(score), F.lit(threshold) if isinstance(threshold, (int, float)) else threshold)
-    grouped = df.groupBy(*by).agg(*counts(F.col(label), predicted))
+    grouped = with_scores(df, score).groupBy(*by).agg(*counts(F.col(label), predicted))
     return grouped.select("*", *[c.alias(n) for n, c in rates().items()])
 
 
@@ -56,17 +65,17 @@ def brier(score: Column, label: Column) -> Column:
 
 def losses(df: DataFrame, *, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     s, y = F.col(score), F.col(label)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(y).alias("n_positives"), F.sum(1 - y).alias("n_negatives"), log_loss(s, y).alias("log_loss"), brier(s, y).alias("brier_score"))
+    return with_scores(df, score).groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(y).alias("n_positives"), F.sum(1 - y).alias("n_negatives"), log_loss(s, y).alias("log_loss"), brier(s, y).alias("brier_score"))
 
 
 def distinct_scores(df: DataFrame, *, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
-    return df.groupBy(*by, score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    return with_scores(df, score).groupBy(*by, score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
 
 
 def roc(df: DataFrame, *, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """threshold, tp, fp, p, n, tpr, fpr for each distinct score, from the highest; without the point that predicts none."""
     points = running(distinct_scores(df, score=score, label=label, by=by), score, {"tp": "pos", "fp": "neg"}, by)
-    totals = df.groupBy(*by).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    totals = with_scores(df, score).groupBy(*by).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
     points = points.join(totals, list(by)) if by else points.crossJoin(totals)
     return points.select(*by, F.col(score).alias("threshold"), "pos", "neg", "tp", "fp", "p", "n", safe_division(F.col("tp"), F.col("p"), 0).alias("tpr"), safe_division(F.col("fp"), F.col("n"), 1).alias("fpr"))
 
@@ -105,7 +114,7 @@ def equal_width(x: Column, bins: int) -> Column:
 
 def _xy(df: DataFrame, score: str, label: str, positive: bool) -> DataFrame:
     x, y = (F.col(score), F.col(label)) if positive else _confidence(F.col(score), F.col(label))
-    return df.select("*", x.alias("x"), y.alias("y"))
+    return with_scores(df, score).select("*", x.alias("x"), y.alias("y"))
 
 
 def ece(df: DataFrame, bins: int = 10, *, positive: bool = False, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
@@ -126,7 +135,7 @@ def ece_quantile(df: DataFrame, bins: int = 10, *, positive: bool = False, score
 
 def calibration_curve(df: DataFrame, bins: int = 5, *, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = (), min_share: float = 0.0) -> DataFrame:
     """bin, mean_score, share_positive, n; bins by quantiles of all rows. Groups below the share of rows go."""
-    binned = quantile_bins(df, score, bins)
+    binned = quantile_bins(with_scores(df, score), score, bins)
     out = binned.groupBy(*by, "bin").agg(F.avg(score).alias("mean_score"), F.avg(label).alias("share_positive"), F.count(F.lit(1)).alias("n"))
     if by and min_share:
         w = Window.partitionBy(*by)
@@ -136,7 +145,7 @@ def calibration_curve(df: DataFrame, bins: int = 5, *, score: str = "risk_score"
 
 def histogram(df: DataFrame, bins: int = 20, *, score: str = "risk_score", by: tuple[str, ...] = ()) -> DataFrame:
     """bin, n and percent (of the group); empty bins don't show."""
-    out = df.groupBy(*by, equal_width(F.col(score), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    out = with_scores(df, score).groupBy(*by, equal_width(F.col(score), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return out.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
@@ -174,72 +183,143 @@ def evaluate(df: DataFrame, *, threshold: float | str = 0.5, group: str | None =
     """One row with all metrics. threshold: a number, or 'best' for that of least cost."""
     if threshold == "best":
         threshold = best_threshold(df, score=score, label=label).first()["threshold"]
-    parts = [losses(df, score=score, label=label), confusion(df, threshold, score=score, label=label), roc_auc(df, score=score, label=label), ece(df, score=score, label=label), ece_quantile(df, score=score, label=label)]
+    unscored = df.agg(F.count_if(~valid(F.col(score))).alias("n_unscored"))
+    parts = [unscored, losses(df, score=score, label=label), confusion(df, threshold, score=score, label=label), roc_auc(df, score=score, label=label), ece(df, score=score, label=label), ece_quantile(df, score=score, label=label)]
     if group:
         parts.append(fairness(df, group, threshold, score=score, label=label))
     return reduce(lambda a, b: a.crossJoin(b), parts).withColumn("threshold", F.lit(float(threshold)))
 
 
 def bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
-    """metric, mean, std (of the sample), low and high (percentiles): over k resamples of n rows, drawn with replacement by hashes."""
-    from ..functions.numbers import hash_int, hash_key
+    """metric, mean, std (of the sample), low and high (percentiles): over k resamples of n rows, drawn with replacement by hashes. Exact, but n * k draws are joined to
+    the rows: for small tables. Larger ones have poisson_bootstrap()."""
     from .positions import with_position
 
-    placed = with_position(df.select(row_id, score, label), "_p", F.md5(F.col(row_id).cast("string")), row_id)
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    own = with_scores(df, score)
+    placed = with_position(own.select(row_id, score, label), "_p", F.md5(F.col(row_id).cast("string")), row_id)
+    total = own.agg(F.count(F.lit(1)).alias("_n"))
     draws = placed.select((F.col("_p") - 1).alias("_j")).crossJoin(total).select("_n", "_j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("rep"))
-    drawn = draws.select("rep", (hash_int(hash_key("rep", "_j", seed)) % F.col("_n") + 1).alias("_p"))
-    return _summary(_rep_metrics(drawn.join(placed, "_p"), F.lit(1), threshold, score, label), confidence)
+    drawn = draws.select("rep", (hash_long(hash_key("rep", "_j", seed)) % F.col("_n") + 1).alias("_p"))
+    cells = drawn.join(placed, "_p").groupBy("rep", score, label).agg(F.count(F.lit(1)).alias("w"))
+    return _summary(replicate_metrics(cells, threshold, score, label), confidence)
 
 
-def poisson_bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
-    """As bootstrap(), but each row joins each resample a Poisson(1) number of times: no join and no exchange but of k rows a task."""
-    from ..functions.numbers import uniform
+#: A prime, below which weights of resamples are hashed: products of two numbers below it fit into 64 bits.
+PRIME = (1 << 31) - 1
+#: How often a row is drawn at most: a Poisson(1) number is larger once in a billion times.
+MOST_DRAWN = 12
+
 
-    u = uniform(row_id, "rep", seed)
-    ends, p, total = [], 0.36787944117144233, 0.0
-    for i in range(7):
+def poisson_ends() -> list[int]:
+    """The numbers below PRIME from which on a row is drawn once, twice, and so on."""
+    out, p, total = [], math.exp(-1), 0.0
+    for i in range(MOST_DRAWN):
         total += p
-        ends.append(total)
+        out.append(math.ceil(total * PRIME))
         p /= i + 1
-    weight = reduce(lambda a, b: a + b, [(u >= e).cast("int") for e in ends])
-    rows = df.select(row_id, score, label, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("rep")).withColumn("_w", weight).where("_w > 0")
-    return _summary(_rep_metrics(rows, F.col("_w"), threshold, score, label), confidence)
+    return out
 
 
-def _rep_metrics(rows: DataFrame, weight: Column, threshold: float, score: str, label: str) -> DataFrame:
-    s, y = F.col(score), F.col(label)
-    hit = (binarised(s, F.lit(threshold)) == y).cast("int")
-    return rows.groupBy("rep").agg((F.sum(weight * hit) / F.sum(weight)).alias("accuracy"), (F.sum(weight * (s - y) * (s - y)) / F.sum(weight)).alias("brier_score"), (F.sum(weight * y) / F.sum(weight)).alias("prevalence"))
+def replicate_factors(k: int, seed: int) -> list[tuple[int, int, int]]:
+    """For each resample three numbers below PRIME, from the MD5 of its number and the seed."""
+    number = lambda r, i: int(hashlib.md5(f"{r}:{seed}:{i}".encode()).hexdigest()[:15], 16) % PRIME
+    return [(1 + number(r, 0) % (PRIME - 1), 1 + number(r, 1) % (PRIME - 1), number(r, 2)) for r in range(k)]
+
+
+def poisson_cells(df: DataFrame, *, k: int, seed: int, row_id: str, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rep, score, label, w: how often rows of that score and label are in each resample, each row a Poisson(1) number of times.
+
+    A row has one MD5; its weights in the resamples are linear functions of that modulo a prime, which are independent for any two rows.
+    """
+    key = hash_key(row_id, seed)
+    rows = with_scores(df, score).select(*by, score, label, (hash_long(key) % PRIME).alias("_x"), (F.conv(F.substring(key, 16, 15), 16, 10).cast("long") % PRIME).alias("_y"))
+    factors = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(c).cast("long").alias("c")) for r, (a, b, c) in enumerate(replicate_factors(k, seed))])
+    u = (F.col("_f.a") * F.col("_x") % PRIME + F.col("_f.b") * F.col("_y") % PRIME + F.col("_f.c")) % PRIME
+    weight = reduce(lambda a, b: a + b, [(F.col("_u") >= e).cast("int") for e in poisson_ends()])
+    drawn = rows.withColumn("_f", F.explode(factors)).select(*by, score, label, "_f.rep", u.alias("_u")).where(F.col("_u") >= poisson_ends()[0])
+    return drawn.groupBy("rep", *by, score, label).agg(F.sum(weight).alias("w"))
+
+
+def poisson_bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
+    """As bootstrap(), but each row joins each resample a Poisson(1) number of times: no join, and k rows a distinct score are exchanged."""
+    return _summary(replicate_metrics(poisson_cells(df, k=k, seed=seed, row_id=row_id, score=score, label=label), threshold, score, label), confidence)
+
+
+def replicate_metrics(cells: DataFrame, threshold: float, score: str, label: str, bins: int = 10) -> DataFrame:
+    """rep and a column for each metric, from rep, score, label and w. Resamples are ordered and added up each by itself."""
+    s, y, w = F.col(score), F.col(label), F.col("w")
+    one = cells.groupBy("rep", score).agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
+    p, n = F.col("pos"), F.col("neg")
+    hit = s >= threshold
+    clipped = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), s))
+    falling = Window.partitionBy("rep").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("_pairs", n * (F.sum("pos").over(falling) - p / 2.0))
+    sure, right = F.greatest(s, 1 - s), F.when(s >= 0.5, p).otherwise(n)
+    binned = one.withColumn("_bin", equal_width(sure, bins)).groupBy("rep", "_bin").agg(
+        F.sum((p + n) * sure).alias("_sure"), F.sum(right).alias("_right"), F.sum(p + n).alias("_all"), F.sum("_pairs").alias("_pairs"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
+        F.sum(F.when(hit, p).otherwise(0)).alias("tp"), F.sum(F.when(hit, n).otherwise(0)).alias("fp"), F.sum(-(p * F.log(clipped) + n * F.log(1 - clipped))).alias("_log"), F.sum(p * (1 - s) * (1 - s) + n * s * s).alias("_brier"),
+    )
+    total = lambda c: F.sum(c).alias(c)
+    sums = binned.groupBy("rep").agg(F.sum(F.abs(F.col("_sure") - F.col("_right"))).alias("_gap"), *[total(c) for c in ("_all", "_pairs", "_p", "_n", "tp", "fp", "_log", "_brier")])
+    sums = sums.withColumn("fn", F.col("_p") - F.col("tp")).withColumn("tn", F.col("_n") - F.col("fp"))
+    of_all = lambda c: F.col(c) / F.col("_all")
+    return sums.select(
+        "rep", *[c.alias(x) for x, c in rates().items()], of_all("_log").alias("log_loss"), of_all("_brier").alias("brier_score"), of_all("_gap").alias("ece"), of_all("_p").alias("prevalence"),
+        F.try_divide("_pairs", (F.col("_p") * F.col("_n")).cast("double")).alias("roc_auc"),
+    )
 
 
 def _summary(reps: DataFrame, confidence: float) -> DataFrame:
-    long = reps.unpivot("rep", ["accuracy", "brier_score", "prevalence"], "metric", "value")
+    long = reps.unpivot("rep", [c for c in reps.columns if c != "rep"], "metric", "value")
     tail = (1 - confidence) / 2
     p = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), p[0].alias("low"), p[1].alias("high"))
 
 
+def calibration_interval(df: DataFrame, group: str, *, bins: int = 5, k: int = 200, confidence: float = 0.95, seed: int = 42, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
+    """group, bin, mean_score, share_positive, n, low and high: calibration of each group over bins by quantiles of all rows, with bounds of the share of positives over k resamples."""
+    binned = quantile_bins(with_scores(df, score), score, bins)
+    curve = binned.groupBy(group, "bin").agg(F.avg(score).alias("mean_score"), F.avg(label).alias("share_positive"), F.count(F.lit(1)).alias("n"))
+    cells = poisson_cells(binned.withColumn("_one", F.lit(0.0)), k=k, seed=seed, row_id=row_id, score="_one", label=label, by=(group, "bin"))
+    shares = cells.groupBy(group, "bin", "rep").agg((F.sum(F.col("w") * F.col(label)) / F.sum("w")).alias("_share"))
+    tail = (1 - confidence) / 2
+    p = F.percentile("_share", F.array(F.lit(tail), F.lit(1 - tail)))
+    return curve.join(shares.groupBy(group, "bin").agg(p[0].alias("low"), p[1].alias("high")), [group, "bin"])
+
+
 def importance(df: DataFrame, features: list[str], scorer, *, repeats: int = 5, seed: int = 42, row_id: str = "row_id", label: str = "label") -> DataFrame:
-    """feature, mean and std (of the population): what the AUC loses when a feature's values are dealt anew over the rows. scorer: DataFrame to Column."""
+    """feature, mean and std (of the population): what the AUC loses when a feature's values are dealt anew over the rows. scorer: from a DataFrame to a Column of it, or to a
+    DataFrame with risk_score and the label, as of a model that is asked."""
     from .dataset import permuted
 
-    base = roc_auc(df.withColumn("_s", scorer(df)), score="_s", label=label).select(F.col("roc_auc").alias("_base"))
+    def auc(rows: DataFrame) -> DataFrame:
+        found = scorer(rows)
+        return roc_auc(found if isinstance(found, DataFrame) else rows.withColumn("risk_score", found), label=label)
+
+    base = auc(df).select(F.col("roc_auc").alias("_base"))
     parts = []
     for k, f in enumerate(features):
         for r in range(repeats):
             moved = permuted(df, f, seed=seed + 1000 * k + r, row_id=row_id)
-            parts.append(roc_auc(moved.withColumn("_s", scorer(moved)), score="_s", label=label).select(F.lit(f).alias("feature"), "roc_auc"))
+            parts.append(auc(moved).select(F.lit(f).alias("feature"), "roc_auc"))
     lost = reduce(lambda a, b: a.unionByName(b), parts).crossJoin(base).withColumn("_lost", F.col("_base") - F.col("roc_auc"))
     return lost.groupBy("feature").agg(F.avg("_lost").alias("imp_mean"), F.stddev_pop("_lost").alias("imp_std"))
 
 
-def bias(df: DataFrame, *, bins: int = 10, signed: bool = False, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
-    """Over- and under-confidence over bins of equal width between the least and the greatest score, right-closed; signed: mean score less mean label."""
+def bias(df: DataFrame, *, bins: int = 10, signed: bool = False, quantiles: bool = False, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """Over- and under-confidence over bins of equal width between the least and the greatest score, or between quantiles of all rows, right-closed; signed: mean score less
+    mean label."""
+    df = with_scores(df, score)
+    if quantiles:
+        return _bias_of_bins(quantile_bins(df, score, bins), signed, score, label, by)
     ends = df.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     rows = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))
     place = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.0)).otherwise(F.ceil(F.round((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins, 9)) - 1)
-    b = rows.withColumn("bin", F.greatest(F.lit(0), place.cast("int"))).groupBy(*by, "bin").agg(F.avg(score).alias("s"), F.avg(label).alias("y"), F.count(F.lit(1)).alias("n"))
+    return _bias_of_bins(rows.withColumn("bin", F.greatest(F.lit(0), place.cast("int"))), signed, score, label, by)
+
+
+def _bias_of_bins(binned: DataFrame, signed: bool, score: str, label: str, by: tuple[str, ...]) -> DataFrame:
+    b = binned.groupBy(*by, "bin").agg(F.avg(score).alias("s"), F.avg(label).alias("y"), F.count(F.lit(1)).alias("n"))
     s, y = F.col("s"), F.col("y")
     term = s - y if signed else F.when(s < 0.5, (1 - s) - (1 - y)).otherwise(s - y)
     return b.groupBy(*by).agg((F.sum(F.col("n") * term) / F.sum("n")).alias("score_bias" if signed else "confidence_bias"))

@@ -8,7 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import hash_key, hash_long
 from ..functions.text import connected, laid_out
+from .positions import with_position
 from .task import Question, Task
 from .valuemap import ColumnToText
 
@@ -95,6 +97,34 @@ class Prompts:
         head = listed.select(F.array_join(F.transform("x", lambda x, i: F.when(i == 0, x["first"]).otherwise(x["other"])), "").alias("_head"))
         return rows.crossJoin(F.broadcast(head)).withColumn(into, F.concat("_head", self.zero_shot(question, None))).drop("_head")
 
+    def few_shot_each(self, rows: DataFrame, train: DataFrame, question: Question, *, shots: int, counts: dict[int, int] | None = None, seed: int = 42, order: tuple[int, ...] | None = None, show_question: bool = True, row_id: str = "row_id", into: str = "prompt") -> DataFrame:
+        """As few_shot(), with examples drawn anew for each row, without replacement, by hashes of the row's id. counts: so many of each label; without it, any rows.
+
+        Places in the training rows are drawn, and examples joined by place: rows * shots texts are moved, and nothing is collected but the number of rows of each label.
+        """
+        label = F.col(f"`{self.task.target_column}`")
+        part = label.cast("int") if counts else F.lit(0)
+        placed = with_position(train.withColumn("_part", part), "_p", hash_key(row_id, seed), row_id, by=("_part",))
+        key = question.key_of(label)
+        texts = placed.select("_part", "_p", self.example(question, key, True, show_question).alias("first"), self.example(question, key, False, show_question).alias("other"))
+        sizes = {r[0]: r[1] for r in train.groupBy(part.alias("_part")).count().collect()}
+        wanted = counts or {0: shots}
+        if short := {k: sizes.get(k, 0) for k, n in wanted.items() if sizes.get(k, 0) < n}:
+            raise ValueError(f"too few examples: {short}")
+
+        def places(k: int, n: int) -> Column:
+            # Twice as many as needed and some; the first places stand in where too many of these are equal.
+            tries = F.transform(F.sequence(F.lit(0), F.lit(2 * n + 8)), lambda j: hash_long(hash_key(row_id, seed, k, j)) % sizes[k] + 1)
+            found = F.slice(F.array_distinct(F.concat(tries, F.sequence(F.lit(1), F.lit(n)).cast("array<bigint>"))), 1, n)
+            return F.transform(found, lambda p: F.struct(hash_key(row_id, seed, k, p).alias("o"), F.lit(k).alias("_part"), p.alias("_p")))
+
+        drawn = [places(k, n) for k, n in wanted.items() if n]
+        shown = rows.select(F.col(row_id).alias("_row"), F.posexplode(F.array_sort(F.concat(*drawn))).alias("_at", "_x")).select("_row", "_at", "_x._part", "_x._p")
+        place = F.array_position(F.array(*[F.lit(i) for i in order]), F.col("_at")).cast("int") if order else F.col("_at")
+        head = shown.join(texts, ["_part", "_p"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "first", "other"))).alias("x"))
+        head = head.select("_row", F.array_join(F.transform("x", lambda x, i: F.when(i == 0, x["first"]).otherwise(x["other"])), "").alias("_head"))
+        return rows.join(head, F.col(row_id) == F.col("_row")).withColumn(into, F.concat("_head", self.zero_shot(question, None))).drop("_head", "_row")
+
     def chat(self, question: Question, *, system: str | None, prefill: str | None, template: ChatTemplate) -> Column:
         return template.filled(self.zero_shot(question, prefill=False), system=system, prefill=prefill)
 

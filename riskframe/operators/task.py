@@ -61,6 +61,16 @@ class MultipleChoice:
         table = F.create_map(*[x for k, c in zip(self.keys, self.choices) for x in (F.lit(str(c.value)), F.lit(k))])
         return F.try_element_at(table, value.cast("string"))
 
+    def key_in(self, answer: Column) -> Column:
+        """The key that a written answer begins with; null if there is none."""
+        found = F.regexp_extract(F.upper(answer), rf"^\s*([{''.join(self.keys)}])(?![A-Z0-9])", 1)
+        return F.when(found != "", found)
+
+    def number_of(self, key: Column) -> Column:
+        """The number of a key's choice."""
+        table = F.create_map(*[x for k, c in zip(self.keys, self.choices) for x in (F.lit(k), F.lit(float(c.number)))])
+        return F.try_element_at(table, key)
+
     def text_of_answer(self, answer: Column) -> Column:
         """The choice's text for an answer such as ' b '; null if there is none."""
         table = F.create_map(*[x for k, c in zip(self.keys, self.choices) for x in (F.lit(k), F.lit(c.text))])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields, replace
@@ -94,17 +95,23 @@ class Config:
 
 @dataclass
 class Benchmark:
-    """task and data; make_backend builds what scores prompts, on each executor. Lazy until run()."""
+    """task and data; make_backend is a Model, whose answers are decoded, or a function that builds what gives scores of prompts on each executor. Lazy until run().
+
+    population: a condition that rows of the task meet, applied before the split; such as those of POPULATIONS.
+    """
 
     task: Task
     data: DataFrame
-    make_backend: Callable[[], inference.Backend]
+    make_backend: Callable[[], inference.Backend] | inference.Model
     config: Config = Config()
     model_name: str = "model"
     low: dict | None = None
     template: ChatTemplate = ChatTemplate()
+    population: str | None = None
 
     def __post_init__(self) -> None:
+        if self.population:
+            self.data = self.data.where(self.population)
         if self.config.feature_subset:
             self.task = self.task.with_features(list(self.config.feature_subset))
         dataset.require(self.data, self.task.required)
@@ -130,9 +137,7 @@ class Benchmark:
         if shots.compose == "random":
             rows = dataset.sample(train, shots.n_shots, seed=self.config.seed, draw=draw)
         else:
-            labels = [0, 1]
-            counts = dataset.balanced_counts(labels, shots.n_shots) if shots.compose == "balanced" else dict(zip(labels, shots.compose))
-            rows = dataset.stratified(train.withColumn("_label", F.col(label)), counts, "_label", seed=self.config.seed).drop("_label")
+            rows = dataset.stratified(train.withColumn("_label", F.col(label)), self.counts(), "_label", seed=self.config.seed).drop("_label")
         # A handful of rows.
         return rows.withColumn("shot", F.row_number().over(Window.orderBy(hash_key("row_id", self.config.seed, draw), "row_id")))
 
@@ -141,9 +146,13 @@ class Benchmark:
         c, q = self.config, self.question()
         build = Prompts(self.task, PromptConfig.from_dict(c.prompt_variation or {}), self.low)
         if c.few_shot:
-            examples = self.examples(train)
-            asked = q.permutations() if c.correct_order_bias and isinstance(q, MultipleChoice) else [q]
-            parts = [build.few_shot(rows, examples, x, order=c.few_shot.example_order, show_question=c.few_shot.show_question_in_examples).select("row_id", F.lit(i).alias("order_id"), "prompt") for i, x in enumerate(asked)]
+            shots = {"order": c.few_shot.example_order, "show_question": c.few_shot.show_question_in_examples}
+            if c.few_shot.reuse_examples:
+                examples = self.examples(train)
+                ask = lambda x: build.few_shot(rows, examples, x, **shots)
+            else:
+                ask = lambda x: build.few_shot_each(rows, train, x, shots=c.few_shot.n_shots, counts=self.counts(), seed=c.seed, **shots)
+            parts = [ask(x).select("row_id", F.lit(i).alias("order_id"), "prompt") for i, x in enumerate(self.asked())]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
@@ -161,10 +170,35 @@ class Benchmark:
             out = rows.withColumn("order_id", F.lit(0)).withColumn("prompt", one(q))
         return inference.truncated(out.select("row_id", "order_id", "prompt"), words=c.context_size)
 
+    def asked(self) -> list[Question]:
+        """The question, in each order of its choices if order bias is corrected."""
+        q = self.question()
+        return q.permutations() if self.config.correct_order_bias and isinstance(q, MultipleChoice) else [q]
+
+    def counts(self) -> dict[int, int] | None:
+        """Few-shot examples of each label; None if any will do."""
+        shots = self.config.few_shot
+        if shots.compose == "random":
+            return None
+        return dataset.balanced_counts([0, 1], shots.n_shots) if shots.compose == "balanced" else dict(zip([0, 1], shots.compose))
+
     def scored(self, rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
-        """row_id and risk_score, the mean over orders."""
-        out = inference.scored(self.prompts(rows, train), self.make_backend, batch=self.config.batch_size)
-        return inference.averaged(out)
+        """row_id and risk_score, the mean over orders; null where the model gave none."""
+        c, prompts = self.config, self.prompts(rows, train)
+        if not isinstance(self.make_backend, inference.Model):
+            return inference.averaged(inference.scored(prompts, self.make_backend, batch=c.batch_size))
+        model, asked = self.make_backend, self.asked()
+        settings = inference.settings_of(asked[0], temperature=c.temperature, context_size=c.context_size, seed=c.seed)
+        answers = inference.answered(prompts, model, settings, batch=c.batch_size)
+        score = F.lit(None).cast("double")
+        for i, q in enumerate(asked):
+            score = F.when(F.col("order_id") == i, inference.risk(F.col("answer"), model, q)).otherwise(score)
+        return inference.averaged(answers.withColumn("risk_score", score))
+
+    def scored_splits(self, test: float = 0.1, val: float = 0.1) -> DataFrame:
+        """row_id, split and risk_score of all rows, in one pass."""
+        rows = self.split(test, val)
+        return self.scored(rows, rows.where("split = 'train'")).join(rows.select("row_id", "split"), "row_id")
 
     def labelled(self, rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
         own = rows.select("row_id", F.col(f"`{self.task.target_column}`").alias("label"), *([F.col(self.task.sensitive).alias("group")] if self.task.sensitive and self.task.sensitive in rows.columns else []))
@@ -175,21 +209,48 @@ class Benchmark:
         return metrics.best_threshold(self.labelled(dataset.sample(train, n, seed=self.config.seed), train)).first()["threshold"]
 
     def run(self, results_dir: str | None = None, *, fit_threshold: int | None = None, test: float = 0.1, val: float = 0.1, subsampling: float | None = None, predictions: str | None = None) -> dict:
-        """Scores the test split and evaluates it; writes results and predictions where asked to."""
+        """Scores the test split and evaluates it; writes results and predictions where asked to. Raises if a row has no score.
+
+        Predictions are always written before they are read: a lost executor doesn't ask the model again. Without a place for them, they go to the shared folder
+        of spark.checkpoint.dir, and stay only while they are needed.
+        """
         rows = self.split(test, val)
         rows = dataset.subsample(rows, subsampling) if subsampling else rows
         train, tested = rows.where("split = 'train'"), rows.where("split = 'test'")
         threshold = self.fit_threshold(train, fit_threshold) if fit_threshold else 0.5
         scored = self.labelled(tested, train)
-        if predictions:
-            scored.write.mode("overwrite").parquet(predictions)
-            scored = scored.sparkSession.read.parquet(predictions)
-        else:
-            scored = scored.persist()
+        kept = predictions or self.shared(f"predictions-{uuid.uuid4().hex[:12]}")
+        scored.write.mode("overwrite").parquet(kept)
+        scored = scored.sparkSession.read.parquet(kept)
+        if unscored := scored.where("risk_score IS NULL").count():
+            raise ValueError(f"{unscored} rows have no score; those that have one are in {kept}")
         record = metrics.evaluate(scored, threshold=threshold, group="group" if "group" in scored.columns else None).first().asDict()
         record |= {"model_name": self.model_name, "task": self.task.name, "threshold_fitted_on": fit_threshold or 0, "config": json.loads(json.dumps(asdict(self.config), default=str)) | {"hash": self.config.hash()}}
         if results_dir:
             record["path"] = save_results(record, results_dir, self.model_name, self.config.hash())
         if not predictions:
-            scored.unpersist()
+            remove(scored.sparkSession, kept)
         return record
+
+    def shared(self, name: str) -> str:
+        spark = self.data.sparkSession
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+        return f"{folder.rstrip('/')}/{name}"
+
+    def importance(self, results_dir: str | None = None, *, repeats: int = 5, test: float = 0.1, val: float = 0.1, subsampling: float | None = None) -> list[dict]:
+        """feature, imp_mean and imp_std, the most important first: what the AUC on the test split loses when a feature's values are dealt anew over its rows. The model is
+        asked 1 + repeats * features times about each row."""
+        rows = self.split(test, val)
+        rows = dataset.subsample(rows, subsampling) if subsampling else rows
+        train, tested = rows.where("split = 'train'"), rows.where("split = 'test'")
+        label = tested.select("row_id", F.col(f"`{self.task.target_column}`").alias("label"))
+        out = metrics.importance(tested, list(self.task.features), lambda moved: self.scored(moved, train).join(label, "row_id"), repeats=repeats, seed=self.config.seed)
+        found = [r.asDict() for r in out.orderBy(F.desc("imp_mean"), "feature").collect()]
+        if results_dir:
+            save_json({"model_name": self.model_name, "task": self.task.name, "repeats": repeats, "importance": found}, f"{results_dir}/importance.{self.config.hash()}.json")
+        return found
+
+
+def remove(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

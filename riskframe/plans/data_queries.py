@@ -45,6 +45,13 @@ def subsample_split(spark: SparkSession, d: str) -> DataFrame:
     return dataset.subsample(rows, 0.125).select("row_id", "split", "split_rank")
 
 
+@query(f"WITH {_SPLIT}, kept AS (SELECT split.row_id, split, row_number() OVER (PARTITION BY split ORDER BY split_rank) AS split_rank FROM split JOIN orders ON row_id = o_orderkey WHERE o_orderstatus = 'F') SELECT row_id, split, split_rank FROM kept JOIN (SELECT split, floor(count(*)*0.5e0+0.5e0) AS k FROM kept GROUP BY 1) USING (split) WHERE split_rank <= k")
+def subsample_population(spark: SparkSession, d: str) -> DataFrame:
+    """Half of each split of the rows that a filter leaves."""
+    rows = dataset.split(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus"), test=0.2, val=0.1)
+    return dataset.subsample(dataset.filtered(rows, {"o_orderstatus": "F"}), 0.5).select("row_id", "split", "split_rank")
+
+
 @query("SELECT o_orderkey AS row_id, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42:0'), o_orderkey LIMIT 50")
 def sample_n_random(spark: SparkSession, d: str) -> DataFrame:
     return dataset.sample(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice"), 50)
@@ -132,10 +139,11 @@ def index_align_join(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scores(spark, d).join(done, "row_id").select("row_id", "risk_score", "segment"), "risk_score")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.customers, b.suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey > 5 GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.customers, b.suppliers FROM (SELECT floor(c_acctbal/100)::BIGINT AS k, count(*) AS customers FROM customer GROUP BY 1) a FULL OUTER JOIN (SELECT floor(s_acctbal/100)::BIGINT AS k, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.k = b.k")
 def full_outer_stats(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
-    b = table(spark, d, "supplier").where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
+    """Customers and suppliers by balance, in hundreds; some hundreds have only one of them."""
+    a = table(spark, d, "customer").groupBy(F.floor(F.col("c_acctbal") / 100).alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    b = table(spark, d, "supplier").groupBy(F.floor(F.col("s_acctbal") / 100).alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
     return a.join(b, "k", "full_outer")
 
 
@@ -152,9 +160,10 @@ def cache_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return results.unscored(rows, rows.where("row_id % 3 <> 0"))
 
 
-@query("SELECT a.c_nationkey, b.c_mktsegment FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey < 60) a, (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey < 60) b WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey < 60 AND c.c_nationkey = a.c_nationkey AND c.c_mktsegment = b.c_mktsegment)")
+@query("WITH x AS (SELECT s_nationkey, floor(s_acctbal/1000)::BIGINT AS band FROM supplier) SELECT a.s_nationkey, b.band FROM (SELECT DISTINCT s_nationkey FROM x) a, (SELECT DISTINCT band FROM x) b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.s_nationkey = a.s_nationkey AND x.band = b.band)")
 def completeness_anti(spark: SparkSession, d: str) -> DataFrame:
-    return results.absent_combinations(table(spark, d, "customer").where("c_custkey < 60"), "c_nationkey", "c_mktsegment")
+    """Nations and bands of balance that no supplier has together."""
+    return results.absent_combinations(table(spark, d, "supplier").select("s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("band")), "s_nationkey", "band")
 
 
 @query("SELECT DISTINCT c_mktsegment FROM customer")

@@ -93,21 +93,54 @@ def eval_record(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select(*names), "log_loss", "brier_score", *_R, "roc_auc", "tpr_ratio", "tpr_diff", "equalized_odds_ratio")
 
 
-_SUMMARY = "SELECT metric, round(avg(value),6) AS mean, round(stddev_samp(value),6) AS std, round(quantile_cont(value,0.025),6) AS low, round(quantile_cont(value,0.975),6) AS high FROM (UNPIVOT m ON accuracy, brier_score, prevalence INTO NAME metric VALUE value) GROUP BY metric"
+_REPLICATES = f"""one AS (SELECT rep, risk_score AS s, sum(w*label) AS pos, sum(w*(1-label)) AS neg FROM cells GROUP BY 1, 2),
+  r AS (SELECT *, sum(pos) OVER (PARTITION BY rep ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS upto, least(9, floor(greatest(s,1-s)*10)) AS bin, greatest(2.220446049250313e-16, least(1-2.220446049250313e-16, s)) AS c FROM one),
+  g AS (SELECT rep, sum(gap) AS gap FROM (SELECT rep, bin, abs(sum((pos+neg)*greatest(s,1-s)) - sum(CASE WHEN s>=0.5e0 THEN pos ELSE neg END)) AS gap FROM r GROUP BY 1, 2) GROUP BY 1),
+  t AS (SELECT rep, sum(pos) AS p, sum(neg) AS n, sum(CASE WHEN s>=0.5e0 THEN pos ELSE 0 END) AS tp, sum(CASE WHEN s>=0.5e0 THEN neg ELSE 0 END) AS fp, sum(-(pos*ln(c)+neg*ln(1-c))) AS lg, sum(pos*(1-s)*(1-s)+neg*s*s) AS br, sum(neg*(upto-pos/2e0)) AS pairs FROM r GROUP BY rep),
+  q AS (SELECT rep, n-fp AS tn, fp, p-tp AS fn, tp, p, n, lg, br, pairs, gap FROM t JOIN g USING (rep)),
+  m AS (SELECT {RATES}, lg/(p+n) AS log_loss, br/(p+n) AS brier_score, gap/(p+n) AS ece, p/(p+n) AS prevalence, pairs/(p*n) AS roc_auc FROM q)
+  SELECT metric, round(avg(value),6) AS mean, round(stddev_samp(value),6) AS std, round(quantile_cont(value,0.025),6) AS low, round(quantile_cont(value,0.975),6) AS high
+  FROM (UNPIVOT m ON accuracy, tpr, fnr, fpr, tnr, balanced_accuracy, "precision", ppr, log_loss, brier_score, ece, prevalence, roc_auc INTO NAME metric VALUE value) GROUP BY metric"""
+_HASH60 = "CAST('0x' || substr(md5({}), {}, 15) AS BIGINT)"
 
 
 @query(f"""WITH {SCORES}, placed AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS pos, count(*) OVER () AS n FROM scores),
-  drawn AS (SELECT rep, {HASH32.format("CAST(rep AS VARCHAR) || ':' || CAST(pos-1 AS VARCHAR) || ':42'")} % n + 1 AS pos FROM placed, range(20) t(rep)),
-  m AS (SELECT rep, avg(CAST(CAST(risk_score>=0.5e0 AS INT)=label AS INT)) AS accuracy, avg((risk_score-label)*(risk_score-label)) AS brier_score, avg(label) AS prevalence FROM drawn JOIN placed USING (pos) GROUP BY rep) {_SUMMARY}""")
+  drawn AS (SELECT rep, {_HASH60.format("CAST(rep AS VARCHAR) || ':' || CAST(pos-1 AS VARCHAR) || ':42'", 1)} % n + 1 AS pos FROM placed, range(200) t(rep)),
+  cells AS (SELECT rep, risk_score, label, count(*) AS w FROM drawn JOIN placed USING (pos) GROUP BY 1, 2, 3), {_REPLICATES}""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.bootstrap(scores(spark, d), k=20), "mean", "std", "low", "high")
+    return rounded(metrics.bootstrap(scores(spark, d)), "mean", "std", "low", "high")
 
 
-@query(f"""WITH {SCORES}, u AS (SELECT s.*, rep, ({HASH32.format("CAST(row_id AS VARCHAR) || ':' || CAST(rep AS VARCHAR) || ':42'")} % 10000)/10000e0 AS u FROM scores s, range(20) t(rep)),
-  w AS (SELECT *, CAST(u>=0.36787944117144233e0 AS INT)+CAST(u>=0.7357588823428847e0 AS INT)+CAST(u>=0.9196986029286058e0 AS INT)+CAST(u>=0.9810118431238463e0 AS INT)+CAST(u>=0.9963401531726563e0 AS INT)+CAST(u>=0.9994058151824183e0 AS INT)+CAST(u>=0.9999167588507119e0 AS INT) AS w FROM u),
-  m AS (SELECT rep, sum(w*CAST(CAST(risk_score>=0.5e0 AS INT)=label AS INT))/sum(w) AS accuracy, sum(w*(risk_score-label)*(risk_score-label))/sum(w) AS brier_score, sum(w*label)/sum(w) AS prevalence FROM w GROUP BY rep) {_SUMMARY}""")
+_FACTOR = _HASH60.format("CAST(rep AS VARCHAR) || ':42:{}'", 1) + f" % {metrics.PRIME}"
+_WEIGHT = " + ".join(f"CAST(u >= {e} AS INT)" for e in metrics.poisson_ends())
+_WEIGHTS = f"""f AS (SELECT rep, 1 + ({_FACTOR.format(0)}) % {metrics.PRIME - 1} AS a, 1 + ({_FACTOR.format(1)}) % {metrics.PRIME - 1} AS b, {_FACTOR.format(2)} AS c FROM range(200) t(rep)),
+  x AS (SELECT *, {_HASH60.format("CAST(row_id AS VARCHAR) || ':42'", 1)} % {metrics.PRIME} AS x, {_HASH60.format("CAST(row_id AS VARCHAR) || ':42'", 16)} % {metrics.PRIME} AS y FROM scores),
+  u AS (SELECT x.*, rep, (a*x % {metrics.PRIME} + b*y % {metrics.PRIME} + c) % {metrics.PRIME} AS u FROM x, f), w AS (SELECT *, {_WEIGHT} AS w FROM u)"""
+
+
+@query(f"WITH {SCORES}, {_WEIGHTS}, cells AS (SELECT rep, risk_score, label, sum(w) AS w FROM w WHERE w > 0 GROUP BY 1, 2, 3), {_REPLICATES}")
 def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.poisson_bootstrap(scores(spark, d), k=20), "mean", "std", "low", "high")
+    return rounded(metrics.poisson_bootstrap(scores(spark, d)), "mean", "std", "low", "high")
+
+
+@query(f"""WITH {SCORES}, {_WEIGHTS}, e AS (SELECT quantile_cont(risk_score, [0.2,0.4,0.6,0.8]) AS edges FROM scores), b AS (SELECT w.*, len(list_filter(edges, lambda v: v < risk_score)) AS bin FROM w, e),
+  share AS (SELECT segment, bin, rep, sum(w*label)/sum(w) AS v FROM b WHERE w > 0 GROUP BY 1, 2, 3), ends AS (SELECT segment, bin, quantile_cont(v,0.025) AS low, quantile_cont(v,0.975) AS high FROM share GROUP BY 1, 2),
+  curve AS (SELECT segment, bin, avg(risk_score) AS mean_score, avg(label) AS share_positive, count(*) AS n FROM b WHERE rep = 0 GROUP BY 1, 2)
+  SELECT segment, bin::INT AS bin, round(mean_score,6) AS mean_score, round(share_positive,6) AS share_positive, n, round(low,6) AS low, round(high,6) AS high FROM curve JOIN ends USING (segment, bin)""")
+def calibration_interval(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.calibration_interval(scores(spark, d), "segment"), "mean_score", "share_positive", "low", "high")
+
+
+_SOME = "given AS (SELECT row_id, label, segment, CASE WHEN row_id % 7 = 0 THEN NULL ELSE risk_score END AS risk_score FROM scores), known AS (SELECT * FROM given WHERE risk_score IS NOT NULL)"
+
+
+@query(f"""WITH {SCORES}, {_SOME}, {_ROC.replace("FROM scores", "FROM known")}, c AS (SELECT {COUNTS} FROM (SELECT label, CAST(risk_score >= 0.5e0 AS INT) AS p FROM known))
+  SELECT (SELECT count(*) FROM given WHERE risk_score IS NULL) AS n_unscored, (SELECT count(*) FROM known) AS n_samples, tn, fp, fn, tp, (SELECT round(sum(neg * (tp - pos/2e0)) / (max(p)*max(n)), 6) FROM cum) AS roc_auc,
+  (SELECT round(avg(-(label*ln(risk_score+1e-300)+(1-label)*ln(1-risk_score))),6) FROM (SELECT label, greatest(2.220446049250313e-16, risk_score) AS risk_score FROM known)) AS log_loss FROM c""")
+def unscored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a model gave no score count in no metric, and are counted."""
+    s = scores(spark, d).withColumn("risk_score", F.when(F.col("row_id") % 7 != 0, F.col("risk_score")))
+    return rounded(metrics.evaluate(s).select("n_unscored", "n_samples", "tn", "fp", "fn", "tp", "roc_auc", "log_loss"), "roc_auc", "log_loss")
 
 
 _FEATURES = ("price", "noise")
@@ -120,7 +153,7 @@ def _importance_sql() -> str:
     auc = "SELECT {tag} AS feature, sum(neg*(tp-pos/2e0))/(max(p)*max(n)) AS auc FROM (SELECT pos, neg, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM (SELECT s, sum(label) AS pos, sum(1-label) AS neg FROM {src} GROUP BY s))"
     ctes.append("s0 AS (SELECT label, round(least(1e0, 0.6e0*price+0.4e0*noise), 6) AS s FROM f)")
     for k, f in enumerate(_FEATURES):
-        for r in range(3):
+        for r in range(5):
             seed = 42 + 1000 * k + r
             other = [x for x in _FEATURES if x != f][0]
             ctes.append(f"b{k}{r} AS (SELECT row_number() OVER (ORDER BY md5(CAST(row_id AS VARCHAR) || ':{seed}'), row_id) AS pos, {f} AS v FROM f), s{k}{r} AS (SELECT label, round(least(1e0, 0.6e0*{'v' if f == 'price' else 'price'}+0.4e0*{'v' if f == 'noise' else 'noise'}), 6) AS s FROM (SELECT a.label, a.{other}, v FROM a JOIN b{k}{r} USING (pos)))")
@@ -133,7 +166,7 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     rows = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") > 250000).cast("int").alias("label"), (F.col("o_totalprice") / 600000.0).alias("price"), uniform("o_orderkey", 7).alias("noise"))
     scorer = lambda df: F.round(F.least(F.lit(1.0), 0.6 * F.col("price") + 0.4 * F.col("noise")), 6)
-    return rounded(metrics.importance(rows, list(_FEATURES), scorer, repeats=3), "imp_mean", "imp_std")
+    return rounded(metrics.importance(rows, list(_FEATURES), scorer), "imp_mean", "imp_std")
 
 
 @query(f"WITH {SCORES} SELECT segment, round(avg(risk_score),6) AS score_mean, round(stddev_pop(risk_score),6) AS score_std, round(avg(label),6) AS prevalence FROM scores GROUP BY segment")
@@ -176,6 +209,12 @@ def confidence_bias(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.bias(scores(spark, d)), "confidence_bias")
 
 
+@query(f"""WITH {SCORES}, e AS (SELECT quantile_cont(risk_score, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS edges FROM scores), b AS (SELECT segment, risk_score, label, len(list_filter(edges, lambda v: v < risk_score)) AS bin FROM scores, e),
+  t AS (SELECT segment, bin, avg(risk_score) AS s, avg(label) AS y, count(*) AS n FROM b GROUP BY 1, 2) SELECT segment, round(sum(n*(s-y))/sum(n),6) AS score_bias FROM t GROUP BY segment""")
+def signed_bias_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.bias(scores(spark, d), signed=True, quantiles=True, by=("segment",)), "score_bias")
+
+
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from ..operators.prompt import ChatTemplate, PromptConfig, Prompts
 from ..operators.task import Choice, MultipleChoice, Numeric, Task
 from ..operators.threshold import Threshold
 from ..operators.valuemap import ColumnToText
-from .registry import query, rounded, table
+from .benchmark import Benchmark, Config
+from .registry import HASH32, query, rounded, table
 
 LIMIT = Threshold(1000, ">")
 MC = MultipleChoice("p_retailprice>1000", "Is the part expensive?", (Choice("No", 0), Choice("Yes", 1)))
@@ -192,3 +195,98 @@ def legacy_description(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.prompt import description_list
 
     return _parts(spark, d).select("p_partkey", description_list(TASK).alias("description"))
+
+
+def _number(prompt: str) -> int:
+    return int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16) % 10000
+
+
+class _Tokens:
+    """Stands in for a local model: what it gives is made from the prompt's MD5."""
+
+    def __init__(self, settings):
+        self.settings = settings
+
+    def __call__(self, prompts):
+        if not self.settings.digits_only:
+            return [[{1: _number(p) / 20000, 2: 0.5 - _number(p) / 20000, 7: 0.3, 999: 0.2}] for p in prompts]
+        return [[{10 + _number(p) // 10 % 10: 0.9, 3: 0.1}, {10 + _number(p) % 10: 0.8, 12: 0.1}] for p in prompts]
+
+
+class _Words:
+    """Stands in for a web service; every third answer states another number than its tokens do."""
+
+    def __init__(self, settings):
+        pass
+
+    def __call__(self, prompts):
+        out = []
+        for n in (_number(p) % 100 for p in prompts):
+            out.append((f"0.{(n + 40) % 100:02d} I think" if n % 3 == 0 else f"{n:02d}", [{str(n // 10): 0.9, "so": 0.1}, {str(n % 10): 0.8, "x": 0.05}]))
+        return out
+
+
+class _Text:
+    """Stands in for a model that reasons; every fifth text states nothing."""
+
+    def __init__(self, settings):
+        pass
+
+    def __call__(self, prompts):
+        return [f"Prices rise by 5%. Probability: {n}%" if n % 5 else "Hard to say." for n in (_number(p) % 100 for p in prompts)]
+
+
+def _benchmark(spark: SparkSession, d: str, model: inference.Model, **config) -> tuple[Benchmark, DataFrame]:
+    data = table(spark, d, "part").withColumn("row_id", F.col("p_partkey"))
+    b = Benchmark(TASK, data, model, Config(**config))
+    return b, b.data
+
+
+_IDS = {" A": 1, " B": 2, "x": 7} | {str(i): 10 + i for i in range(10)}
+_MC_PROMPT = f"{_DESCRIPTION} || {_INFO} || chr(10) || chr(10) || 'Question: Is the part expensive?' || chr(10) || 'A. {{}}.' || chr(10) || 'B. {{}}.' || chr(10) || 'Answer:'"
+_NUM_PROMPT = f"{_DESCRIPTION} || {_INFO} || chr(10) || chr(10) || 'Question: What is the probability that the part is expensive?' || chr(10) || 'Answer (between 0 and 1): 0.'"
+
+
+@query(f"WITH x AS (SELECT p_partkey, {HASH32.format(_MC_PROMPT.format('No', 'Yes'))} % 10000 AS a, {HASH32.format(_MC_PROMPT.format('Yes', 'No'))} % 10000 AS b FROM part) SELECT p_partkey AS row_id, round(((1 - a/10000e0) + b/10000e0) / 2, 6) AS risk_score FROM x")
+def model_multiple_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts in both orders, token probabilities, decoding and the mean, as one run has them."""
+    b, rows = _benchmark(spark, d, inference.Model(_Tokens, "tokens", _IDS, 100))
+    return rounded(b.scored(rows), "risk_score")
+
+
+@query(f"SELECT p_partkey AS row_id, round(({HASH32.format(_NUM_PROMPT)} % 100) / 100e0, 6) AS risk_score FROM part")
+def model_numeric(spark: SparkSession, d: str) -> DataFrame:
+    b, rows = _benchmark(spark, d, inference.Model(_Tokens, "tokens", _IDS, 100), numeric_risk_prompting=True)
+    return rounded(b.scored(rows), "risk_score")
+
+
+@query(f"WITH x AS (SELECT p_partkey, {HASH32.format(_NUM_PROMPT)} % 100 AS n FROM part) SELECT p_partkey AS row_id, round(CASE WHEN n % 3 = 0 THEN (n + 40) % 100 ELSE n END / 100e0, 6) AS risk_score FROM x")
+def model_web(spark: SparkSession, d: str) -> DataFrame:
+    """Digits of the answer's tokens, but for a stated number that clearly differs."""
+    b, rows = _benchmark(spark, d, inference.Model(_Words, "words"), numeric_risk_prompting=True)
+    return rounded(b.scored(rows), "risk_score")
+
+
+_REASON = """'Question: What is the probability that the part is expensive?' || chr(10) || chr(10) || 'Think step-by-step about the factors that could influence the answer to this question. After reasoning through the relevant information, provide your final probability estimate.'
+  || chr(10) || chr(10) || 'Your response MUST end with your probability estimate in the following format:' || chr(10) || 'Probability: X%' || chr(10) || 'where X is a number between 0 and 100.' || chr(10) || chr(10) || 'Reasoning:'"""
+
+
+@query(f"WITH x AS (SELECT p_partkey, {HASH32.format(f'{_DESCRIPTION} || {_INFO} || chr(10) || chr(10) || {_REASON}')} % 100 AS n FROM part) SELECT p_partkey AS row_id, round(CASE WHEN n % 5 = 0 THEN 0.5e0 ELSE n / 100e0 END, 6) AS risk_score FROM x")
+def model_reasoning(spark: SparkSession, d: str) -> DataFrame:
+    b, rows = _benchmark(spark, d, inference.Model(_Text, "text"), cot_prompting=True)
+    return rounded(b.scored(rows), "risk_score")
+
+
+_HASH60 = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH t AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':42'), p_partkey) AS p FROM part), n AS (SELECT count(*) AS n FROM part),
+  j AS (SELECT p_partkey AS k, j, {_HASH60.format("CAST(p_partkey AS VARCHAR) || ':42:0:' || CAST(j AS VARCHAR)")} % n + 1 AS p FROM part, n, range(15) r(j)),
+  u AS (SELECT k, p, min(j) AS j FROM j GROUP BY 1, 2), w AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY j) AS r FROM u),
+  s AS (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY md5(CAST(k AS VARCHAR) || ':42:0:' || CAST(p AS VARCHAR))) AS shot FROM w WHERE r <= 3),
+  h AS (SELECT k, string_agg(CASE WHEN shot = 1 THEN {_DESCRIPTION} ELSE '' END || {_INFO} || {_ASK} || ' ' || CASE WHEN p_retailprice > 1000 THEN 'B' ELSE 'A' END || chr(10) || chr(10), '' ORDER BY shot) AS head FROM s JOIN t USING (p) GROUP BY k)
+  SELECT p_partkey, md5(head || {_INFO} || {_ASK}) AS digest FROM part JOIN h ON p_partkey = k""")
+def few_shot_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """Three examples drawn anew for each row."""
+    rows = _parts(spark, d).withColumn("row_id", F.col("p_partkey"))
+    return Prompts(TASK).few_shot_each(rows, rows, MC, shots=3).select("p_partkey", F.md5("prompt").alias("digest"))
