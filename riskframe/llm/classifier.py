@@ -124,10 +124,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_
             found = [counted(f) for f in features(batch["t"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["quality"], pa.array([x.astype(np.uint16).tobytes() for x, _ in found], pa.binary()), pa.array([y.astype(np.float32).tobytes() for _, y in found], pa.binary())], ["_id", "quality", "f", "s"])
 
-    return rows.mapInArrow(run, "_id bigint, quality int, f binary, s binary")
+    return rows.mapInArrow(run, f"_id {labels.schema['doc_id'].dataType.simpleString()}, quality int, f binary, s binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model that the sample's documents give; the same whatever order they arrive in."""
     found = sorted(training_rows(docs, labels, sample).toLocalIterator(), key=lambda r: (r["_id"], r["quality"], bytes(r["f"])))
     rows = [(np.frombuffer(r["f"], np.uint16).astype(np.int32), np.frombuffer(r["s"], np.float32)) for r in found]
     return train(rows, np.array([r["quality"] for r in found], np.int64))
@@ -149,6 +150,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, doc_id: str
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """score() of all documents by the model that fit() gives; no labels, or of one value only: every text scores alike."""
     return score(docs, fit(docs, labels, sample))
 
 
@@ -160,7 +162,9 @@ def kept(docs: DataFrame, model: Model, *, threshold: float = 0.7, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = [(x or "").encode() for x in batch[text].to_pylist()]
+                column = batch[text]
+                kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+                texts = [x or b"" for x in column.cast(kind).to_pylist()]  # bytes as they are: malformed text can't raise
                 yield batch.filter(pa.array(known.value.scores(texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new temporary one, which is then set."""
+    """The folder in spark.checkpoint.dir; where that is unset and Spark runs on this machine alone (tests), a new temporary one, which is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="riskframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -165,14 +168,21 @@ def crc_fold(doc_id: str = "doc_id") -> Column:
 SLOTS = 1 << 20
 
 
+def text_key(text: str = "text") -> Column:
+    """A hash of the text; null as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def id_slot(column: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(column.cast("string"), F.lit(""))), F.lit(SLOTS)).cast("int")
 
 
-def without_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows whose id isn't in ids (one column of the same name); null is an id. Rows whose slot holds none of the ids are kept where they
-    are; only the others are moved to meet the ids. The table of slots is broadcast: SLOTS bounds its size."""
-    own = ids.select(F.col(column).alias("_gone")).distinct()
-    slots = F.broadcast(own.select(id_slot(F.col("_gone")).alias("_slot")).distinct())
-    here = id_slot(rows[column]) == F.col("_slot")
-    return rows.join(slots, here, "left_anti").unionByName(rows.join(slots, here, "left_semi").join(own, rows[column].eqNullSafe(F.col("_gone")), "left_anti"))
+def without_rows(rows: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text", inside: bool = False) -> DataFrame:
+    """Rows whose id and text_key() aren't among the pairs (doc_id, key), or with `inside` those that are; null is an id. Rows whose slot holds none of the pairs are kept
+    (or left) where they are; only the others are moved to meet the pairs. The table of slots is broadcast: SLOTS bounds its size."""
+    own = pairs.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    slots = F.broadcast(own.select(id_slot(F.col("_id")).alias("_slot")).distinct())
+    here = id_slot(rows[doc_id]) == F.col("_slot")
+    same = rows[doc_id].eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_key"))
+    near = rows.join(slots, here, "left_semi").join(own, same, "left_semi" if inside else "left_anti")
+    return near if inside else rows.join(slots, here, "left_anti").unionByName(near)

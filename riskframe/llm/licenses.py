@@ -7,6 +7,8 @@ pruned by size. Everything stays in the JVM.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,54 @@ def template_bigrams(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[
     return out
 
 
+#: Words too common to tell anything, unless a template has no others.
+_COMMON = frozenset(
+    "a an and any are as at author be by can mit code copies copy each either file for form free from general has holder in including is it its june law library list may more name names not notice of "
+    "on or option other out owner parts party person persons possible program project provided public purpose related released rights see shall software some source sources subject such terms that "
+    "the their this to under use used using version was which will with without work works you your all above accept action agree been before below conditions created creation distributed event "
+    "express following found hope must obtain only own part permit publish receive respect same sell specific then these they those useful whether where writing written".split()
+)
+
+
+def telling_words(grams: list[list[str]], threshold: float) -> list[str]:
+    """Words of which any text that reaches the threshold with a template has one.
+
+    Such a text shares at least threshold * (1 + t / (2 - t)) / 2 of the template's m bigrams. So if bigrams with one of some words are more than the rest of m, one of
+    these is shared. Long words are taken first, by what they cover of what is still wanted, since few other texts have them.
+    """
+    share = threshold * (1 + threshold / (2 - threshold)) / 2
+    wanted = [len(g) - math.ceil(len(g) * share - 1e-9) + 1 for g in grams]
+    left = [[x.split(" ") for x in g] for g in grams]
+    out: list[str] = []
+    for common in (False, True):  # common ones only where the others don't suffice
+        while any(n > 0 for n in wanted):
+            gain: dict[str, int] = {}
+            for n, g in zip(wanted, left):
+                for w in {w for pair in g for w in pair} if n > 0 else ():
+                    if common or w not in _COMMON and len(w) > 1:
+                        gain[w] = gain.get(w, 0) + min(n, sum(w in pair for pair in g))
+            if not gain:
+                break
+            best = min(gain, key=lambda w: (-gain[w] * max(1, len(w) - 4) ** 2, w))
+            out.append(best)
+            for i, g in enumerate(left):
+                wanted[i] -= sum(best in pair for pair in g)
+                left[i] = [pair for pair in g if best not in pair]
+    return out
+
+
+def beginning(words: list[str]) -> str:
+    """A regular expression for texts in which a word begins with one of these, in either case; letters that words share are tried once."""
+
+    def tree(rest: list[str]) -> str:
+        if "" in rest:
+            return ""
+        by = {c: tree([w[1:] for w in rest if w[0] == c]) for c in sorted({w[0] for w in rest})}
+        return "(?:" + "|".join(c + x for c, x in by.items()) + ")"
+
+    return f"(?i)(?:^|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]){tree(words)}"
+
+
 def window_templates(templates: dict[str, list[str]], texts: dict[str, list[str]]) -> list[tuple[str, int, list[str], list[int]]]:
     """(licence, number of the notice, its distinct bigrams, the lengths of its windows in bigrams); texts are numbered after the licence's templates."""
     short, full = template_bigrams(templates), template_bigrams(texts)
@@ -135,8 +185,12 @@ def license_hits(docs: DataFrame, *, threshold: float = THRESHOLD, templates: di
     need = max(1, int(threshold * min(sizes) * (1 + low) / 2))
     known = sorted({x for _, _, g in grams for x in g})
     wide = window_templates(templates, texts)
+    words = telling_words([g for _, _, g, _ in wide], threshold)
+    # One search through the text as it is says of nearly all that no template can be reached; the rest isn't done for them.
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("_t"), F.split(normalised(t), " +").alias("_w"))
+    t = F.when(t.rlike(beginning(words)), t).otherwise("") if words else t
+    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("_t"))
+    rows = rows.select("doc_id", "_t", F.split(normalised(F.col("_t")), " +").alias("_w"))
     shared = F.filter(F.transform("_w", lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1))), lambda g: g.isin(sorted({x for _, _, g, _ in wide for x in g})))
     rows = rows.select("doc_id", "_t", "_w", shared.alias("_s"))
     rows = rows.select("doc_id", F.when(F.size(F.filter("_s", lambda g: g.isin(known))) >= need, F.col("_t")).alias("_t"), F.col("_t").alias("_all"), "_w", F.array_distinct("_s").alias("_s"))

@@ -3,6 +3,9 @@
 Each document draws an exponential key, -ln(u) divided by its quality weight. Within a source, documents
 are taken in the order of their keys. A source whose target exceeds its size is taken whole as often as
 it fits (complete epochs); the rest goes to the first documents, up to the budget.
+
+The documents that the rest goes to are those up to one key, the source's cut. It is found from sums over ranges of
+keys, and within the one range that the budget ends in; texts are never moved, each row meets its source's cut.
 """
 
 from __future__ import annotations
@@ -10,14 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, unit_hash
+from .common import SPACE, Scratch, unit_hash
 
 WEIGHTS = (1, 2, 3)
+#: Ranges of keys of a source: one task orders the rows of one range of each.
+BINS = 4096
+#: Sources up to which their table is sent to every task; with more, Spark chooses how to join it.
+BROADCAST_SOURCES = 1 << 16
 
 
 def n_words(text: str = "text") -> Column:
     """Words of a text; null has none."""
-    return F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")).cast("long")
+    inner = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACE))).cast("long")
 
 
 def letter_share(text: str = "text") -> Column:
@@ -50,40 +58,75 @@ def source_targets(sizes: DataFrame, share: float = 1.0, most: float = 3.0, weig
     return filled.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _fine(docs: DataFrame, doc_id: str, text: str, source: str, quality: Column | None, seed: int, keep: bool) -> DataFrame:
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, quality: Column | None, seed: int, bins: int) -> DataFrame:
+    """The row as doc, and doc_id, source, size, key, bin: a fixed increasing function of the key, so that equal keys share a bin."""
     weight = letter_share(text) if quality is None else quality
     key = -F.log(unit_hash(doc_id, F.md5(F.coalesce(F.col(text), F.lit(""))), seed=seed)) / weight
-    doc = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if keep else []
-    return docs.select(*doc, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), key.alias("key"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), key.alias("key"))
+    return rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * (1.0 - F.exp(-F.col("key") * 0.9))).cast("int")))
+
+
+#: A row's place in its source's order. Ties in the key go by doc_id, null last; rows that still tie are alike.
+def _place() -> Column:
+    return F.struct("key", F.col("doc_id").isNull().alias("none"), "doc_id")
 
 
-def mix(docs: DataFrame, *, share: float = 1.0, most: float = 3.0, weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None, seed: int = 7, bins: int = 512, keep: bool = False, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def _with_sources(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    own = sources.select(F.col("source").alias("_s"), *[c for c in sources.columns if c != "source"])
+    return rows.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def cuts(thin: DataFrame, scratch: Scratch, share: float, most: float, weights: tuple[int, ...]) -> tuple[DataFrame, bool]:
+    """One row a source: source, source_size, target, epochs (how often it is taken whole), cut_bin, cut (the place of the last row that is taken once more, of
+    those in that bin; null if none is) and ties, most_ties (rows at that place, and how many of them are taken); and whether sources are few."""
+    sums = scratch.table(thin.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, most, weights)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < int(most), F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0.0)))
+    targets = scratch.table(targets.select("source", "source_size", "target", "epochs", "rest"), "targets")
+    few = targets.count() <= BROADCAST_SOURCES
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bases = _with_sources(sums.withColumn("base", F.coalesce(F.sum("bin_size").over(before), F.lit(0))), targets, few)
+    ends = bases.where((F.col("rest") > 0) & (F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("base") + F.col("bin_size"))).select("source", F.col("bin").alias("cut_bin"), "base", "rest")
+    ends = scratch.table(ends, "ends")
+    # The documents of the one bin that the rest ends in; taken while half of the document or more lies within the rest.
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("key", F.col("doc_id").isNull(), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = _with_sources(thin, ends, few).where("bin = cut_bin").withColumn("taken", F.col("base") + run - F.col("size") / 2.0 <= F.col("rest")).withColumn("place", _place())
+    cut = inside.withColumn("cut", F.max(F.when(F.col("taken"), F.col("place"))).over(Window.partitionBy("source"))).where("place = cut")
+    cut = cut.groupBy("source", "cut").agg(F.count(F.lit(1)).alias("ties"), F.count_if("taken").alias("most_ties"))
+    found = targets.join(ends.select(F.col("source").alias("_e"), "cut_bin"), F.col("source").eqNullSafe(F.col("_e")), "left").join(cut.withColumnRenamed("source", "_c"), F.col("source").eqNullSafe(F.col("_c")), "left")
+    return scratch.table(found.select("source", "source_size", "target", "epochs", "cut_bin", "cut", "ties", "most_ties"), "cuts"), few
+
+
+def _copied(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """Adds source_size, target and copies. Only rows that tie at a cut, and are alike, have to be counted."""
+    out = _with_sources(rows, sources, few).withColumn("place", _place())
+    ahead = (F.col("bin") < F.col("cut_bin")) | (F.col("bin") == F.col("cut_bin")) & F.coalesce(F.col("place") <= F.col("cut"), F.lit(False))
+    tied = F.coalesce((F.col("bin") == F.col("cut_bin")) & (F.col("place") == F.col("cut")) & (F.col("most_ties") < F.col("ties")), F.lit(False))
+    once = F.coalesce(ahead, F.lit(False)).cast("int")
+    if sources.where("most_ties < ties").isEmpty():
+        out = out.withColumn("once", once)
+    else:
+        counted = out.where(tied).withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("key"))).withColumn("once", (F.col("_r") <= F.col("most_ties")).cast("int")).drop("_r")
+        out = out.where(~tied).withColumn("once", once).unionByName(counted)
+    return out.withColumn("copies", F.col("epochs") + F.col("once"))
+
+
+def mix(docs: DataFrame, *, share: float = 1.0, most: float = 3.0, weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None, seed: int = 7, bins: int = BINS, keep: bool = False, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, key, source_size, target, copies, taken; a row for each row of docs.
 
     Null texts and texts without words have size 0 and cost nothing. A null source is a source. Ties in the key are
     ordered by doc_id; identical rows may swap places, with the same result. A document is taken at most `most` times
-    (a whole number). The budget's last document is taken if that leaves the source nearer to its target.
+    (a whole number). The budget's last document is taken if that leaves the source nearer to its target. keep: column doc has the row.
 
-    Keys are dealt into `bins` ranges a source, so that a source with a third of all rows is ordered by many tasks:
-    the sum before a document is the sum of the bins before its own, plus the sum within its bin. keep: column doc has the row.
+    Keys are dealt into `bins` ranges a source, so that a source with a third of all rows is added up by many tasks, and ordered only
+    within the range that its budget ends in.
     """
-    rows = _fine(docs, doc_id, text, source, quality, seed, keep)
-    # A fixed increasing function of the key; equal keys share a bin.
-    rows = rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * (1.0 - F.exp(-F.col("key") * 0.9))).cast("int")))
-    sums = rows.drop("doc").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, most, weights)
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("base", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "base")
-    t = targets.select(F.col("source").alias("_ts"), "source_size", "target")
-    bins_of = bases.join(t, F.col("_s").eqNullSafe(F.col("_ts"))).drop("_ts")
-    inside = Window.partitionBy("source", "bin").orderBy("key", F.col("doc_id").isNull(), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.sum("size").over(inside))
-    out = rows.join(bins_of, (F.col("bin") == F.col("_b")) & F.col("source").eqNullSafe(F.col("_s")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - F.col("_epochs") * F.col("source_size")
-    # Taken while half of the document or more lies within the rest.
-    part = (F.col("_epochs") < int(most)) & (F.col("base") + F.col("_run") - F.col("size") / 2.0 <= F.col("_rest")) & (F.col("_rest") > 0)
-    out = out.withColumn("_epochs", epochs).withColumn("_rest", rest).withColumn("copies", F.col("_epochs") + F.when(part, F.lit(1)).otherwise(F.lit(0)))
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = _sized(docs, doc_id, text, source, quality, seed, bins)
+    thin = scratch.table(rows.drop("doc"), "sized")
+    sources, few = cuts(thin, scratch, share, most, weights)
+    out = _copied(rows if keep else thin, sources, few)
     return out.select(*(["doc"] if keep else []), "doc_id", "source", "size", "key", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, distinct, gram_hashes, small_batches, text_bytes
+from .common import Scratch, Words, distinct, gram_hashes, small_batches, text_bytes, text_key, without_rows
 
 #: Fewest and most slots of the sketch of shingle counts by which shingles are ordered; it is one byte a slot when it reaches the tasks. Between these there
 #: is one slot for so many bytes of input: with more shingles a slot, rare and frequent ones could no longer be told apart.
@@ -108,7 +108,7 @@ def ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def set_features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), h (hash of the set), level, prefix (tokens up to that level; null where the task has lately posted an equal set)."""
+    """doc_id, key (hash of the text), n (set size), h (hash of the set), level, prefix (tokens up to that level; null where the task has lately posted an equal set)."""
     id_type = docs.schema[doc_id].dataType.simpleString()
     known = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -132,10 +132,10 @@ def set_features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int,
             if len(seen) > _RECENT:
                 seen.clear()
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes), pa.array(hashes, pa.int64()), pa.array(levels, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "h", "level", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(sizes), pa.array(hashes, pa.int64()), pa.array(levels, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "key", "n", "h", "level", "prefix"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, n bigint, h bigint, level int, prefix array<bigint>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("key"), text_bytes(text).alias("t"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, key bigint, n bigint, h bigint, level int, prefix array<bigint>")
 
 
 def likely_counts(sketch: np.ndarray) -> np.ndarray:
@@ -293,7 +293,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
 
 
 def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id; a row for each row of docs.
+    """doc_id, n_shingles, component_id, and with them key (hash of the text) and group (a component, whatever its ids; null without words); a row for each row of docs.
 
     Documents link when 100 * shared shingles >= percent * united ones; a component is what links lead to, named by its least
     doc_id. Texts without words (nulls too) link with nothing; their component is their own id. Rows that repeat a doc_id count
@@ -303,7 +303,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str =
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     features = scratch.table(set_features(docs, doc_id, text, n, percent, shingle_sketch(docs, text, n)), "features")
-    ids = scratch.table(features.select("doc_id", "n", "h"), "ids")
+    ids = scratch.table(features.select("doc_id", "key", "n", "h"), "ids")
     classes = scratch.table(ids.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
     near = scratch.table(near_classes(features), "near")
     scratch.drop(features)
@@ -314,10 +314,31 @@ def ngram_join(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str =
     of = classes.join(links, "h", "left").select("h", comp.alias("comp"), "rep")
     of = scratch.table(of, "components")
     names = scratch.table(of.groupBy("comp").agg(F.min("rep").alias("component_id")), "names")
-    named = scratch.table(of.join(names, "comp").select("h", "component_id"), "named")
+    named = scratch.table(of.join(names, "comp").select("h", F.col("comp").alias("group"), "component_id"), "named")
     scratch.drop(links, classes, near, of, names)
-    with_words = ids.where("n > 0").join(named, "h").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return with_words.unionByName(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    with_words = ids.where("n > 0").join(named, "h").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", "group")
+    return with_words.unionByName(ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", F.lit(None).cast("bigint").alias("group")))
+
+
+def one_of_each_group(docs: DataFrame, *, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of docs, as they are, without near duplicates: of each component of ngram_join() one row stays, that of the least doc_id (null last), then of the least hash of
+    the text; of rows alike in both, one. Texts without words are linked with nothing and all stay.
+
+    Rows are told apart by id and text, so rows that share an id, null too, don't go with each other. Texts of rows that are alone stay where they are.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    rows = scratch.table(ngram_join(docs, n=n, percent=percent, doc_id=doc_id, text=text).where("`group` IS NOT NULL").select("doc_id", "key", "group"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    # A group's rows are counted before they meet, and only those of groups with more rows than one matter.
+    groups = scratch.table(rows.groupBy("group").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    members = rows.join(groups, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))
+    pairs = scratch.table(members.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"), "pairs")
+    kept = without_rows(docs, pairs.where("NOT stays").select("doc_id", "key"), doc_id, text)
+    again = pairs.where("stays").select("doc_id", "key")
+    if again.isEmpty():
+        return kept
+    whole = without_rows(kept, again, doc_id, text)
+    return whole.unionByName(without_rows(kept, again, doc_id, text, inside=True).dropDuplicates([doc_id, text]))
 
 
 def linked_classes(docs: DataFrame, near: DataFrame, classes: DataFrame, scratch: Scratch, doc_id: str, text: str, n: int, percent: int) -> DataFrame:

@@ -38,6 +38,8 @@ PATTERNS = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 }
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: A run that fails as a token's head from one start fails from all others in it: what follows the run is the same.
+HEAD = re.compile(r"[A-Za-z0-9_-]*")
 
 
 def base62(number: int, width: int) -> str:
@@ -90,10 +92,14 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found, past = [], dict.fromkeys(PATTERNS, 0)
     for last, (kind, length) in automaton().iter(text):
         start = last - length + 1
-        if start >= past[kind] and (m := PATTERNS[kind].match(text, start)):
+        if start < past[kind]:
+            continue
+        if m := PATTERNS[kind].match(text, start):
             past[kind] = m.end()
             if _valid(kind, m):
                 found.append((kind, start, m.end()))
+        elif kind == "jwt":
+            past[kind] = HEAD.match(text, start).end()
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

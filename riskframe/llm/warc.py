@@ -1,6 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page and rolled into gzip files by compressed size, one member a record. Tasks write under
+Records are range-sorted by page and rolled into gzip files by compressed size, one member a record. Ranges follow from the bytes of all
+payloads, added up over slices of the ids: the same pages give the same files, however they are dealt out or read. Tasks write under
 temporary names and report them; the reports of the attempts that count are themselves a table in the shared folder, from
 which the files get their final names and the manifest is written. A lost executor's attempts leave only temporary files,
 which the commit deletes.
@@ -12,20 +13,29 @@ import gzip
 import hashlib
 import io
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Scratch, small_batches, text_bytes
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 1000
 ROLL_BYTES = 8 << 20
+#: Payload bytes of a range; more than that where there would be more ranges than MOST_RANGES.
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 1 << 14
+#: Slices of the ids in which payload bytes are added up; slices that are heavier than a range are sliced again.
+SLICES = 1 << 12
+#: What a record takes besides its payload, about.
+HEADER_BYTES = 512
 DATE = datetime(2000, 1, 1, tzinfo=timezone.utc)
 
 
@@ -72,11 +82,58 @@ class Rolled:
         self.sha.update(data)
         self.n, self.size = self.n + 1, self.size + len(data)
 
-    def close(self) -> None:
+    def close(self) -> list[dict]:
         if self.out is not None:
             self.out.close()
             self.done.append({"file": self.name, "temporary": f"{self.name}.{self.attempt}.tmp", "records": self.n, "bytes": self.size, "sha256": self.sha.hexdigest()})
             self.out = None
+        return self.done
+
+
+def place_of(rows: DataFrame) -> Column:
+    """A number that orders pages: half of a whole id, so that differences can't overflow; of other ids, one made from their MD5. Null for a null id."""
+    if isinstance(rows.schema["page_id"].dataType, IntegralType):
+        return F.shiftright(F.col("page_id").cast("bigint"), 1)
+    return F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
+def dealt(rows: DataFrame, sized: DataFrame, partitions: int | None) -> tuple[DataFrame, int]:
+    """rows with at and range, and the number of ranges. sized: at and size of all pages. A null id lies in the first range; rows of one id share a range."""
+    low, high, total = sized.agg(F.min("at"), F.max("at"), F.sum(F.col("size") + HEADER_BYTES)).first()
+    rows = rows.withColumn("at", place_of(rows))
+    if low is None:
+        return rows.withColumn("range", F.lit(0)), 1
+    each = -(-total // partitions) if partitions else max(RANGE_BYTES, -(-total // MOST_RANGES))
+    weights, width = sliced(sized, low, high, 2 * each)
+    starts, filled = [low], 0
+    for start, weight in sorted(weights.items()):
+        if filled and filled + weight > each:
+            starts.append(start)
+            filled = 0
+        filled += weight
+    # By slice: the ranges that start before it, and those that start in it. SLICES rows, and MOST_RANGES starts in all.
+    table = []
+    for k in range((high - low) // width + 1):
+        a, b = bisect_left(starts, low + k * width), bisect_left(starts, low + (k + 1) * width)
+        table.append((k, a, starts[a:b]))
+    of = rows.sparkSession.createDataFrame(table, "_slice long, _before int, _starts array<bigint>")
+    found = rows.join(F.broadcast(of), F.expr(f"(at - ({low}L)) div {width}L") == F.col("_slice"), "left")
+    number = F.col("_before") + F.size(F.filter("_starts", lambda x: x <= F.col("at"))) - 1
+    return found.withColumn("range", F.coalesce(number, F.lit(0)).cast("int")).drop("_slice", "_before", "_starts"), len(starts)
+
+
+def sliced(sized: DataFrame, low: int, high: int, heavy: int) -> tuple[dict[int, int], int]:
+    """Bytes of each slice of places, by its first place, and the width of the widest ones. Slices of more than `heavy` bytes are cut up further, all at once, until
+    they are lighter or hold one place."""
+    bytes_of = F.sum(F.col("size") + HEADER_BYTES)
+    first = width = 1 << ((high - low) // SLICES).bit_length()
+    slices = lambda rows, w: {low + k * w: x for k, x in rows.groupBy(F.expr(f"(at - ({low}L)) div {w}L").alias("k")).agg(bytes_of).collect()}
+    out = slices(sized.where("at IS NOT NULL"), width)
+    while width > 1 and (over := [x for x, weight in out.items() if weight > heavy]):
+        inside = F.expr(f"({low}L) + ((at - ({low}L)) div {width}L) * {width}L").isin(over)
+        width = max(1, width // 64)
+        out = {x: weight for x, weight in out.items() if weight <= heavy} | slices(sized.where(inside), width)
+    return out, first
 
 
 def write(pages: DataFrame, folder: str, *, partitions: int | None = None, roll_bytes: int = ROLL_BYTES, least: int = LEAST, scratch: Scratch | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -89,8 +146,10 @@ def write(pages: DataFrame, folder: str, *, partitions: int | None = None, roll_
     small_batches(spark, rows=256)
     scratch = scratch or Scratch(spark, "warc")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), text_bytes(html).alias("payload"))
-    small = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least)
-    keepers = small.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL").select(F.col("digest").alias("_d"), F.col("size").alias("_s"), "keeper")
+    sized = scratch.table(rows.select("page_id", place_of(rows).alias("at"), F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size")), "sized")
+    small = sized.where(F.col("size") >= least)
+    keepers = small.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL")
+    keepers = scratch.table(keepers.select(F.col("digest").alias("_d"), F.col("size").alias("_s"), "keeper"), "keepers")
     refers = small.join(keepers, (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")) & ~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "digest", "keeper")
     refers = scratch.table(refers.distinct(), "refers")
     # What a page refers to travels with it through one range sort; payloads are moved once.
@@ -98,17 +157,20 @@ def write(pages: DataFrame, folder: str, *, partitions: int | None = None, roll_
     both = rows.select("page_id", F.lit(1).alias("what"), "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast(id_type).alias("keeper")).unionByName(
         refers.select("page_id", F.lit(0).alias("what"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "keeper")
     )
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartitionByRange(n, "page_id").sortWithinPartitions(F.col("page_id"), "what", "url", F.md5(F.coalesce("payload", F.lit(b""))))
+    both, n = dealt(both, sized, partitions)
+    both = both.repartitionById(n, "range").sortWithinPartitions("range", "at", "page_id", "what", "url", F.md5(F.coalesce("payload", F.lit(b""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = store(folder)
         fs.create_dir(path, recursive=True)
-        at = TaskContext.get()
-        out = Rolled(fs, path, at.partitionId(), f"{at.taskAttemptId()}-{uuid.uuid4().hex[:8]}", roll_bytes)
+        attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        out, done = None, []
         own, keepers = object(), {}
         for batch in batches:
-            for page, what, url, payload, digest, keeper in zip(*(batch[c] for c in ("page_id", "what", "url", "payload", "digest", "keeper"))):
+            for page, what, url, payload, digest, keeper, part in zip(*(batch[c] for c in ("page_id", "what", "url", "payload", "digest", "keeper", "range"))):
+                if out is None or part.as_py() != out.part:
+                    done += out.close() if out else []
+                    out = Rolled(fs, path, part.as_py(), attempt, roll_bytes)
                 if (page := page.as_py()) != own:
                     own, keepers = page, {}
                 if what.as_py() == 0:
@@ -117,9 +179,9 @@ def write(pages: DataFrame, folder: str, *, partitions: int | None = None, roll_
                 data = payload.as_py()
                 sha = hashlib.sha1(data).hexdigest()
                 out.write(record(page, url.as_py(), data, sha, keepers.get(sha), len(data)))
-        out.close()
-        if out.done:
-            yield pa.RecordBatch.from_pylist(out.done)
+        done += out.close() if out else []
+        if done:
+            yield pa.RecordBatch.from_pylist(done)
 
     found = scratch.table(both.mapInArrow(run, "file string, temporary string, records bigint, bytes bigint, sha256 string"), "written")
     return commit(found, folder, scratch)

@@ -115,6 +115,21 @@ def test_ngram_join_levels_do_not_change_links(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: c for d, (_, c) in brute.components(rows).items()}
 
 
+def test_ngram_join_of_null_ids_keeps_links(spark):
+    """Documents without an id link others, and texts that share an id are verified each by itself."""
+    w = [f"w{i}" for i in range(40)]
+    chain = [" ".join([*w[:k], *(f"x{i}" for i in range(k)), *w[k:]]) for k in (0, 1, 2)]
+    rows = [(7, chain[0]), (None, chain[1]), (9, chain[2]), (9, "alone among many others here today"), (None, None)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    links = brute.components([(i, t) for i, (_, t) in enumerate(rows)])
+    ids = [d for d, _ in rows]
+    want = []
+    for i, (n, c) in links.items():
+        own = [ids[j] for j in links if links[j][1] == c and ids[j] is not None]
+        want.append((str(ids[i]), n, str(min(own) if own and n else ids[i])))
+    assert got == sorted(want)
+
+
 def test_ngram_join_odd(odd, none):
     rows = ngram_join.ngram_join(odd).collect()
     assert len(rows) == len(ODD)
@@ -152,6 +167,48 @@ def test_licenses_in_wrapped_notices_and_whole_texts(spark, sf):
     assert [(h["line"], h["license"]) for h in hits] == [(2, "MIT")]
 
 
+def test_telling_words_lose_no_hit():
+    """Of any template, the bigrams without a telling word are too few for a hit; so a text without one of the words has none."""
+    import math
+    import re
+
+    wide = licenses.window_templates(licenses.TEMPLATES, licenses.TEXTS)
+    words = licenses.telling_words([g for _, _, g, _ in wide], licenses.THRESHOLD)
+    low = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+    begins = re.compile(licenses.beginning(words))
+    for _, _, g, _ in wide:
+        assert sum(not set(x.split()) & set(words) for x in g) < math.ceil(len(g) * licenses.THRESHOLD * (1 + low) / 2 - 1e-9)
+    assert all(begins.search(f"so_{w.upper()}") and begins.search(w) for w in words) and not begins.search("prelicense")
+    assert licenses.telling_words([["of the", "the of"]], 0.8) == ["of"]
+
+
+def test_license_dice_of_lines(spark, docs):
+    """Lines, sentences and whole texts by plain sets; windows can only add."""
+    import re
+
+    def grams(x):
+        w = re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", x.translate(brute.ASCII_LOWER)).split()
+        return {(a, b) for a, b in zip(w, w[1:])}
+
+    known = [(name, grams(n)) for name, notices in licenses.TEMPLATES.items() for n in notices]
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in licenses.license_hits(docs).collect():
+        units = [(-1, text[r["doc_id"]])]
+        for i, line in enumerate(text[r["doc_id"]].split("\n")):
+            units += [(i, x) for x in {line, *re.split("(?<=[.!?]) +", line)}]
+        best = {}
+        for i, x in units:
+            g = grams(x)
+            for name, m in known:
+                d = 2 * len(g & m) / (len(g) + len(m)) if g else 0
+                if d >= licenses.THRESHOLD:
+                    best[i] = max(best.get(i, 0), d)
+        found = {}
+        for h in r["hits"]:
+            found[h["line"]] = max(found.get(h["line"], 0), h["dice"])
+        assert all(found.get(i, 0) == pytest.approx(d) for i, d in best.items())
+
+
 def test_license_size_bounds_lose_no_hit():
     """Dice can't reach the threshold outside the bounds."""
     for b in range(1, 60):
@@ -233,6 +290,17 @@ def test_secrets(spark, docs):
         assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in secrets.BASE] == brute.base_secrets(r["text"])
 
 
+def test_secret_scan_is_linear_in_token_heads():
+    """Runs that look like heads of signed tokens are read once, whatever they hold."""
+    import time
+
+    began = time.perf_counter()
+    assert secrets.scan("eyJ" * 300_000) == [] and secrets.scan("eyJ." * 200_000) == []
+    assert time.perf_counter() - began < 10
+    good = "eyJhbGciOiJIUzI1NiJ9.e30.abc"
+    assert [(k, a) for k, a, _ in secrets.scan("eyJeyJ eyJ" + " " + good)] == [("jwt", 11)]
+
+
 def test_secrets_odd(odd, none):
     assert secrets.secrets(odd).count() == len(ODD) and secrets.secrets(none).count() == 0
 
@@ -256,6 +324,22 @@ def test_warc_round_trip(spark):
     assert all(r["bytes"] <= 700 or r["records"] == 1 for r in manifests[0].collect())
 
 
+def test_warc_is_the_same_however_pages_are_dealt(spark, monkeypatch):
+    """More pages than a range sort would sample, two runs, two partitionings, ids in clumps and a null one."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 150_000)
+    pages = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.col("id") * 1_000_003).otherwise(F.col("id")).alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.concat(F.lit("<p>"), F.md5(F.col("id").cast("string"))).alias("html"))
+    pages = pages.unionByName(spark.createDataFrame([(None, "n", "x"), (-5, "m", "y"), (7, "again", "z")], "page_id long, url string, html string"))
+    found = []
+    for n in (2, 7):
+        folder = f"{shared_dir(spark)}/warc-same-{random.randrange(10**9)}"
+        manifest = warc.write(pages.repartition(n), folder)
+        found.append(sorted(map(tuple, manifest.collect())))
+        assert warc.read(manifest, folder).count() == 30003
+    assert found[0] == found[1] and len(found[0]) > 10
+    # Slices of clumped ids are cut up, so that no range holds much more than its share.
+    assert max(r[1] for r in found[0]) < 4 * 30003 / len(found[0])
+
+
 def test_warc_nothing(spark):
     folder = f"{shared_dir(spark)}/warc-none-{random.randrange(10**9)}"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
@@ -270,6 +354,38 @@ def test_classifier_on_held_out_rows(spark):
     assert out["score"].between(0, 1).all()
 
 
+def test_classifier_scores_are_means_of_weights(spark, docs, sf):
+    """Each document's score from the model's arrays, bucket by bucket."""
+    import math
+    import re
+
+    model = classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in classifier.score(docs, model).collect()}
+    for r in docs.limit(40).collect():
+        data = r["text"].encode()
+        found = [int(h) >> 48 for h in classifier.Words([data]).hashes]
+        words = re.split(rb"[\x20\x09-\x0d]+", bytes(b + 32 if 65 <= b <= 90 else b for b in data).strip(b" \t\n\x0b\x0c\r"))
+        for a, b, c in zip(words, words[1:], words[2:]):
+            found.append(((a == b) + 2 * (b == c) + 4 * (a == c)) * 7919 + 101)
+        x = [32 if 9 <= b <= 13 else 48 if 48 <= b <= 57 else b for b in data]
+        for n in classifier.GRAMS:
+            for i in range(len(x) - n + 1):
+                h = x[i]
+                for v in x[i + 1 : i + n]:
+                    h = (h * 0x01000193 ^ v) & 0xFFFFFFFF
+                found.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 16)
+        z = math.fsum(float(model.weights[f]) for f in found) / max(1, len(found)) + model.bias
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_classifier_keeps_malformed_texts_and_takes_any_id(spark):
+    """Bytes that are no UTF-8, and ids that are strings."""
+    rows = spark.createDataFrame([("a", bytearray(b"good words \xff\xfe here")), ("b", None)], "doc_id string, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, quality int")
+    model = classifier.fit(rows, labels)
+    assert classifier.kept(rows, model, threshold=0.0).count() == 2 and classifier.score(rows, model).count() == 2
+
+
 def test_classifier_odd(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 14)] + [(2, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = classifier.classify(odd, labels).collect()
@@ -288,6 +404,18 @@ def test_rules(spark, odd, none):
     assert rules.quality_rules(odd).count() == len(ODD) and rules.quality_rules(none).count() == 0
 
 
+def test_rules_verdict(spark, docs):
+    """kept, from the rules as they read, not from the ledger."""
+    letters = lambda t: [c for c in t if c.isascii() and c.isalpha()]
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rules.quality_rules(docs).collect():
+        t = text[r["doc_id"]]
+        n, chars, symbols, dup, rep = brute.measures(t)
+        lines = [x for x in t.split("\n") if brute.words(x)]
+        bad = [n < 50, 100 * rep > 50 * n, 4 * symbols > n, 10 * dup > 3 * len(lines), chars < 2 * n, chars > 20 * n, 2 * sum(c.isupper() for c in letters(t)) > len(letters(t)), 10 * t.count("!") > 3 * n]
+        assert r["kept"] == (not any(bad)) and r["base_failed"] == any(bad[:2]) and r["fail_bits"] == sum(b << k for k, b in enumerate(bad))
+
+
 def test_ablation_counts(docs):
     led = rules.ledger(rules.measure(docs))
     bits = [r["fail_bits"] for r in led.collect()]
@@ -304,16 +432,53 @@ def test_languages_on_held_out_rows(spark):
     assert (out["lang_pred"] == out["lang"]).mean() > 0.97 and out["score"].between(0, 1).all()
 
 
+def plain_bundle(text: str) -> list[int]:
+    """Trigram by trigram, from the letters' vectors."""
+    import numpy as np
+
+    codes = [0]
+    for c in text:
+        x = ord(c.lower()[0]) if c.isalpha() else 0
+        if x or codes[-1]:
+            codes.append(x)
+    codes += [0] * (codes[-1] != 0)
+    v = {x: langid.letter_vectors(np.array([x]))[0].astype(int) for x in set(codes)}
+    return sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+
 def test_language_vectors_bind_and_bundle():
-    """The counts' product with the table equals trigram vectors built one by one."""
+    """Bundles equal trigram vectors added up one by one, in any script."""
+    texts = ["Abba ab", "Привет, мир", "γειά σου Κόσμε 12", "你好世界 你好", "é"]
+    found = langid.bundled([langid.trigram_counts(t.encode()) for t in texts])
+    assert all((row == plain_bundle(t)).all() for row, t in zip(found, texts))
+    letters = langid.letter_vectors(__import__("numpy").array([ord(c) for c in "абвгдежзийклмнопрстуфхцчшщъыьэюяabcdefghijklmnopqrstuvwxyz你好世界"]))
+    assert len({row.tobytes() for row in letters}) == len(letters)
+
+
+def test_languages_against_plain_arithmetic(spark, docs):
+    """Prototypes and cosines of all documents, done one by one."""
     import numpy as np
 
-    v = langid.trigram_vectors()
-    letters = np.random.default_rng(11).integers(0, 2, (langid.CLASSES, langid.DIMENSIONS), np.int8) * 2 - 1
-    at, n = langid.trigram_counts(b"Abba ab")
-    codes = [ord(c) - 96 if c != " " else 0 for c in " abba ab "]
-    bundle = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(codes, codes[1:], codes[2:]))
-    assert (n @ v[at].astype(int) == bundle).all()
+    rows = docs.collect()
+    sums = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + plain_bundle(r["text"])
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for r in rows[:60]:
+        x = plain_bundle(r["text"])
+        cosine = {k: float(x @ v / np.linalg.norm(x) / np.linalg.norm(v)) for k, v in sums.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(max(0.0, cosine[best]), abs=1e-9)
+
+
+def test_languages_of_other_scripts(spark):
+    """Languages that share a script but no more than some letters are told apart."""
+    russian, greek, chinese, bulgarian = "съешь же ещё этих мягких французских булок да выпей чаю", "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "天地玄黄宇宙洪荒日月盈昃辰宿列张", "за миг бях в чужд плюшен скърцащ фотьойл"
+    rows = [(i, " ".join(t.split(" ")[i % 3 :]) or t, k) for k, t in (("ru", russian), ("el", greek), ("zh", chinese), ("bg", bulgarian)) for i in range(8)]
+    docs = spark.createDataFrame([(100 * j + i, t, k) for j, (i, t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = langid.identify(docs).join(docs, "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
 
 
 def test_languages_odd(odd, none):
@@ -346,10 +511,30 @@ def test_mix(docs):
 
 
 def test_mix_prefers_quality(spark):
-    """Documents of ten times the weight are taken far more often."""
-    t = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 1000, "x").otherwise("y").alias("source"), (F.col("id") % 2).alias("good"))
+    """Documents of ten times the weight are taken far more often, as often as drawing them one by one without replacement would."""
+    import numpy as np
+
+    t = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 3000, "x").otherwise("y").alias("source"), (F.col("id") % 2).alias("good"))
     rows = mixing.mix(t, quality=F.when(F.col("good") == 1, 1.0).otherwise(0.1)).join(t.select("doc_id", "good"), "doc_id").where("source = 'x'").toPandas()
-    assert rows[rows.good == 1]["copies"].sum() > 3 * rows[rows.good == 0]["copies"].sum()
+    good, bad = rows[rows.good == 1]["copies"].sum(), rows[rows.good == 0]["copies"].sum()
+    rng, drawn = np.random.default_rng(1), []
+    weights = np.where(np.arange(3000) % 2 == 1, 1.0, 0.1)
+    for _ in range(200):
+        drawn.append((np.argsort(rng.exponential(size=3000) / weights)[: good + bad] % 2).sum())
+    assert good + bad == pytest.approx(4000 / 3, abs=1) and good > 4 * bad and abs(good - np.mean(drawn)) < 5 * np.std(drawn)
+
+
+def test_mix_of_rows_that_tie(spark):
+    """Identical rows have one key; of those at a source's cut as many are taken as its target has room for."""
+    same = spark.range(900).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    other = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("y").alias("source"))
+    t = same.unionByName(other)
+    rows = mixing.mix(t).collect()
+    assert len(rows) == 1000
+    for s in "xy":
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+    assert mixing.mixed_rows(t).count() == sum(r["copies"] for r in rows)
 
 
 def test_mix_odd(odd, none):

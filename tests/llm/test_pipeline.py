@@ -43,6 +43,15 @@ def test_one_of_each_drifting_group_stays(spark, sf):
     assert sorted(r["doc_id"] for r in out.collect()) == want
 
 
+def test_rows_that_share_or_lack_an_id_are_told_apart(spark, sf):
+    """Of repeated rows one stays; other texts of the same id, or without one, stay if they are no copies."""
+    a, b = ("%s one two three four five six seven eight nine ten" % x for x in "ab")
+    c = "ten nine eight seven six five four three two one"
+    rows = [(1, a), (1, a), (1, b + " x y z w"), (None, c), (None, c), (None, "p q r s t u v"), (2, a), (3, c), (None, None), (None, ""), (4, "a"), (4, "a")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(1, a), (1, b + " x y z w"), (3, c), (None, "p q r s t u v"), (None, None), (None, ""), (4, "a")]))
+
+
 def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "source_mix", "shards"]
