@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import classifier, decontam, mixing, ngram_join, sharding
-from riskframe.llm.common import Scratch, without_ids
+from riskframe.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,10 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each group."""
-    groups = ngram_join.ngram_join(docs)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return without_ids(docs, "doc_id", Scratch(spark, "near-duplicates").table(gone.select("doc_id"), "gone"))
+    """Keeps one document, that of the least doc_id, of each group; of rows that repeat it, one."""
+    return ngram_join.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +53,12 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        last, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
+        if last is not source:
+            scratch.drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
