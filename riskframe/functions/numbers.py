@@ -26,6 +26,16 @@ def clip01(x: Column) -> Column:
     return F.when(valid(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+def both_classes(score: Column) -> Column:
+    """The probabilities of the labels 0 and 1."""
+    return F.array(1 - score, score)
+
+
+def positive_class(scores: Column) -> Column:
+    """Of one or two columns of scores the last."""
+    return F.element_at(scores, -1)
+
+
 def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 

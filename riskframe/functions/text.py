@@ -99,6 +99,11 @@ def laid_out(items: list[Column], layout: str) -> Column:
     return F.regexp_replace(F.concat(*parts), "[, \\n]+$", "")
 
 
+def time_text(at: Column) -> Column:
+    """A time as it stands in names of files."""
+    return F.date_format(at, "yyyy.MM.dd-HH.mm.ss")
+
+
 def after_thinking(x: Column) -> Column:
     """What follows the first </think>, trimmed; the whole text if there is none."""
     at = F.locate("</think>", x)

@@ -48,6 +48,15 @@ def subsample(df: DataFrame, share: float, *, seed: int = 42, row_id: str = "row
     return ranked.join(sizes, "split").where("split_rank <= _k").drop("_k").select(*df.columns)
 
 
+def rows_at(df: DataFrame, split: str, start: int, stop: int | None = None) -> DataFrame:
+    """Rows of a split from one place (from 0) up to another, or to the end, in the split's order."""
+    if split not in ("train", "test", "val"):
+        raise ValueError(f"no split is called {split}")
+    rank = F.col("split_rank")
+    kept = (F.col("split") == split) & (rank > start)
+    return df.where(kept if stop is None else kept & (rank <= stop))
+
+
 def sample(df: DataFrame, n: int, *, seed: int = 42, draw: int = 0, row_id: str = "row_id") -> DataFrame:
     """n rows by the order of a hash; another draw, other rows."""
     return df.orderBy(hash_key(row_id, seed, draw), row_id).limit(n)

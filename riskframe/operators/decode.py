@@ -38,6 +38,11 @@ def from_logprobs(tokens: Column, size: int | Column) -> Column:
     return F.transform_values(in_range(tokens, size), lambda _, v: F.exp(v))
 
 
+def passes_of(positions: Column) -> Column:
+    """Of an array of maps from token to a struct with its logprob: maps to probabilities; null where there are none."""
+    return F.when(F.size(positions) > 0, F.transform(positions, lambda m: F.transform_values(m, lambda _, v: F.exp(v["logprob"]))))
+
+
 def choice_masses(tokens: Column, vocabulary: Column, question: MultipleChoice) -> list[tuple[Column, list[Column]]]:
     """For each prefix: the mass of all keys, and that of each; null where the vocabulary lacks a token."""
     out = []

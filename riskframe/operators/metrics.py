@@ -122,9 +122,9 @@ def ece(df: DataFrame, bins: int = 10, *, positive: bool = False, score: str = "
     return calibration_error(_xy(df, score, label, positive).withColumn("bin", equal_width(F.col("x"), bins)), by)
 
 
-def quantile_bins(df: DataFrame, x: str, bins: int, into: str = "bin") -> DataFrame:
-    """Adds the bin, (lower, upper], between interpolated quantiles; the lowest includes its lower edge."""
-    edges = percentiles(df, x, [i / bins for i in range(1, bins)])
+def quantile_bins(df: DataFrame, x: str, bins: int, into: str = "bin", weight: str | None = None) -> DataFrame:
+    """Adds the bin, (lower, upper], between interpolated quantiles; the lowest includes its lower edge. weight: how many rows each stands for."""
+    edges = percentiles(df, x, [i / bins for i in range(1, bins)], weight)
     listed = edges.agg(F.array_sort(F.collect_list("value")).alias("_edges"))
     return df.crossJoin(F.broadcast(listed)).withColumn(into, F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
@@ -161,14 +161,20 @@ def density(df: DataFrame, *, points: int = 21, bandwidth: float = 0.05, score:
 
 def group_rates(df: DataFrame, group: str, threshold: float = 0.5, *, min_share: float = 0.04, score: str = "risk_score", label: str = "label") -> DataFrame:
     """Counts and rates of each group that has the share of rows or more."""
-    out = confusion(df, threshold, score=score, label=label, by=(group,))
+    return _large_groups(confusion(df, threshold, score=score, label=label, by=(group,)), min_share)
+
+
+def _large_groups(out: DataFrame, min_share: float) -> DataFrame:
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     return out.withColumn("n", n).withColumn("_all", F.sum("n").over(Window.partitionBy())).where(F.col("n") >= min_share * F.col("_all")).drop("_all")
 
 
 def fairness(df: DataFrame, group: str, threshold: float = 0.5, *, min_share: float = 0.04, score: str = "risk_score", label: str = "label") -> DataFrame:
     """One row: ratio (least by greatest; 0 if that is 0) and difference of each rate over groups, and equalized odds; null without groups."""
-    g = group_rates(df, group, threshold, min_share=min_share, score=score, label=label)
+    return _fairness_of(group_rates(df, group, threshold, min_share=min_share, score=score, label=label))
+
+
+def _fairness_of(g: DataFrame) -> DataFrame:
     ends = g.agg(*[f(m).alias(f"{n}_{m}") for m in RATES for n, f in (("lo", F.min), ("hi", F.max))])
     out = {}
     for m in RATES:
@@ -179,17 +185,44 @@ def fairness(df: DataFrame, group: str, threshold: float = 0.5, *, min_share: fl
     return one.withColumn("equalized_odds_ratio", F.least("fnr_ratio", "fpr_ratio")).withColumn("equalized_odds_diff", F.greatest("tpr_diff", "fpr_diff"))
 
 
-def evaluate(df: DataFrame, *, threshold: float | str = 0.5, group: str | None = None, score: str = "risk_score", label: str = "label") -> DataFrame:
-    """One row with all metrics. threshold: a number, or 'best' for that of least cost."""
+def evaluate(df: DataFrame, *, threshold: float | str = 0.5, group: str | None = None, score: str = "risk_score", label: str = "label", bins: int = 10) -> DataFrame:
+    """One row with all metrics. threshold: a number, or 'best' for that of least cost.
+
+    Rows are read and exchanged once, as one row for each group and score; all metrics come from sums over these.
+    """
     if threshold == "best":
         threshold = best_threshold(df, score=score, label=label).first()["threshold"]
-    unscored = df.agg(F.count_if(~valid(F.col(score))).alias("n_unscored"))
-    parts = [unscored, losses(df, score=score, label=label), confusion(df, threshold, score=score, label=label), roc_auc(df, score=score, label=label), ece(df, score=score, label=label), ece_quantile(df, score=score, label=label)]
+    by = (group,) if group else ()
+    y = F.col(label)
+    cells = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.count(F.lit(1)).alias("_rows"))
+    s, p, n, has = F.col(score), F.col("pos"), F.col("neg"), valid(F.col(score))
+    hit, clipped = s >= threshold, F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), s))
+    of = lambda when, x: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
+    tallies = [of(has & ~hit, n).alias("tn"), of(has & hit, n).alias("fp"), of(has & ~hit, p).alias("fn"), of(has & hit, p).alias("tp")]
+    sums = cells.agg(of(~has, F.col("_rows")).alias("n_unscored"), of(has, p + n).alias("n_samples"), of(has, p).alias("n_positives"), of(has, n).alias("n_negatives"), F.sum(F.when(has, -(p * F.log(clipped) + n * F.log(1 - clipped)))).alias("_log"), F.sum(F.when(has, p * (1 - s) * (1 - s) + n * s * s)).alias("_brier"), *tallies)
+    mean = lambda c: F.try_divide(F.col(c), F.col("n_samples").cast("double"))
+    one = sums.select("n_unscored", "n_samples", "n_positives", "n_negatives", mean("_log").alias("log_loss"), mean("_brier").alias("brier_score"), "tn", "fp", "fn", "tp", *[c.alias(x) for x, c in rates().items()])
+    known = cells.where(has)
+    scores = known.groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sure, right = F.greatest(s, 1 - s), F.when(s >= 0.5, p).otherwise(n)
+    sure_cells = scores.select(sure.alias("x"), right.alias("y"), (p + n).alias("w"))
+    parts = [one, _auc_of(scores, score), _gap_of(sure_cells.withColumn("bin", equal_width(F.col("x"), bins)), "ece"), _gap_of(quantile_bins(sure_cells, "x", bins, weight="w"), "ece_quantile")]
     if group:
-        parts.append(fairness(df, group, threshold, score=score, label=label))
+        parts.append(_fairness_of(_large_groups(known.groupBy(group).agg(*tallies).select("*", *[c.alias(x) for x, c in rates().items()]), 0.04)))
     return reduce(lambda a, b: a.crossJoin(b), parts).withColumn("threshold", F.lit(float(threshold)))
 
 
+def _auc_of(scores: DataFrame, score: str) -> DataFrame:
+    points = running(scores, score, {"tp": "pos"})
+    return points.agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+
+
+def _gap_of(binned: DataFrame, name: str) -> DataFrame:
+    """From x, y (a sum), w and bin: the mean gap of the bins' averages, weighted by their rows."""
+    gaps = binned.groupBy("bin").agg(F.abs(F.sum(F.col("x") * F.col("w")) - F.sum("y")).alias("gap"), F.sum("w").alias("w"))
+    return gaps.agg(F.try_divide(F.sum("gap"), F.sum("w").cast("double")).alias(name))
+
+
 def bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
     """metric, mean, std (of the sample), low and high (percentiles): over k resamples of n rows, drawn with replacement by hashes. Exact, but n * k draws are joined to
     the rows: for small tables. Larger ones have poisson_bootstrap()."""

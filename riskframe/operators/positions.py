@@ -21,13 +21,21 @@ def with_position(df: DataFrame, name: str, key: Column, *ties: str, by: tuple[s
     return ranked.withColumn(name, F.col("_start") + F.col("_in")).drop("_key", "_range", "_in", "_start")
 
 
-#: Ranges of scores, which lie between 0 and 1.
-RANGES = 1024
+#: Ranges in which a score, or what it lacks to 1, doubles; and the farthest range.
+STEPS = 256
+FARTHEST = STEPS * 64
+
+
+def range_of(score: Column) -> Column:
+    """A whole number that never falls as the score rises from 0 to 1. Ranges get narrower towards both ends, where the scores of models pile up."""
+    odds = F.when(score < 0.5, F.log2(score) + 1).otherwise(-(F.log2(1 - score) + 1))
+    ends = F.when(score < 0.5, F.lit(-FARTHEST)).otherwise(F.lit(FARTHEST))
+    return F.when(odds.isNull(), ends).otherwise(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.floor(odds * STEPS)))).cast("int")
 
 
 def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...] = (), ascending: bool = False) -> DataFrame:
     """Adds sums of columns from the first row to this one, in the order of a score with one row a value. sums: new name to column."""
-    ranged = df.withColumn("_range", F.least(F.lit(RANGES), F.greatest(F.lit(-1), F.floor(F.col(score) * RANGES))).cast("int"))
+    ranged = df.withColumn("_range", range_of(F.col(score).cast("double")))
     order = (lambda c: F.asc(c)) if ascending else (lambda c: F.desc(c))
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -39,9 +47,9 @@ def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...]
     return out.drop("_range", *[f"_{x}_{n}" for n in sums for x in "si"])
 
 
-def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """share and value: linearly interpolated percentiles of a column between 0 and 1, exact, from one row a distinct value."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+def percentiles(df: DataFrame, column: str, shares: list[float], weight: str | None = None) -> DataFrame:
+    """share and value: linearly interpolated percentiles of a column, of a column between 0 and 1, exact, from one row a distinct value. weight: how many rows each stands for."""
+    counts = df.groupBy(column).agg(F.sum(weight).alias("_n") if weight else F.count(F.lit(1)).alias("_n"))
     ends = running(counts, column, {"_end": "_n"}, ascending=True)
     n = counts.agg(F.sum("_n").alias("_all"))
     wanted = F.array(*[F.struct(F.lit(q).alias("share"), (F.lit(q) * (F.col("_all") - 1)).alias("_at")) for q in shares])

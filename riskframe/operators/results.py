@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,22 @@ def base_pairs(df: DataFrame, model: str = "model", base: str = "base_name") ->
     return a.join(df.select(F.col(model).alias("base")), (F.col("_b") == F.col("base")) & (F.col("tuned") != F.col("base"))).select("tuned", "base")
 
 
+def without_names(df: DataFrame, column: str, *parts: str) -> DataFrame:
+    """Rows whose name has none of the parts, in either case; rows without a name stay."""
+    low = F.lower(F.coalesce(F.col(column), F.lit("")))
+    return df.where(reduce(lambda a, b: a & b, [~low.contains(p.lower()) for p in parts], F.lit(True)))
+
+
+def feature_count(features: str) -> Column:
+    """How many features a run was given; -1 stands for all."""
+    return F.when(F.col(features).isNotNull(), F.size(features)).otherwise(F.lit(-1))
+
+
+def by_feature_count(df: DataFrame, features: str, counts: list[int], *keys: str) -> DataFrame:
+    """Runs with so many features, in the order of that number; num_features is added."""
+    return df.withColumn("num_features", feature_count(features)).where(F.col("num_features").isin(counts)).orderBy("num_features", *keys)
+
+
 def absent_combinations(df: DataFrame, a: str, b: str) -> DataFrame:
     """Combinations of the distinct values of two columns, few of each, that no row has."""
     return df.select(a).distinct().crossJoin(df.select(b).distinct()).join(df.select(a, b).distinct(), [a, b], "left_anti")

@@ -225,3 +225,10 @@ def composite_sort(spark: SparkSession, d: str) -> DataFrame:
 def column_permutation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("price"))
     return dataset.permuted(rows, "price", seed=5)
+
+
+@query(f"WITH {_SPLIT} SELECT row_id, split, split_rank FROM split WHERE split = 'train' AND split_rank > 10 AND split_rank <= 60")
+def rows_by_place(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty rows of the training split, by place."""
+    rows = dataset.split(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id")), test=0.2, val=0.1)
+    return dataset.rows_at(rows, "train", 10, 60).select("row_id", "split", "split_rank")

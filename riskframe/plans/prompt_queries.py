@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.numbers import both_classes, positive_class
 from ..operators import decode, inference
 from ..operators.prompt import ChatTemplate, PromptConfig, Prompts
 from ..operators.task import Choice, MultipleChoice, Numeric, Task
 from ..operators.threshold import Threshold
 from ..operators.valuemap import ColumnToText
 from .benchmark import Benchmark, Config
-from .registry import HASH32, query, rounded, table
+from .registry import HASH32, SCORES, query, rounded, scores, table
 
 LIMIT = Threshold(1000, ">")
 MC = MultipleChoice("p_retailprice>1000", "Is the part expensive?", (Choice("No", 0), Choice("Yes", 1)))
@@ -290,3 +291,17 @@ def few_shot_fresh(spark: SparkSession, d: str) -> DataFrame:
     """Three examples drawn anew for each row."""
     rows = _parts(spark, d).withColumn("row_id", F.col("p_partkey"))
     return Prompts(TASK).few_shot_each(rows, rows, MC, shots=3).select("p_partkey", F.md5("prompt").alias("digest"))
+
+
+@query(f"WITH {_SOFT} SELECT vec_id, i::INT AS token, round(exp(ln(p)), 6) AS p FROM k WHERE r <= 5")
+def pass_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Log-probabilities of tokens by position, as engines return them, to probabilities."""
+    top = _tokens(spark, d).select("vec_id", decode.top_k(F.col("p"), 5).alias("m"))
+    positions = F.array(F.transform_values("m", lambda _, p: F.struct(F.log(p).alias("logprob"))))
+    return rounded(top.select("vec_id", F.explode(F.get(decode.passes_of(positions), F.lit(0))).alias("token", "p")), "p")
+
+
+@query(f"WITH {SCORES} SELECT row_id, round(1 - risk_score, 6) AS no, round(risk_score, 6) AS yes FROM scores")
+def class_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    both = scores(spark, d).select("row_id", both_classes(F.col("risk_score")).alias("p"))
+    return rounded(both.select("row_id", F.get("p", F.lit(0)).alias("no"), positive_class(F.col("p")).alias("yes")), "no", "yes")

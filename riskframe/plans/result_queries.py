@@ -84,3 +84,31 @@ def scalar_kinds(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     word = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".5"))).when(k % 4 == 2, "True").otherwise(F.col("event_type"))
     return table(spark, d, "events").select(word.alias("word")).withColumn("kind", t.scalar(F.col("word")))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT contains(lower(c_mktsegment), 'build') AND NOT contains(lower(c_mktsegment), 'mach')")
+def rows_without_names(spark: SparkSession, d: str) -> DataFrame:
+    return results.without_names(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "Build", "MACH")
+
+
+@query("""WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE string_split(substr('a,b,c,d,e,f,g,h', 1, CAST(2 * (c_custkey % 8) + 1 AS INT)), ',') END AS features FROM customer),
+  n AS (SELECT c_custkey, coalesce(len(features), -1) AS num_features FROM f) SELECT c_custkey, num_features FROM n WHERE num_features IN (-1, 2, 4, 6)""")
+def runs_by_feature_count(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    features = F.when(k % 3 != 0, F.split(F.substring(F.lit("a,b,c,d,e,f,g,h"), F.lit(1), (2 * (k % 8) + 1).cast("int")), ","))
+    rows = table(spark, d, "customer").select("c_custkey", features.alias("features"))
+    return results.by_feature_count(rows, "features", [-1, 2, 4, 6], "c_custkey").select("c_custkey", "num_features")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y.%m.%d-%H.%M.%S') AS at FROM orders")
+def time_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", t.time_text(F.col("o_orderdate")).alias("at"))
+
+
+@query("SELECT p_brand AS feature, round(avg(p_retailprice), 6) AS imp_mean, row_number() OVER (ORDER BY avg(p_retailprice) DESC, p_brand) AS place FROM part GROUP BY p_brand")
+def importance_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Features in the order of their importance; there are few."""
+    from pyspark.sql import Window
+
+    mean = table(spark, d, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("imp_mean"))
+    return rounded(mean.withColumn("place", F.row_number().over(Window.orderBy(F.desc("imp_mean"), "feature"))), "imp_mean")

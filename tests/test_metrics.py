@@ -149,3 +149,71 @@ def test_threshold_of_missing_values(spark):
         assert [r[0] for r in t.select(Threshold(5, op).of(F.col("x"))).collect()] == want
     with pytest.raises(ValueError):
         Threshold(1, "~")
+
+
+def test_ranges_never_fall_as_scores_rise(spark):
+    from riskframe.operators.positions import range_of, running
+
+    xs = sorted({0.0, 1.0, 0.5, 1e-300, 1e-12, 1 - 1e-12, 1 - 1e-16, *(random.Random(2).random() for _ in range(3000)), *(random.Random(3).random() * 1e-6 for _ in range(3000)), *(1 - random.Random(5).random() * 1e-6 for _ in range(3000))})
+    df = spark.createDataFrame([(x, 1) for x in xs], "s double, w int")
+    got = [r[0] for r in df.orderBy("s").select(range_of(F.col("s"))).collect()]
+    assert got == sorted(got) and max(np.unique(got, return_counts=True)[1]) < 40
+    assert [r["c"] for r in running(df, "s", {"c": "w"}, ascending=True).orderBy("s").collect()] == list(range(1, len(xs) + 1))
+
+
+def test_evaluate_agrees_with_each_metric(df):
+    whole = metrics.evaluate(df, group="g").first().asDict()
+    for part in (metrics.losses(df), metrics.confusion(df), metrics.roc_auc(df), metrics.ece(df), metrics.ece_quantile(df), metrics.fairness(df, "g")):
+        for k, v in part.first().asDict().items():
+            assert whole[k] == pytest.approx(v), k
+
+
+def test_resamples_vary_as_they_should(spark):
+    """Poisson weights have mean and variance one, independent between rows and between resamples."""
+    rows = spark.range(4000).select(F.col("id").alias("row_id"), (F.col("id") / 4000).alias("risk_score"), (F.col("id") % 2).cast("int").alias("label"))
+    w = metrics.poisson_cells(rows, k=30, seed=1, row_id="row_id", score="risk_score", label="label").toPandas().pivot(index="risk_score", columns="rep", values="w").reindex([i / 4000 for i in range(4000)]).fillna(0).to_numpy()
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and w.max() >= 6
+    c = np.corrcoef(w.T) - np.eye(30)
+    assert np.abs(c).max() < 0.08
+    found = {r["metric"]: r for r in metrics.poisson_bootstrap(rows, k=200).collect()}
+    assert found["prevalence"]["std"] == pytest.approx(math.sqrt(0.25 / 4000), rel=0.25) and found["prevalence"]["low"] < 0.5 < found["prevalence"]["high"]
+
+
+def test_logistic_regression_finds_the_optimum(spark, sf):
+    """Loss on the test rows as of Newton's method in numpy."""
+    from riskframe.plans.baselines import fit_and_score
+    from riskframe.plans.catalogue import QUERIES
+
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(3 - 5 * x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c), "train" if i < 300 else "test") for i, ((a, b), c) in enumerate(zip(x, y))], "row_id int, a double, b double, label int, split string")
+    design, w = np.c_[np.ones(300), x[:300]], np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ w))
+        w += np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]), design.T @ (y[:300] - p))
+    want = 1 / (1 + np.exp(-np.c_[np.ones(100), x[300:]] @ w))
+    got = [r["risk_score"] for r in fit_and_score(df, ["a", "b"]).orderBy("row_id").collect()]
+    assert np.abs(np.array(got) - want).max() < 1e-3
+    assert QUERIES["ml_baseline_lr"](spark, sf).first()["roc_auc"] > 0.5
+
+
+class Recorder:
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self.calls.append((name, a, k))
+
+
+def test_figures_draw_what_the_tables_say(df, tmp_path):
+    from riskframe.sources import figures
+
+    figure, ax = Recorder(), Recorder()
+    figures.roc_figure(metrics.roc(df), (figure, ax))
+    name, (x, y), _ = ax.calls[0]
+    assert name == "plot" and x[0] == y[0] == 0 and x[-1] == y[-1] == 1 and x == sorted(x)
+    figures.calibration_figure(metrics.calibration_curve(df, by=("g",)), "g", (figure, Recorder()))
+    figures.histogram_figure(metrics.histogram(df), axes=(figure, bars := Recorder()))
+    assert sum(bars.calls[0][1][1]) == pytest.approx(100)
+    assert figures.save(figure, "roc", str(tmp_path / "f")).endswith("f/roc.pdf") and figure.calls[-1][2]["dpi"] == 300

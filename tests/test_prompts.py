@@ -141,3 +141,29 @@ def test_configuration():
     with pytest.raises(ValueError):
         TASKS["ACSIncomePovertyRatio"].question(numeric=True)
     assert TASKS["ACSHealthInsurance-test"].features == tuple(sorted(set(TASKS["ACSHealthInsurance-test"].features)))
+
+
+def test_every_text_states_what_plain_patterns_find(spark, sf):
+    """The whole ladder of patterns against Python's, over all texts of the query."""
+    import re
+
+    from riskframe.functions.text import PROBABILITY_PATTERNS
+    from riskframe.plans.prompt_queries import _texts, cot_extract_full
+
+    def plain(x):
+        x = x.split("</think>", 1)[1].strip(" \n\t\r") if "</think>" in x else x
+        for pattern, percent in PROBABILITY_PATTERNS:
+            if found := re.findall(pattern, x):
+                v = float(found[-1])
+                v = v / 100 if percent or v > 1 else v
+                if 0 <= v <= 1:
+                    return v
+        return None
+
+    got = {r["event_id"]: r for r in cot_extract_full(spark, sf).collect()}
+    texts = _texts(spark, sf).select("event_id", "text").collect()
+    assert len(got) == len(texts)
+    for r in texts:
+        want = plain(r["text"])
+        assert got[r["event_id"]]["probability"] == (pytest.approx(want) if want is not None else None)
+        assert got[r["event_id"]]["risk_score"] == pytest.approx(0.5 if want is None else want)
