@@ -11,14 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, crc_fold, small_batches, text_bytes
+from .common import Scratch, Words, crc_fold, small_batches, text_bytes
 
 BUCKETS = 1 << 16
 #: The most labelled documents that are learned from, the least hashes of their ids: the only bound on what is read.
 SAMPLE = 6000
+#: The most bytes of features that the driver is sent; where long documents have more, those of the least hashes count.
+SAMPLE_BYTES = 256 << 20
 GRAMS = (2, 3)
 
 
@@ -129,7 +131,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model that the sample's documents give; the same whatever order they arrive in."""
-    found = sorted(training_rows(docs, labels, sample).toLocalIterator(), key=lambda r: (r["_id"], r["quality"], bytes(r["f"])))
+    scratch = Scratch(docs.sparkSession, "training")
+    rows = table = scratch.table(training_rows(docs, labels, sample).withColumn("_o", F.xxhash64("_id")), "features")
+    # As many rows as the sample has, of three numbers each.
+    upto = F.sum(F.octet_length("f") + F.octet_length("s")).over(Window.orderBy("_o", "_id", "quality").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.struct("_o", "_id", "quality")
+    last = rows.select("_o", "_id", "quality", upto.alias("_upto")).where(F.col("_upto") <= SAMPLE_BYTES).agg(F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).first()
+    if last["n"] < rows.count():
+        rows = rows.where(F.col("_o") <= last["last"]["_o"]) if last["n"] else rows.limit(0)
+    found = sorted(rows.toLocalIterator(), key=lambda r: (r["_id"], r["quality"], bytes(r["f"])))
+    scratch.drop(table)
     rows = [(np.frombuffer(r["f"], np.uint16).astype(np.int32), np.frombuffer(r["s"], np.float32)) for r in found]
     return train(rows, np.array([r["quality"] for r in found], np.int64))
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DIGITS = 3
+#: Bytes that are ordered at once, about.
+RANGE_BYTES = 64 << 20
 
 
 def greedy_cuts(ends: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -49,14 +51,14 @@ def _sized(docs: DataFrame, doc_id: str, text: str, keep: bool = False) -> DataF
     return docs.select(*doc, F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.md5(t.cast("binary")).alias("key"))
 
 
-def cut_keys(rows: DataFrame, shards: int, block_digits: int = BLOCK_DIGITS) -> list[str]:
-    """The last key of each shard. rows: key (a hexadecimal digest) and size."""
+def cut_keys(rows: DataFrame, shards: int, block_digits: int = BLOCK_DIGITS) -> tuple[list[str], int]:
+    """The last key of each shard, and the sum of all sizes. rows: key (a hexadecimal digest) and size."""
     groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
     block = F.substring("key", 1, block_digits)
     # 16 ** block_digits rows at most, whatever the input.
     blocks = sorted(map(tuple, groups.groupBy(block.alias("block")).agg(F.sum("size"), F.max("size")).collect()))
     if not blocks:
-        return []
+        return [], 0
     ends, total = [], 0
     for _, size, _ in blocks:
         total += size
@@ -81,7 +83,7 @@ def cut_keys(rows: DataFrame, shards: int, block_digits: int = BLOCK_DIGITS) ->
             ends.append(before[name] + size)
     best = smallest_capacity(ends, shards, low, high)
     cuts = greedy_cuts(ends, best, shards)
-    return [keys[bisect_right(ends, c) - 1] for c in cuts]
+    return [keys[bisect_right(ends, c) - 1] for c in cuts], total
 
 
 def _bracketed(blocks: list[tuple], before: dict, low: int, high: int, shards: int) -> set[str]:
@@ -99,15 +101,20 @@ def _bracketed(blocks: list[tuple], before: dict, low: int, high: int, shards: i
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, *, bin_digits: int = 2, keep: bool = False, doc_id: str = "doc_id", text: str = "text", block_digits: int = BLOCK_DIGITS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, *, bin_digits: int | None = None, keep: bool = False, doc_id: str = "doc_id", text: str = "text", block_digits: int = BLOCK_DIGITS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null: the law doesn't foresee it); a row for each row of docs.
 
     size: UTF-8 bytes plus 1; a null text counts as empty and goes with empty texts. Equal texts share a shard, even where
     they outweigh a fair share. Slots count from 0 in each shard, in the order of the MD5 of id and text; identical rows are
-    interchangeable. Rows are ordered within ranges of it, 16 ** bin_digits a shard, so that no task orders a whole shard. No rows: no rows. keep: column doc has the row.
+    interchangeable. Rows are ordered within ranges of it, 16 ** bin_digits a shard (by
+    bytes, if not given), so that no task orders a whole shard; the ranges don't change the slots. No rows: no rows. keep: column doc has the row.
     """
     rows = _sized(docs, doc_id, text, keep)
-    cuts = cut_keys(_sized(docs, doc_id, text), shards, block_digits)
+    cuts, total = cut_keys(_sized(docs, doc_id, text), shards, block_digits)
+    if bin_digits is None:
+        bin_digits = 2
+        while total > shards * 16**bin_digits * RANGE_BYTES:
+            bin_digits += 1
     doc = ["doc"] if keep else []
     number = F.lit(0)
     for c in cuts[:-1]:

@@ -386,6 +386,17 @@ def test_classifier_keeps_malformed_texts_and_takes_any_id(spark):
     assert classifier.kept(rows, model, threshold=0.0).count() == 2 and classifier.score(rows, model).count() == 2
 
 
+def test_classifier_bounds_the_bytes_it_gathers(spark, docs, sf, monkeypatch):
+    """With room for few documents, or none, it learns from these."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    whole = classifier.fit(docs, labels)
+    monkeypatch.setattr(classifier, "SAMPLE_BYTES", 40_000)
+    few = classifier.fit(docs, labels)
+    assert few.weights.any() and (few.weights != whole.weights).any()
+    monkeypatch.setattr(classifier, "SAMPLE_BYTES", 0)
+    assert not classifier.fit(docs, labels).weights.any()
+
+
 def test_classifier_odd(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 14)] + [(2, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = classifier.classify(odd, labels).collect()
