@@ -81,12 +81,12 @@ def white_or_not(x: Column) -> Column:
 
 
 def connected(label: str | Column, connector: str, text: Column) -> Column:
-    """Label and text; a lone colon clings to the label."""
+    """Label and text; a lone colon clings to the label (fixed, as prompts have to match)."""
     between = ": " if connector == ":" else f" {connector} "
     return F.concat(F.lit(label) if isinstance(label, str) else label, F.lit(between), text)
 
 
-#: What stands before and after each item.
+#: What stands before and after each item.
 LAYOUTS = {"bullet": ("- ", "\n"), "comma": ("", ", "), "text": ("The ", ". "), "textbullet": ("- The ", ".\n")}
 
 

@@ -268,6 +268,7 @@ def _area(prefix: str):
     return lambda x: F.concat(F.lit(prefix), x.cast("int").cast("string"), F.lit("."))
 
 
+#: Each column's label, its codes or format, and its text for missing values.
 _C = ColumnToText
 COLUMNS: dict[str, ColumnToText] = {
     c.name: c

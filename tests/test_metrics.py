@@ -148,7 +148,7 @@ def test_threshold_of_missing_values(spark):
     for op, want in {">": [0, 0, 0, 1], "!=": [1, 1, 1, 1], "==": [0, 0, 0, 0], "<=": [1, 0, 0, 0]}.items():
         assert [r[0] for r in t.select(Threshold(5, op).of(F.col("x"))).collect()] == want
     with pytest.raises(ValueError):
-        Threshold(1, "~")
+        Threshold(1, "~").of(F.col("x"))
 
 
 def test_ranges_never_fall_as_scores_rise(spark):

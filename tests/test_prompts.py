@@ -72,6 +72,7 @@ def test_failed_extraction_reads_half(spark):
     assert one(spark, t.after_thinking(F.lit("a </think>\n b </think> c"))) == "b </think> c"
 
 
+#: Fixed value: prompts have to match to the letter.
 GOLDEN = """The following data corresponds to a survey respondent. The survey was conducted among US residents in 2018. Please answer the question based on the information provided. The data provided is enough to reach an approximate answer.
 
 Information:
