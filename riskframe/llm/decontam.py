@@ -11,7 +11,7 @@ earlier blocks have found; one block (the usual case) is one pass. Documents are
 
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,66 +24,133 @@ from .common import BY_LETTERS, Scratch, Words, gram_hashes, small_batches, text
 
 WINDOW = 10
 SHINGLE = 3
-#: UTF-8 bytes of items in a block: bounds what is broadcast.
-BLOCK_BYTES = 8 << 20
+#: UTF-8 bytes of items in a block, at most; it bounds what is broadcast, which is about twelve times as much as the block. Blocks hold half of this on average.
+BLOCK_BYTES = 16 << 20
+_BITS = 20
+#: Parts in which tasks send counts of shingles.
+_PARTS = 64
+
 
 @dataclass(frozen=True)
-class Index:
-    """Windows of a block by their rarest shingle. filters: by shingle length, a bit table of hashes; postings: by (length,
-    hash), the windows' (first word's distance from the shingle, words, items)."""
+class Windows:
+    """All windows of a block, as numbers: words of all items one after the other, and for each window its item, first word and length."""
 
-    filters: dict[int, np.ndarray]
-    postings: dict[int, dict[int, list[tuple[int, tuple[bytes, ...], tuple[str, ...]]]]]
+    words: Words
+    names: list[str]
+    item: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.start)
+
+
+@dataclass(frozen=True)
+class Postings:
+    """Windows by the hash of their rarest shingle, rising; of each the words before the shingle, and the hash of all its words."""
+
+    keys: np.ndarray
+    before: np.ndarray
+    window: np.ndarray
+    whole: np.ndarray
+    bits: np.ndarray
 
-_BITS = 20
+
+@dataclass(frozen=True)
+class Index:
+    """by: postings by the length of shingles."""
+
+    windows: Windows
+    by: dict[int, Postings]
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def windows_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[str]]:
-    """Distinct windows, and the items that have each."""
-    out: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        w = text.translate(BY_LETTERS).split()
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            out[tuple(w[i : i + window])].add(item)
+def _bits(h: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _BITS, bool)
+    out[_slots(h)] = True
     return out
 
 
-def shingles_of(wins: list[tuple[bytes, ...]], shingle: int = SHINGLE) -> list[tuple[int, np.ndarray]]:
-    """The length of each window's shingles, and their hashes."""
-    w = Words([b" ".join(win) for win in wins], BY_LETTERS)
-    return [(n := min(shingle, len(win)), gram_hashes(w.hashes[a:b], n)) for win, a, b in zip(wins, w.bounds[:-1], w.bounds[1:])]
-
-
-def build_index(wins: dict[tuple[bytes, ...], set[str]], counts: dict[tuple[int, int], int]) -> Index:
-    """counts: corpus occurrences of (shingle length, hash). The rarest shingle of a window is its prefix; ties go to the least hash."""
-    postings = defaultdict(lambda: defaultdict(list))
-    for (win, items), (n, h) in zip(wins.items(), shingles_of(list(wins))):
-        at = min(range(len(h)), key=lambda i: (counts.get((n, int(h[i])), 0), int(h[i])))
-        postings[n][int(h[at])].append((at, win, tuple(sorted(items))))
-    filters = {}
-    for n, by in postings.items():
-        filters[n] = np.zeros(1 << _BITS, bool)
-        filters[n][_slots(np.fromiter(by, np.uint64, len(by)))] = True
-    return Index(filters, {n: dict(by) for n, by in postings.items()})
+def windows_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> Windows:
+    """Each run of `window` words of an item, or all words of an item that has fewer."""
+    words = Words([t for _, t in items], BY_LETTERS)
+    sizes = np.diff(words.bounds)
+    counts = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+    item = np.repeat(np.arange(len(items)), counts)
+    start = words.bounds[item] + np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return Windows(words, [name for name, _ in items], item.astype(np.int32), start, np.minimum(window, sizes)[item].astype(np.int32))
+
+
+def _parts(wins: Windows, shingle: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Length of shingles, length of windows, and which windows have it."""
+    for length in np.unique(wins.length).tolist():
+        yield min(shingle, length), length, np.flatnonzero(wins.length == length)
+
+
+def shingles_of(wins: Windows, shingle: int = SHINGLE) -> dict[int, np.ndarray]:
+    """By length, the distinct hashes of the windows' shingles, rising."""
+    found: dict[int, list[np.ndarray]] = {}
+    for n, length, at in _parts(wins, shingle):
+        first = np.unique(np.concatenate([wins.start[at] + k for k in range(length - n + 1)]))
+        found.setdefault(n, []).append(gram_hashes(wins.words.hashes, n)[first])
+    return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
+
+
+def build_index(wins: Windows, known: dict[int, np.ndarray], counts: dict[int, np.ndarray], shingle: int = SHINGLE) -> Index:
+    """counts: corpus occurrences of the known shingles. The rarest shingle of a window is its prefix; ties go to the least hash."""
+    collected: dict[int, list[list[np.ndarray]]] = {}
+    for n, length, at in _parts(wins, shingle):
+        grams, whole = gram_hashes(wins.words.hashes, n), gram_hashes(wins.words.hashes, length)
+        # Places among known shingles rise with the hash, so that a stable sort by count leaves ties in that order.
+        rank = np.empty(len(known[n]), np.int64)
+        rank[np.argsort(counts[n], kind="stable")] = np.arange(len(known[n]))
+        start, best, before = wins.start[at], None, np.zeros(len(at), np.int16)
+        for k in range(length - n + 1):
+            r = rank[np.searchsorted(known[n], grams[start + k])]
+            if best is None:
+                best = r
+            else:
+                before[r < best] = k
+                best = np.minimum(best, r)
+        collected.setdefault(n, []).append([grams[start + before], before, at, whole[start]])
+    by = {}
+    for n, parts in collected.items():
+        keys, before, at, whole = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        by[n] = Postings(keys[order], before[order], at[order].astype(np.int32), whole[order], _bits(keys))
+    return Index(wins, by)
 
 
 def find(words: Words, i: int, index: Index) -> tuple[list[tuple[int, int]], set[str]]:
     """Spans of words of text i that lie in windows, merged and rising, and the items whose windows occur."""
-    spans, items = set(), set()
+    spans, items, wins = set(), set(), index.windows
     first, last = int(words.bounds[i]), int(words.bounds[i + 1])
-    for n, by in index.postings.items():
-        h = gram_hashes(words.hashes[first:last], n)
-        for p in np.flatnonzero(index.filters[n][_slots(h)]).tolist():
-            for at, win, names in by.get(int(h[p]), ()):
-                start = p - at
-                if start >= 0 and start + len(win) <= last - first and tuple(words.list(first + start, first + start + len(win))) == win:
-                    spans.add((start, start + len(win)))
-                    items.update(names)
+    own = words.hashes[first:last]
+    for n, by in index.by.items():
+        h = gram_hashes(own, n)
+        places = np.flatnonzero(by.bits[_slots(h)])
+        if not len(places):
+            continue
+        low, high = np.searchsorted(by.keys, h[places]), np.searchsorted(by.keys, h[places], side="right")
+        for p, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
+            seen: dict[tuple[int, int], bool] = {}
+            for k in range(a, b):
+                w = int(by.window[k])
+                start, length = p - int(by.before[k]), int(wins.length[w])
+                if start < 0 or start + length > last - first:
+                    continue
+                # Equal windows of many items are compared once, word by word, where the hash of all words agrees.
+                same = seen.get((int(by.whole[k]), start))
+                if same is None:
+                    at = int(wins.start[w])
+                    same = int(gram_hashes(own[start : start + length], length)[0]) == int(by.whole[k]) and words.list(first + start, first + start + length) == wins.words.list(at, at + length)
+                    seen[int(by.whole[k]), start] = same
+                if same:
+                    spans.add((start, start + length))
+                    items.add(wins.names[int(wins.item[w])])
     return merged(spans), items
 
 
@@ -97,35 +164,44 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def corpus_rarity(docs: DataFrame, text: str, wins: dict) -> dict[tuple[int, int], int]:
-    """How often each shingle of the block's windows occurs in the whole corpus. A sum for each shingle comes back, whatever the corpus."""
-    tokens: dict[int, set[int]] = defaultdict(set)
-    for n, h in shingles_of(list(wins)):
-        tokens[n].update(h.tolist())
-    sorted_tokens = {n: np.sort(np.fromiter(x, np.uint64, len(x))) for n, x in tokens.items()}
-    known = docs.sparkSession.sparkContext.broadcast(sorted_tokens)
+def corpus_rarity(docs: DataFrame, text: str, known: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each known shingle occurs in the whole corpus. Tasks send counts in parts, which are added up before they reach the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sizes = {n: -(-len(x) // _PARTS) for n, x in known.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {n: np.zeros(len(x), np.int64) for n, x in known.value.items()}
-        bits = {}
-        for n, x in known.value.items():
-            bits[n] = np.zeros(1 << _BITS, bool)
-            bits[n][_slots(x)] = True
+        own = sent.value
+        sums = {n: np.zeros(len(x), np.int64) for n, x in own.items()}
+        bits = {n: _bits(x) for n, x in own.items()}
         for batch in batches:
             w = Words(batch["t"].to_pylist(), BY_LETTERS)
             for a, b in zip(w.bounds[:-1], w.bounds[1:]):
-                for n, x in known.value.items():
+                for n, x in own.items():
                     h = gram_hashes(w.hashes[a:b], n)
                     h = h[bits[n][_slots(h)]]
                     at = np.searchsorted(x, h)
                     at = at[(at < len(x)) & (x[np.minimum(at, len(x) - 1)] == h)]
                     np.add.at(sums[n], at, 1)
         for n, s in sums.items():
-            at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(known.value[n][at].view(np.int64)), pa.array(s[at])], ["n", "h", "c"])
+            for part in range(_PARTS):
+                if (x := s[part * sizes[n] : (part + 1) * sizes[n]]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["n", "part", "counts"])
 
-    rows = docs.select(text_bytes(text).alias("t")).mapInArrow(run, "n int, h bigint, c bigint").groupBy("n", "h").agg(F.sum("c").alias("c")).collect()
-    return {(r["n"], r["h"] % (1 << 64)): r["c"] for r in rows}
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for n, part, x in zip(batch["n"].to_pylist(), batch["part"].to_pylist(), batch["counts"].to_pylist()):
+                x = np.frombuffer(zlib.decompress(x), np.int64)
+                sums[n, part] = sums.get((n, part), 0) + x
+        for (n, part), x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["n", "part", "counts"])
+
+    rows = docs.select(text_bytes(text).alias("t")).mapInArrow(run, "n int, part int, counts binary").repartition(_PARTS, "n", "part").mapInArrow(add, "n int, part int, counts binary")
+    out = {n: np.zeros(len(x), np.int64) for n, x in known.items()}
+    for r in rows.toLocalIterator():
+        x = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        out[r["n"]][r["part"] * sizes[r["n"]] :][: len(x)] = x
+    return out
 
 
 def _pass(rows: DataFrame, index: Index) -> DataFrame:
@@ -162,12 +238,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     first = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if keep else [F.struct(docs[doc_id].alias("doc_id")).alias("doc")]
     rows = docs.select(*first, text_bytes(docs[text]).alias("t"), F.array().cast("array<struct<a: int, b: int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     scratch = Scratch(spark, "decontam")
+    last = None
     for k in range(blocks):
         own = b if blocks == 1 else b.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
         wins = windows_of([(r["item"], bytes(r["t"])) for r in own.toLocalIterator()], window)
-        rows = _pass(rows, build_index(wins, corpus_rarity(docs, text, wins) if wins else {}))
+        known = shingles_of(wins)
+        rows = _pass(rows, build_index(wins, known, corpus_rarity(docs, text, known) if known else {}))
         if k + 1 < blocks:
-            rows = scratch.table(rows, f"block-{k}").drop("n_words")
+            table = scratch.table(rows, f"block-{k}")
+            rows = table.drop("n_words")
+            if last is not None:
+                scratch.drop(last)
+            last = table
     return rows.select("doc.*", "n_words", "spans", "items")
 
 

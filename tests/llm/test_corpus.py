@@ -230,6 +230,25 @@ def test_decontamination(spark, none):
     assert decontam.decontaminate(none, bench).count() == 0
 
 
+def test_decontamination_of_many_items(spark):
+    """Items that share windows, repeat words or end within documents, against brute force."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(words[: rng.choice([1, 2, 12])]) for _ in range(rng.choice([0, 1, 2, 3, 9, 10, 11, 40])))) for i in range(120)]
+    items += [(200 + i, items[5][1]) for i in range(5)]
+    rows = []
+    for i in range(150):
+        parts = [rng.choice(words) for _ in range(rng.randrange(30))]
+        if i % 2:
+            parts += rng.choice(items)[1].split()[rng.randrange(3) :] + [rng.choice(words)]
+        rows.append((i, " ".join(parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(rows, items)
+    for block in (decontam.BLOCK_BYTES, 3000):
+        found = decontam.digest(decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=block)).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found} == want
+
+
 def test_decontamination_odd(spark, odd):
     found = decontam.digest(decontam.decontaminate(odd, spark.createDataFrame([], "item_id long, text string"))).collect()
     assert len(found) == len(ODD) and not any(r["contaminated"] for r in found)
