@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_position(df: DataFrame, name: str, key: Column, *ties: str, by: tuple[str, ...] = (), digits: int = 2) -> DataFrame:
+def with_position(df: DataFrame, name: str, key: Column, *ties: str, by: tuple[str, ...] = (), digits: int = 3) -> DataFrame:
     """Adds the 1-based position in the order of a hexadecimal hash key, then ties, within groups of `by`. 16 ** digits ranges a group."""
     keyed = df.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, digits))
     counts = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))

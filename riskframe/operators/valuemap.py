@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import missing
 
 UNKNOWN = "N/A"
-#: Dictionaries up to this size are literals in the plan; larger ones are tables to join.
+#: Dictionaries up to this size are written out in the plan; larger ones are one literal.
 LITERAL_ENTRIES = 200
 
 
@@ -32,10 +33,11 @@ class ColumnToText:
             text = self.values(x)
         else:
             table = self.values or {}
-            if len(table) > LITERAL_ENTRIES:
-                raise ValueError(f"{self.name}: {len(table)} values; use looked_up() with a table")
             code = F.when(x.cast("double") == F.floor(x.cast("double")), x.cast("int"))
-            known = F.create_map(*[F.lit(v) for kv in table.items() for v in kv]) if table else F.lit(None).cast("map<int,string>")
+            if len(table) > LITERAL_ENTRIES:
+                known, code = F.from_json(F.lit(json.dumps({str(k): v for k, v in table.items()})), "map<string,string>"), code.cast("string")
+            else:
+                known = F.create_map(*[F.lit(v) for kv in table.items() for v in kv]) if table else F.lit(None).cast("map<int,string>")
             text = F.coalesce(F.try_element_at(known, code), F.lit(self.unknown))
         return F.when(missing(x), F.lit(self.missing)).otherwise(text)
 

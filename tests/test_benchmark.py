@@ -128,3 +128,27 @@ def test_stream(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(tn + fp + fn + tp) FROM counts").first()[0] == 120
+
+
+def test_large_value_maps_read_as_small_ones_do(spark):
+    x = spark.createDataFrame([(3.0,), (999.0,), (1000.0,), (2.5,), (None,)], "x double")
+    c = ColumnToText("x", "x", {i: f"t{i} \"ü\"" for i in range(1000)}, "none")
+    assert [r[0] for r in x.select(c.of(F.col("x"))).collect()] == ['t3 "ü"', 't999 "ü"', "N/A", "N/A", "none"]
+
+
+def test_models_of_the_command_line():
+    """Names say which library opens a model; nothing is loaded before a task asks."""
+    web = cli.backend("web:some/model", text=True)
+    assert (web.gives, cli.backend("web:some/model").gives) == ("text", "words") and cli.backend("hash") is inference.HashBackend
+
+
+def test_importance_by_the_command_line(data, tmp_path):
+    from riskframe.sources.census import TASKS
+
+    task = TASKS["ACSMobility"]
+    names = {*task.features, "PINCP"}
+    people = data.select("row_id", *[F.col("a").cast("double").alias(f) for f in sorted(names - {"AGEP"})], (F.col("y") * 5 + 15).cast("double").alias("AGEP"), (F.col("y") % 4).cast("double").alias("MIG"))
+    people.write.parquet(str(tmp_path / "people"))
+    args = ["--model", "hash", "--results-dir", str(tmp_path), "--data", str(tmp_path / "people"), "--task", "ACSMobility", "--use-feature-subset", "AGEP,SEX", "--feature-importance", "--importance-repeats", "1", "--subsampling", "0.9", "--task-population"]
+    found = cli.main(args)["importance"]
+    assert {f["feature"] for f in found} == {"AGEP", "SEX"}
