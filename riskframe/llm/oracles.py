@@ -90,6 +90,32 @@ MIXING = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len({_wo
   c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
   SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target, (size * (epochs + CASE WHEN epochs < 3 AND run - size / 2e0 <= target - epochs * source_size AND target - epochs * source_size > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
 
+_UNIT = "'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'"
+_DRAWS = ", ".join(f"CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), {1 + 8 * i}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+FIM = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_UNIT}) AS u, {_DRAWS} FROM documents),
+  f AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  c AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a+1:b], '') AS m, array_to_string(u[b+1:n], '') AS s FROM f)
+  SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+_RUN = "list_reduce(list_transform(range(octet_length(encode(k))), lambda i: ('0x' || substr(hex(encode(k)), 2*i+1, 2))::BIGINT), lambda c, y: xor(c >> 8, tbl[(xor(c, y) & 255) + 1]), 4294967295)"
+#: Pairs one edit apart: one word is the other without a code point, or both are alike but at one place.
+SPELLING = f"""WITH RECURSIVE tbl AS (SELECT list(v ORDER BY i) AS tbl FROM ({_TABLE})),
+  r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+  l AS (SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+  h AS (SELECT run, n, xor(4294967295, {_RUN}) AS h FROM (SELECT run, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM l), tbl),
+  o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+  v AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  e AS (SELECT DISTINCT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM v, unnest(range(0, length(word))) AS t(i)),
+  g AS (SELECT DISTINCT word, n, head || tail AS less FROM e),
+  p AS (SELECT g.word AS a, v.word AS b FROM g JOIN v ON g.less = v.word UNION ALL SELECT v.word, g.word FROM g JOIN v ON g.less = v.word
+        UNION ALL SELECT x.word, y.word FROM e x JOIN e y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word),
+  f AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(less := -v.n, form := b)) AS best FROM p JOIN v ON p.b = v.word GROUP BY a),
+  w AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 10 * v.n THEN best.form END AS form, CASE WHEN -best.less >= 10 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN f USING (word)),
+  c AS (SELECT word, word AS last, 0 AS steps FROM w UNION ALL SELECT c.word, w.form, steps + 1 FROM c JOIN w ON c.last = w.word WHERE w.form IS NOT NULL)
+  SELECT w.word, w.n, n_near, form, form_n::BIGINT AS form_n, root FROM w JOIN (SELECT word, arg_max(last, steps) AS root FROM c GROUP BY word) USING (word)"""
+
 ORACLES = {
     "op1_ngram_join": NGRAM_JOIN,
     "op2_license_scan": LICENSES,
@@ -98,4 +124,6 @@ ORACLES = {
     "op6_warc": WARC,
     "op8_quality_rules": QUALITY_RULES,
     "op10_mixing": MIXING,
+    "op11_fim": FIM,
+    "op12_spelling": SPELLING,
 }

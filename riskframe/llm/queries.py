@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, langid, licenses, mixing, ngram_join, rules, secrets, sharding, warc
+from . import classifier, decontam, fim, langid, licenses, mixing, ngram_join, rules, secrets, sharding, spelling, warc
 from .common import Scratch
 from .oracles import ORACLES  # noqa: F401
 
@@ -77,6 +77,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut and rearranged for fill-in-the-middle, and whether they come back whole."""
+    return fim.digest(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents, the near words and the forms that they are variants of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_decontamination, op4_sharding, op5_secret_scan, op6_warc, op7_quality, op8_quality_rules, op9_language, op10_mixing)
+    f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_decontamination, op4_sharding, op5_secret_scan, op6_warc, op7_quality, op8_quality_rules, op9_language, op10_mixing, op11_fim, op12_spelling)
 }
