@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, fim, langid, licenses, mixing, ngram_join, rules, secrets, sharding, spelling, warc
+from . import classifier, decontam, extract, fim, langid, licenses, mixing, ngram_join, rules, secrets, sharding, spelling, warc
 from .common import Scratch
 from .oracles import ORACLES  # noqa: F401
 
@@ -87,6 +87,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of the pages."""
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_decontamination, op4_sharding, op5_secret_scan, op6_warc, op7_quality, op8_quality_rules, op9_language, op10_mixing, op11_fim, op12_spelling)
+    f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_decontamination, op4_sharding, op5_secret_scan, op6_warc, op7_quality, op8_quality_rules, op9_language, op10_mixing, op11_fim, op12_spelling, op13_html_text)
 }
