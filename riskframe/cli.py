@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import os
 
 from .plans.benchmark import DEFAULT, Benchmark, Config, FewShot
 
@@ -39,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--task-population", action="store_true", help="only rows that the task is about")
     p.add_argument("--feature-importance", action="store_true", help="permutation importance in place of the benchmark's metrics")
     p.add_argument("--importance-repeats", type=int, default=5)
+    p.add_argument("--answers", default=os.environ.get("RISKFRAME_ANSWERS"), help="folder of stored answers, which are read instead of asking again; RISKFRAME_ANSWERS names one, too")
     return p
 
 
@@ -93,7 +95,7 @@ def main(argv: list[str] | None = None) -> dict:
     a = parser().parse_args(argv)
     task = TASKS[a.task]
     low = {k: v for k, v in LOW.items() if k in task.features}
-    b = Benchmark(task, session().read.parquet(a.data), backend(a.model, a.cot_prompting or a.enable_thinking), config(a), a.model.replace(":", "."), low, population=POPULATIONS[a.task] if a.task_population else None)
+    b = Benchmark(task, session().read.parquet(a.data), backend(a.model, a.cot_prompting or a.enable_thinking), config(a), a.model.replace(":", "."), low, population=POPULATIONS[a.task] if a.task_population else None, answers=a.answers)
     if a.feature_importance:
         found = b.importance(a.results_dir, repeats=a.importance_repeats, subsampling=a.subsampling)
         print(json.dumps(found))

@@ -7,7 +7,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 import pyarrow as pa
@@ -97,6 +97,13 @@ KINDS = {
 }
 
 
+class Priced(NamedTuple):
+    """An answer and what it cost."""
+
+    answer: object
+    cost: float | None
+
+
 def _plain(gives: str, answer):
     """As Arrow takes it: maps as lists of pairs."""
     if answer is None or gives == "text":
@@ -107,25 +114,27 @@ def _plain(gives: str, answer):
 
 
 def answered(df: DataFrame, model: Model, settings: Settings, *, prompt: str = "prompt", into: str = "answer", batch: int = BATCH) -> DataFrame:
-    """Adds what the model gives for each prompt, null where it gives nothing. per_minute of the model holds for each task: divide a total by the tasks that run at once."""
+    """Adds what the model gives for each prompt, null where it gives nothing, and its cost, null if it names none. per_minute of the model holds for each task: divide a total
+    by the tasks that run at once."""
     gives, make, pause = model.gives, model.make, 60 / model.per_minute if model.per_minute else 0.0
     sql, kind = KINDS[gives]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = make(settings)
         for rows in batches:
-            prompts, out = rows[prompt].to_pylist(), []
+            prompts, out, costs = rows[prompt].to_pylist(), [], []
             for a in range(0, len(prompts), batch):
                 some = prompts[a : a + batch]
                 found = list(ask(some))
                 if len(found) != len(some):
                     raise ValueError(f"{len(found)} answers to {len(some)} prompts")
-                out += [_plain(gives, x) for x in found]
+                costs += [x.cost if isinstance(x, Priced) else None for x in found]
+                out += [_plain(gives, x.answer if isinstance(x, Priced) else x) for x in found]
                 if pause:
                     time.sleep(pause * len(some))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, kind)], [*rows.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, kind), pa.array(costs, pa.float64())], [*rows.schema.names, into, "cost"])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{into}` {sql}"]))
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{into}` {sql}", "cost double"]))
 
 
 def useful_tokens(vocabulary: dict[str, int], size: int) -> dict[str, int]:
@@ -175,10 +184,10 @@ def in_each_order(df: DataFrame, question: MultipleChoice, prompt_of) -> DataFra
     return df.withColumn("_o", F.explode(F.array(*prompts))).select("*", "_o.*").drop("_o")
 
 
-def averaged(df: DataFrame, row_id: str = "row_id", score: str = "risk_score") -> DataFrame:
+def averaged(df: DataFrame, row_id: str = "row_id", *by: str, score: str = "risk_score") -> DataFrame:
     """The mean over orders of the clipped scores of each row; null where an order has none."""
     own = clip01(F.col(score))
-    return df.groupBy(row_id).agg(F.when(F.count(own) == F.count(F.lit(1)), F.avg(own)).alias(score))
+    return df.groupBy(row_id, *by).agg(F.when(F.count(own) == F.count(F.lit(1)), F.avg(own)).alias(score))
 
 
 def truncated(df: DataFrame, prompt: str = "prompt", words: int = 600) -> DataFrame:

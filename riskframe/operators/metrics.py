@@ -73,28 +73,47 @@ def distinct_scores(df: DataFrame, *, score: str = "risk_score", label: str = "l
 
 
 def roc(df: DataFrame, *, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
-    """threshold, tp, fp, p, n, tpr, fpr for each distinct score, from the highest; without the point that predicts none."""
-    points = running(distinct_scores(df, score=score, label=label, by=by), score, {"tp": "pos", "fp": "neg"}, by)
-    totals = with_scores(df, score).groupBy(*by).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    points = points.join(totals, list(by)) if by else points.crossJoin(totals)
+    """threshold, tp, fp, p, n, tpr, fpr for each distinct score, from the highest; without the point that predicts none. Rows are read and exchanged once."""
+    points = _points(distinct_scores(df, score=score, label=label, by=by), score, by)
     return points.select(*by, F.col(score).alias("threshold"), "pos", "neg", "tp", "fp", "p", "n", safe_division(F.col("tp"), F.col("p"), 0).alias("tpr"), safe_division(F.col("fp"), F.col("n"), 1).alias("fpr"))
 
 
+def _points(cells: DataFrame, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """tp, fp and the totals p, n, from one row a score with pos and neg."""
+    return running(cells, score, {"tp": "pos", "fp": "neg"}, by, totals={"p": "pos", "n": "neg"})
+
+
+def _auc() -> Column:
+    """Of points: pairs in the right order, ties as halves, by all. Counted from both classes, so that all columns of the points' aggregate are used, in all its branches."""
+    pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0) + F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2.0)) / 2
+    return F.try_divide(pairs, (F.max("p") * F.max("n")).cast("double"))
+
+
 def roc_auc(df: DataFrame, *, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
-    """Ties count half; null where a class is missing."""
-    points = roc(df, score=score, label=label, by=by)
-    pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
-    return points.groupBy(*by).agg(F.try_divide(pairs, (F.max("p") * F.max("n")).cast("double")).alias("roc_auc"))
+    """Ties count half; null where a class is missing. Rows are read and exchanged once."""
+    return _points(distinct_scores(df, score=score, label=label, by=by), score, by).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
-def best_threshold(df: DataFrame, *, fp_cost: float = 1, fn_cost: float = 1, score: str = "risk_score", label: str = "label") -> DataFrame:
-    """The threshold of least fp_cost * fpr + fn_cost * (1 - tpr); of equals the highest. Predicting none is one of them, as threshold 1."""
-    points = roc(df, score=score, label=label)
+def _best(fp_cost: float, fn_cost: float, threshold: Column) -> tuple[Column, Column]:
+    """Of points: the best threshold, and its cost."""
     # A common denominator: costs of whole weights are whole, and ties exact.
     cost = F.lit(fp_cost) * F.col("fp") * F.col("p") + F.lit(fn_cost) * (F.col("p") - F.col("tp")) * F.col("n")
-    none = points.limit(1).select(F.lit(float("inf")).alias("threshold"), (F.lit(fn_cost) * F.col("p") * F.col("n")).alias("cost"))
-    chosen = points.select("threshold", cost.alias("cost")).unionByName(none).orderBy("cost", F.desc("threshold")).limit(1)
-    return chosen.select(F.least(F.col("threshold"), F.lit(1.0)).alias("threshold"), "cost")
+    least, none = F.min(F.struct(cost.alias("cost"), (-threshold).alias("less"))), F.lit(fn_cost) * F.max("p") * F.max("n")
+    return F.when(none <= least["cost"], F.lit(1.0)).otherwise(F.least(-least["less"], F.lit(1.0))), F.least(none, least["cost"])
+
+
+def best_threshold(df: DataFrame, *, fp_cost: float = 1, fn_cost: float = 1, score: str = "risk_score", label: str = "label") -> DataFrame:
+    """The threshold of least fp_cost * fpr + fn_cost * (1 - tpr); of equals the highest. Predicting none is one of them, as threshold 1. Rows are read and exchanged once."""
+    threshold, cost = _best(fp_cost, fn_cost, F.col(score))
+    points = _points(distinct_scores(df, score=score, label=label), score)
+    return points.agg(threshold.alias("threshold"), cost.alias("cost")).where("cost IS NOT NULL")
+
+
+def accuracy_at(df: DataFrame, thresholds: DataFrame, *, score: str = "risk_score", label: str = "label") -> DataFrame:
+    """The one row of thresholds, and for each of its columns accuracy_<column>; from one row a distinct score."""
+    names = thresholds.columns
+    right = lambda t: F.sum(F.when(F.col(score) >= F.col(t), F.col("pos")).otherwise(F.col("neg"))) / F.sum(F.col("pos") + F.col("neg"))
+    return distinct_scores(df, score=score, label=label).crossJoin(F.broadcast(thresholds)).groupBy(*names).agg(*[right(t).alias(f"accuracy_{t}") for t in names])
 
 
 def _confidence(score: Column, label: Column) -> tuple[Column, Column]:
@@ -206,17 +225,12 @@ def evaluate(df: DataFrame, *, threshold: float | str = 0.5, group: str | None =
     scores = known.groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sure, right = F.greatest(s, 1 - s), F.when(s >= 0.5, p).otherwise(n)
     sure_cells = scores.select(sure.alias("x"), right.alias("y"), (p + n).alias("w"))
-    parts = [one, _auc_of(scores, score), _gap_of(sure_cells.withColumn("bin", equal_width(F.col("x"), bins)), "ece"), _gap_of(quantile_bins(sure_cells, "x", bins, weight="w"), "ece_quantile")]
+    parts = [one, _points(scores, score).agg(_auc().alias("roc_auc")), _gap_of(sure_cells.withColumn("bin", equal_width(F.col("x"), bins)), "ece"), _gap_of(quantile_bins(sure_cells, "x", bins, weight="w"), "ece_quantile")]
     if group:
         parts.append(_fairness_of(_large_groups(known.groupBy(group).agg(*tallies).select("*", *[c.alias(x) for x, c in rates().items()]), 0.04)))
     return reduce(lambda a, b: a.crossJoin(b), parts).withColumn("threshold", F.lit(float(threshold)))
 
 
-def _auc_of(scores: DataFrame, score: str) -> DataFrame:
-    points = running(scores, score, {"tp": "pos"})
-    return points.agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
-
-
 def _gap_of(binned: DataFrame, name: str) -> DataFrame:
     """From x, y (a sum), w and bin: the mean gap of the bins' averages, weighted by their rows."""
     gaps = binned.groupBy("bin").agg(F.abs(F.sum(F.col("x") * F.col("w")) - F.sum("y")).alias("gap"), F.sum("w").alias("w"))
@@ -320,23 +334,34 @@ def calibration_interval(df: DataFrame, group: str, *, bins: int = 5, k: int = 2
     return curve.join(shares.groupBy(group, "bin").agg(p[0].alias("low"), p[1].alias("high")), [group, "bin"])
 
 
-def importance(df: DataFrame, features: list[str], scorer, *, repeats: int = 5, seed: int = 42, row_id: str = "row_id", label: str = "label") -> DataFrame:
-    """feature, mean and std (of the population): what the AUC loses when a feature's values are dealt anew over the rows. scorer: from a DataFrame to a Column of it, or to a
-    DataFrame with risk_score and the label, as of a model that is asked."""
+def shuffled_features(df: DataFrame, features: list[str], *, repeats: int, seed: int, row_id: str = "row_id") -> dict[tuple[str, int], DataFrame]:
+    """For each feature and repeat the rows with that feature's values dealt anew; under ("", 0) the rows as they are."""
     from .dataset import permuted
 
-    def auc(rows: DataFrame) -> DataFrame:
-        found = scorer(rows)
-        return roc_auc(found if isinstance(found, DataFrame) else rows.withColumn("risk_score", found), label=label)
-
-    base = auc(df).select(F.col("roc_auc").alias("_base"))
-    parts = []
+    out = {("", 0): df}
     for k, f in enumerate(features):
         for r in range(repeats):
-            moved = permuted(df, f, seed=seed + 1000 * k + r, row_id=row_id)
-            parts.append(auc(moved).select(F.lit(f).alias("feature"), "roc_auc"))
-    lost = reduce(lambda a, b: a.unionByName(b), parts).crossJoin(base).withColumn("_lost", F.col("_base") - F.col("roc_auc"))
-    return lost.groupBy("feature").agg(F.avg("_lost").alias("imp_mean"), F.stddev_pop("_lost").alias("imp_std"))
+            out[f, r] = permuted(df, f, seed=seed + 1000 * k + r, row_id=row_id)
+    return out
+
+
+def tagged(variants: dict[tuple[str, int], DataFrame]) -> DataFrame:
+    """All variants' rows, with feature and repeat."""
+    return reduce(lambda a, b: a.unionByName(b), [rows.withColumns({"_feature": F.lit(f), "_repeat": F.lit(r)}) for (f, r), rows in variants.items()])
+
+
+def lost_auc(scored: DataFrame, *, label: str = "label") -> DataFrame:
+    """feature, mean and std (of the population) of what the AUC loses, from _feature, _repeat, risk_score and the label: one exchange for all variants."""
+    aucs = roc_auc(scored, label=label, by=("_feature", "_repeat"))
+    base = aucs.where("_feature = ''").select(F.col("roc_auc").alias("_base"))
+    lost = aucs.where("_feature <> ''").crossJoin(F.broadcast(base)).withColumn("_lost", F.col("_base") - F.col("roc_auc"))
+    return lost.groupBy(F.col("_feature").alias("feature")).agg(F.avg("_lost").alias("imp_mean"), F.stddev_pop("_lost").alias("imp_std"))
+
+
+def importance(df: DataFrame, features: list[str], scorer, *, repeats: int = 5, seed: int = 42, row_id: str = "row_id", label: str = "label") -> DataFrame:
+    """feature, mean and std (of the population): what the AUC loses when a feature's values are dealt anew over the rows. scorer: from a DataFrame to a Column of it."""
+    variants = shuffled_features(df, features, repeats=repeats, seed=seed, row_id=row_id)
+    return lost_auc(tagged({k: v.select(F.col(label), scorer(v).alias("risk_score")) for k, v in variants.items()}), label=label)
 
 
 def bias(df: DataFrame, *, bins: int = 10, signed: bool = False, quantiles: bool = False, score: str = "risk_score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:

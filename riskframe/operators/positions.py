@@ -33,13 +33,17 @@ def range_of(score: Column) -> Column:
     return F.when(odds.isNull(), ends).otherwise(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.floor(odds * STEPS)))).cast("int")
 
 
-def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...] = (), ascending: bool = False) -> DataFrame:
-    """Adds sums of columns from the first row to this one, in the order of a score with one row a value. sums: new name to column."""
+def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...] = (), ascending: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
+    """Adds sums of columns from the first row to this one, in the order of a score with one row a value. sums: new name to column; totals: new name to column, over all rows.
+
+    Both the rows and the starts of ranges come from df. Where it is an aggregate, and all its columns are used later on, Spark computes and exchanges it once for both.
+    """
+    totals = totals or {}
     ranged = df.withColumn("_range", range_of(F.col(score).cast("double")))
     order = (lambda c: F.asc(c)) if ascending else (lambda c: F.desc(c))
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    ends = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sorted({*sums.values(), *totals.values()})])
+    before, every = Window.partitionBy(*by).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    starts = ends.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{n}") for n, c in sums.items()], *[F.sum(f"_t_{c}").over(every).alias(n) for n, c in totals.items()])
     inside = Window.partitionBy(*by, "_range").orderBy(order(score)).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(starts, [*by, "_range"])
     for n in sums:
@@ -50,11 +54,10 @@ def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...]
 def percentiles(df: DataFrame, column: str, shares: list[float], weight: str | None = None) -> DataFrame:
     """share and value: linearly interpolated percentiles of a column, of a column between 0 and 1, exact, from one row a distinct value. weight: how many rows each stands for."""
     counts = df.groupBy(column).agg(F.sum(weight).alias("_n") if weight else F.count(F.lit(1)).alias("_n"))
-    ends = running(counts, column, {"_end": "_n"}, ascending=True)
-    n = counts.agg(F.sum("_n").alias("_all"))
+    ends = running(counts, column, {"_end": "_n"}, ascending=True, totals={"_all": "_n"})
     wanted = F.array(*[F.struct(F.lit(q).alias("share"), (F.lit(q) * (F.col("_all") - 1)).alias("_at")) for q in shares])
     # Each wanted rank meets the rows that hold it, or the rank above it.
-    rows = ends.crossJoin(n).select(column, "_n", "_end", F.explode(wanted).alias("_w")).select(column, "_n", "_end", "_w.*")
+    rows = ends.select(column, "_n", "_end", F.explode(wanted).alias("_w")).select(column, "_n", "_end", "_w.*")
     low = (F.floor("_at") >= F.col("_end") - F.col("_n")) & (F.floor("_at") < F.col("_end"))
     high = (F.ceil("_at") >= F.col("_end") - F.col("_n")) & (F.ceil("_at") < F.col("_end"))
     found = rows.where(low | high).groupBy("share", "_at").agg(F.max(F.when(low, F.col(column))).alias("_lo"), F.max(F.when(high, F.col(column))).alias("_hi"))

@@ -14,8 +14,6 @@ from .threshold import Threshold
 from .valuemap import ColumnToText
 
 KEYS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: More choices than this have too many orders to ask for each.
-MOST_PERMUTED = 4
 
 
 def config_hash(config: dict, length: int = 8) -> str:
@@ -77,8 +75,7 @@ class MultipleChoice:
         return F.try_element_at(table, F.upper(F.trim(answer)))
 
     def permutations(self) -> list[MultipleChoice]:
-        if len(self.choices) > MOST_PERMUTED:
-            raise ValueError(f"{len(self.choices)} choices have too many orders")
+        """The question with its choices in every order: n! of them for n choices, each of which is asked."""
         return [replace(self, choices=p) for p in itertools.permutations(self.choices)]
 
     @classmethod
@@ -118,6 +115,7 @@ class Reasoned:
         return 1.0 if self.thinking else 0.0
 
     def prompt(self, prefill: bool = True) -> str:
+        # How reasoning is asked for.
         return (
             f"Question: {self.text}\n\n"
             "Think step-by-step about the factors that could influence the answer to this question. "

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..operators import dataset, inference, metrics
 from ..operators.prompt import ChatTemplate, PromptConfig, Prompts
 from ..operators.task import MultipleChoice, Question, Task, config_hash
+from ..sources.answers import AnswerStore
+from ..sources.shared import shared_folder
 from ..sources.tables import load_json, save_json, save_results
 
 DEFAULT = "default"
@@ -95,7 +97,9 @@ class Config:
 
 @dataclass
 class Benchmark:
-    """task and data; make_backend is a Model, whose answers are decoded, or a function that builds what gives scores of prompts on each executor. Lazy until run().
+    """task and data; make_backend is a Model, whose answers are decoded, or a function that builds what gives scores of prompts on each executor.
+
+    answers: a folder for what models answer, by prompt, model_name and settings, which later runs and other benchmarks read instead of asking again.
 
     population: a condition that rows of the task meet, applied before the split; such as those of POPULATIONS.
     """
@@ -108,6 +112,8 @@ class Benchmark:
     low: dict | None = None
     template: ChatTemplate = ChatTemplate()
     population: str | None = None
+    answers: str | None = None
+    _own_store: bool = False
 
     def __post_init__(self) -> None:
         if self.population:
@@ -183,17 +189,34 @@ class Benchmark:
         return dataset.balanced_counts([0, 1], shots.n_shots) if shots.compose == "balanced" else dict(zip([0, 1], shots.compose))
 
     def scored(self, rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
-        """row_id and risk_score, the mean over orders; null where the model gave none."""
-        c, prompts = self.config, self.prompts(rows, train)
-        if not isinstance(self.make_backend, inference.Model):
-            return inference.averaged(inference.scored(prompts, self.make_backend, batch=c.batch_size))
-        model, asked = self.make_backend, self.asked()
+        """row_id and risk_score, the mean over orders; null where the model gave none. The model is asked at once, about each prompt that the store has no answer to;
+        the result is a table beside the answers, however often it is read."""
+        return self.ask(self.prompts(rows, train))
+
+    def ask(self, prompts: DataFrame, *by: str) -> DataFrame:
+        """As scored(), of prompts(): one row for each row_id and `by`."""
+        c, asked, model = self.config, self.asked(), self.make_backend
+        if not isinstance(model, inference.Model):
+            answers = self.store().answered(prompts, model, model_name=self.model_name, batch=c.batch_size)
+            return self.store().kept(inference.averaged(answers.withColumn("risk_score", F.col("answer")), "row_id", *by))
         settings = inference.settings_of(asked[0], temperature=c.temperature, context_size=c.context_size, seed=c.seed)
-        answers = inference.answered(prompts, model, settings, batch=c.batch_size)
+        answers = self.store().answered(prompts, model, model_name=self.model_name, settings=settings, batch=c.batch_size)
         score = F.lit(None).cast("double")
         for i, q in enumerate(asked):
             score = F.when(F.col("order_id") == i, inference.risk(F.col("answer"), model, q)).otherwise(score)
-        return inference.averaged(answers.withColumn("risk_score", score))
+        return self.store().kept(inference.averaged(answers.withColumn("risk_score", score), "row_id", *by))
+
+    def store(self) -> AnswerStore:
+        """That of `answers`; without it a new one in the shared folder, which is this benchmark's alone."""
+        if self.answers is None:
+            self.answers, self._own_store = f"{shared_folder(self.data.sparkSession)}/answers-{uuid.uuid4().hex[:12]}", True
+        return AnswerStore(self.answers)
+
+    def close(self) -> None:
+        """Deletes a store that wasn't asked for; what scored() gave can't be read any more."""
+        if self._own_store:
+            self.store().remove(self.data.sparkSession)
+            self.answers, self._own_store = None, False
 
     def scored_splits(self, test: float = 0.1, val: float = 0.1) -> DataFrame:
         """row_id, split and risk_score of all rows, in one pass."""
@@ -211,46 +234,38 @@ class Benchmark:
     def run(self, results_dir: str | None = None, *, fit_threshold: int | None = None, test: float = 0.1, val: float = 0.1, subsampling: float | None = None, predictions: str | None = None) -> dict:
         """Scores the test split and evaluates it; writes results and predictions where asked to. Raises if a row has no score.
 
-        Predictions are always written before they are read: a lost executor doesn't ask the model again. Without a place for them, they go to the shared folder
-        of spark.checkpoint.dir, and stay only while they are needed.
+        Answers are written before they are read: neither a lost executor nor another metric asks the model again. cost: what the store's answers cost, as far as known.
         """
         rows = self.split(test, val)
         rows = dataset.subsample(rows, subsampling) if subsampling else rows
         train, tested = rows.where("split = 'train'"), rows.where("split = 'test'")
         threshold = self.fit_threshold(train, fit_threshold) if fit_threshold else 0.5
         scored = self.labelled(tested, train)
-        kept = predictions or self.shared(f"predictions-{uuid.uuid4().hex[:12]}")
-        scored.write.mode("overwrite").parquet(kept)
-        scored = scored.sparkSession.read.parquet(kept)
+        if predictions:
+            scored.write.mode("overwrite").parquet(predictions)
+            scored = scored.sparkSession.read.parquet(predictions)
         if unscored := scored.where("risk_score IS NULL").count():
-            raise ValueError(f"{unscored} rows have no score; those that have one are in {kept}")
+            raise ValueError(f"{unscored} rows have no score; answers that there are, are in {self.answers}")
         record = metrics.evaluate(scored, threshold=threshold, group="group" if "group" in scored.columns else None).first().asDict()
-        record |= {"model_name": self.model_name, "task": self.task.name, "threshold_fitted_on": fit_threshold or 0, "config": json.loads(json.dumps(asdict(self.config), default=str)) | {"hash": self.config.hash()}}
+        totals = self.store().totals(scored.sparkSession)
+        record |= {"cost": totals["cost"], "n_answers": totals["n_answers"], "model_name": self.model_name, "task": self.task.name, "threshold_fitted_on": fit_threshold or 0, "config": json.loads(json.dumps(asdict(self.config), default=str)) | {"hash": self.config.hash()}}
         if results_dir:
             record["path"] = save_results(record, results_dir, self.model_name, self.config.hash())
-        if not predictions:
-            remove(scored.sparkSession, kept)
+        self.close()
         return record
 
-    def shared(self, name: str) -> str:
-        spark = self.data.sparkSession
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-        return f"{folder.rstrip('/')}/{name}"
-
     def importance(self, results_dir: str | None = None, *, repeats: int = 5, test: float = 0.1, val: float = 0.1, subsampling: float | None = None) -> list[dict]:
         """feature, imp_mean and imp_std, the most important first: what the AUC on the test split loses when a feature's values are dealt anew over its rows. The model is
-        asked 1 + repeats * features times about each row."""
+        asked at most 1 + repeats * features times about each row: once about each prompt, whatever rows and repeats it comes up in."""
         rows = self.split(test, val)
         rows = dataset.subsample(rows, subsampling) if subsampling else rows
         train, tested = rows.where("split = 'train'"), rows.where("split = 'test'")
         label = tested.select("row_id", F.col(f"`{self.task.target_column}`").alias("label"))
-        out = metrics.importance(tested, list(self.task.features), lambda moved: self.scored(moved, train).join(label, "row_id"), repeats=repeats, seed=self.config.seed)
+        variants = metrics.shuffled_features(tested, list(self.task.features), repeats=repeats, seed=self.config.seed)
+        scored = self.ask(metrics.tagged({k: self.prompts(moved, train) for k, moved in variants.items()}), "_feature", "_repeat")
+        out = metrics.lost_auc(scored.join(label, "row_id"))
         found = [r.asDict() for r in out.orderBy(F.desc("imp_mean"), "feature").collect()]
         if results_dir:
             save_json({"model_name": self.model_name, "task": self.task.name, "repeats": repeats, "importance": found}, f"{results_dir}/importance.{self.config.hash()}.json")
+        self.close()
         return found
-
-
-def remove(spark, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

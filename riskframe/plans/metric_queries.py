@@ -183,8 +183,7 @@ def fit_vs_optimal_threshold(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d)
     fitted = metrics.best_threshold(dataset.sample(s, 100)).select(F.col("threshold").alias("fitted"))
     optimal = metrics.best_threshold(s).select(F.col("threshold").alias("optimal"))
-    right = lambda t: F.avg((metrics.binarised(F.col("risk_score"), F.col(t)) == F.col("label")).cast("int"))
-    out = s.crossJoin(fitted).crossJoin(optimal).groupBy("fitted", "optimal").agg(right("fitted").alias("accuracy_fitted"), right("optimal").alias("accuracy_optimal"))
+    out = metrics.accuracy_at(s, fitted.crossJoin(optimal))
     return rounded(out, "fitted", "optimal", "accuracy_fitted", "accuracy_optimal")
 
 

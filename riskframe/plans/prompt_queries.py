@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,6 +184,21 @@ def batch_score_stub(spark: SparkSession, d: str) -> DataFrame:
     return inference.scored(rows, inference.HashBackend).select("row_id", "risk_score")
 
 
+@query("""WITH p AS (SELECT 'Brand ' || p_brand || ' of size ' || CAST(p_size AS VARCHAR) AS prompt FROM part)
+  SELECT prompt, count(*) AS n_rows, 1::BIGINT AS n_asked, (CAST('0x' || substr(md5(prompt), 1, 8) AS BIGINT) % 10000) / 10000e0 AS risk_score FROM p GROUP BY prompt""")
+def stored_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that many parts share, asked by two runs of which the second has what the first had and more: each prompt is asked once."""
+    from ..sources.answers import NUMBERS, AnswerStore, answer_key
+    from ..sources.shared import shared_folder
+
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("Brand "), "p_brand", F.lit(" of size "), F.col("p_size").cast("string")).alias("prompt"))
+    store = AnswerStore(f"{shared_folder(spark)}/stored-answers-{uuid.uuid4().hex[:12]}")
+    store.answered(rows.where("p_partkey % 2 = 0"), inference.HashBackend, model_name="hash")
+    found = store.answered(rows, inference.HashBackend, model_name="hash").groupBy("prompt").agg(F.count(F.lit(1)).alias("n_rows"), F.max("answer").alias("risk_score"))
+    asked = store.batches(spark, NUMBERS).groupBy("_key").agg(F.count(F.lit(1)).alias("n_asked"))
+    return found.join(asked, answer_key(F.col("prompt"), "hash", {}) == F.col("_key")).select("prompt", "n_rows", "n_asked", "risk_score")
+
+
 @query(f"""SELECT p_partkey AS id, regexp_replace(substr({_INFO}, 14), '[.]$', '') AS description, 'No|Yes' AS choices, CASE WHEN p_retailprice > 1000 THEN 'Yes' ELSE 'No' END AS answer, CASE WHEN p_retailprice > 1000 THEN 'B' ELSE 'A' END AS answer_key, CAST(p_retailprice > 1000 AS INT) AS label FROM part""")
 def qa_dataset_export(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.tables import qa_dataset

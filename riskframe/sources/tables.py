@@ -89,19 +89,6 @@ def latex_table(df: DataFrame, digits: int = 2) -> str:
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", " & ".join(df.columns) + r" \\", r"\hline", *body, r"\end{tabular}"])
 
 
-def with_cached_scores(df: DataFrame, cache_path: str, score, row_id: str = "row_id") -> DataFrame:
-    """row_id and risk_score: from the cache where it has the row, else by score(rows), which is added to the cache. A cache may be absent."""
-    spark = df.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
-    if there:
-        old = spark.read.parquet(cache_path).select(row_id, "risk_score")
-        score(df.join(old, row_id, "left_anti")).select(row_id, "risk_score").write.mode("append").parquet(cache_path)
-    else:
-        score(df).select(row_id, "risk_score").write.parquet(cache_path)
-    return spark.read.parquet(cache_path).join(df.select(row_id), row_id, "left_semi")
-
-
 def qa_dataset(df: DataFrame, prompts, question, numeric_question, label: str) -> DataFrame:
     """The published layout: one row a record, with its texts, questions, choices and answer. prompts: a Prompts of the task."""
     q, n = question, numeric_question

@@ -104,19 +104,6 @@ def test_sources(spark, tmp_path):
     assert tables.load_pickle(tmp_path / "p") == {"a": 1}
 
 
-def test_score_cache(spark, data, tmp_path):
-    scored: list[int] = []
-
-    def score(rows):
-        scored.append(rows.count())
-        return rows.withColumn("risk_score", F.lit(0.5))
-
-    path = str(tmp_path / "cache")
-    assert tables.with_cached_scores(data.where("row_id < 50"), path, score).count() == 50
-    assert tables.with_cached_scores(data, path, score).count() == 120
-    assert scored == [50, 70]
-
-
 def test_stream(spark, data, tmp_path):
     rows = data.select("row_id", "a", (F.col("y") > 3).cast("int").alias("label"), F.timestamp_seconds(F.col("row_id") * 60).alias("ts"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))

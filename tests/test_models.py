@@ -19,12 +19,12 @@ from .test_benchmark import TASK
 
 
 class Vector(list):
-    def tolist(self):
-        return list(self)
-
     def float(self):
         return self
 
+    def argmax(self):
+        return max(range(len(self)), key=lambda i: (self[i], -i))
+
 
 class FakeTorch:
     def __init__(self):
@@ -57,38 +57,31 @@ class FakeTokenizer:
 
 
 class FakeModel:
-    """The next token is likely the number of tokens so far, or z."""
+    """The next token is likely the number of tokens so far, or z, which is no answer; far more tokens than that are likelier than an answer's key."""
 
     def __init__(self):
         self.asked, self.how = [], None
 
-    def __call__(self, ids):
-        self.asked.append(ids[0])
-        logits = [5.0 if i == len(ids[0]) % 10 else 9.0 if i == 13 else 0.0 for i in range(14)]
-        return Some(logits=Logits(Vector(logits)))
+    def __call__(self, ids, attention_mask):
+        self.asked.append([sum(m) for m in attention_mask])
+        assert all(len(r) == len(m) == len(ids[0]) and set(r[sum(m) :]) <= {0} for r, m in zip(ids, attention_mask))
+        return Some(logits={(i, at): Vector([5.0 if t == (at + 1) % 10 else 9.0 if t == 13 else 2.0 if t > 13 else 0.0 for t in range(214)]) for i, r in enumerate(ids) for at in range(len(r))})
 
     def generate(self, ids, **how):
         self.how = how
         return [[*ids[0], 7, 5]]
 
 
-class Logits:
-    def __init__(self, x):
-        self.x = x
-
-    def __getitem__(self, at):
-        assert at == (0, -1)
-        return self.x
-
-
 def test_transformers_passes_and_text():
     model, torch = FakeModel(), FakeTorch()
     parts = {"model": model, "tokenizer": FakeTokenizer(), "torch": torch}
-    first, second = models.Transformers(Settings(2, context_size=4, digits_only=True), **parts)(["abcdefgh"])[0]
-    assert max(first, key=first.get) == 4 and max(second, key=second.get) == 5 and set(first) == set(range(11))
-    assert [len(x) for x in model.asked] == [4, 5] and model.asked[1][-1] == 4
+    (first, second), other = models.Transformers(Settings(2, context_size=4, digits_only=True), **parts)(["abcdefgh", "xy"])
+    assert max(first, key=first.get) == 4 and max(second, key=second.get) == 5 and set(first) == set(range(10))  # digits, and not the point
+    assert max(other[0], key=other[0].get) == 2 and max(other[1], key=other[1].get) == 3
+    assert model.asked == [[4, 2], [5, 3]]  # both prompts at once
     free = models.Transformers(Settings(1), **parts)(["abc"])[0][0]
-    assert max(free, key=free.get) == 13 and sum(free.values()) == pytest.approx(1)
+    whole = FakeTorch.softmax(model([[1, 2, 3]], [[1, 1, 1]]).logits[0, 2], -1)
+    assert free == {i: pytest.approx(whole[i]) for i in range(13)}  # keys behind 200 likelier tokens have their share of the whole
     assert models.Transformers(Settings(temperature=0.0, most_tokens=9), text=True, **parts)(["ab"]) == ["75"] and model.how == {"max_new_tokens": 9, "do_sample": False}
     models.Transformers(Settings(temperature=1.0, seed=3), text=True, **parts)(["ab"])
     assert model.how["temperature"] == 1.0 and torch.seeds[-1] == 3
@@ -99,9 +92,15 @@ def test_vllm_token_maps_and_text():
         def generate(self, prompts, parameters):
             self.parameters = parameters
             one = Some(text="Probability: 30%", logprobs=[{1: Some(logprob=math.log(0.25)), 2: Some(logprob=math.log(0.75))}])
+            self.prompts = prompts
             return [Some(outputs=[one]) for _ in prompts]
 
+        def get_tokenizer(self):
+            return Some(encode=lambda t: [ord(c) for c in t], decode=lambda ids, skip_special_tokens: "".join(map(chr, ids)))
+
     engine = Engine()
+    models.Vllm(Settings(1, context_size=3), engine=engine, sampling=dict)(["abcdef", "xy"])
+    assert engine.prompts == ["def", "xy"]
     found = models.Vllm(Settings(1, 0.5, seed=9), engine=engine, sampling=dict)(["a", "b"])
     assert found[0] == [{1: pytest.approx(0.25), 2: pytest.approx(0.75)}] and len(found) == 2
     assert engine.parameters == {"temperature": 0.5, "seed": 9, "max_tokens": 1, "logprobs": models.TOP}
@@ -115,26 +114,28 @@ def answer(text, *positions):
 
 
 def test_web_parameters_costs_and_failures():
-    calls, costs = [], models.Costs()
+    calls = []
 
     def completion(**parameters):
         calls.append(parameters)
         return answer("B", {"A": 0.25, "B": 0.75})
 
-    web = models.Web(Settings(1, 0.0), name="m", completion=completion, supported=lambda _: ["max_tokens", "logprobs", "top_logprobs"], costs=costs)
-    text, passes = web(["x", "y"])[1]
-    assert text == "B" and passes == [{"A": pytest.approx(0.25), "B": pytest.approx(0.75)}] and (costs.total, costs.calls) == (0.5, 2)
+    web = models.Web(Settings(1, 0.0), name="m", completion=completion, supported=lambda _: ["max_tokens", "logprobs", "top_logprobs"])
+    (text, passes), cost = web(["x", "y"])[1]
+    assert text == "B" and passes == [{"A": pytest.approx(0.25), "B": pytest.approx(0.75)}] and cost == 0.25
     assert set(calls[0]) == {"model", "messages", "max_tokens", "logprobs", "top_logprobs"}
     with pytest.raises(ValueError):
         models.Web(Settings(), name="m", completion=completion, supported=lambda _: ["max_tokens"])
     with pytest.raises(ValueError):
         models.Web(Settings(), name="m", completion=lambda **_: answer("B"))(["x"])
-    assert models.Web(Settings(), name="m", text=True, completion=lambda **_: answer("so"))(["x"]) == ["so"]
+    assert models.Web(Settings(), name="m", text=True, completion=lambda **_: answer("so"))(["x"]) == [("so", 0.25)]
 
 
 def test_backends_are_told_apart():
     assert models.resolved("gpt") == "web" and models.resolved(FakeModel()) == "transformers"
     assert models.resolved(type("E", (), {"generate": 1, "get_tokenizer": 1})()) == "vllm"
+    given = models.open_model("", FakeModel(), tokenizer=FakeTokenizer()).make
+    assert given.args[0] == "transformers" and set(given.args[3]) == {"model"}
     m = models.open_model("transformers", "n", tokenizer=FakeTokenizer())
     assert (m.gives, m.size) == ("tokens", 14) and models.open_model("web", "n", tasks=10).per_minute == 500 and models.open_model("vllm", "n", text=True).gives == "text"
     with pytest.raises(ValueError):
