@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hash_key, hash_long, safe_division, valid
-from .positions import percentiles, running
+from .positions import GROUP_STEPS, STEPS, percentiles, range_of, running
 
 EPSILON = 2.220446049250313e-16
 #: Rates by group that fairness compares.
@@ -141,11 +141,13 @@ def ece(df: DataFrame, bins: int = 10, *, positive: bool = False, score: str = "
     return calibration_error(_xy(df, score, label, positive).withColumn("bin", equal_width(F.col("x"), bins)), by)
 
 
-def quantile_bins(df: DataFrame, x: str, bins: int, into: str = "bin", weight: str | None = None) -> DataFrame:
-    """Adds the bin, (lower, upper], between interpolated quantiles; the lowest includes its lower edge. weight: how many rows each stands for."""
-    edges = percentiles(df, x, [i / bins for i in range(1, bins)], weight)
-    listed = edges.agg(F.array_sort(F.collect_list("value")).alias("_edges"))
-    return df.crossJoin(F.broadcast(listed)).withColumn(into, F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
+def quantile_bins(df: DataFrame, x: str, bins: int, into: str = "bin", weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the bin, (lower, upper], between interpolated quantiles; the lowest includes its lower edge. weight: how many rows each stands for. by: each group between its own
+    quantiles; the edges, one row a group, are small where groups are few, as resamples are."""
+    edges = percentiles(df, x, [i / bins for i in range(1, bins)], weight, by, GROUP_STEPS if by else STEPS)
+    listed = edges.groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("_edges"))
+    met = df.join(listed, list(by)) if by else df.crossJoin(F.broadcast(listed))
+    return met.withColumn(into, F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
 
 def ece_quantile(df: DataFrame, bins: int = 10, *, positive: bool = False, score: str = "risk_score", label: str = "label") -> DataFrame:
@@ -183,9 +185,9 @@ def group_rates(df: DataFrame, group: str, threshold: float = 0.5, *, min_share:
     return _large_groups(confusion(df, threshold, score=score, label=label, by=(group,)), min_share)
 
 
-def _large_groups(out: DataFrame, min_share: float) -> DataFrame:
+def _large_groups(out: DataFrame, min_share: float, by: tuple[str, ...] = ()) -> DataFrame:
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    return out.withColumn("n", n).withColumn("_all", F.sum("n").over(Window.partitionBy())).where(F.col("n") >= min_share * F.col("_all")).drop("_all")
+    return out.withColumn("n", n).withColumn("_all", F.sum("n").over(Window.partitionBy(*by))).where(F.col("n") >= min_share * F.col("_all")).drop("_all")
 
 
 def fairness(df: DataFrame, group: str, threshold: float = 0.5, *, min_share: float = 0.04, score: str = "risk_score", label: str = "label") -> DataFrame:
@@ -193,48 +195,48 @@ def fairness(df: DataFrame, group: str, threshold: float = 0.5, *, min_share: fl
     return _fairness_of(group_rates(df, group, threshold, min_share=min_share, score=score, label=label))
 
 
-def _fairness_of(g: DataFrame) -> DataFrame:
-    ends = g.agg(*[f(m).alias(f"{n}_{m}") for m in RATES for n, f in (("lo", F.min), ("hi", F.max))])
+def _fairness_of(g: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    ends = g.groupBy(*by).agg(*[f(m).alias(f"{n}_{m}") for m in RATES for n, f in (("lo", F.min), ("hi", F.max))])
     out = {}
     for m in RATES:
         lo, hi = F.col(f"lo_{m}"), F.col(f"hi_{m}")
         out[f"{m}_ratio"] = F.when(hi == 0, F.lit(0.0)).otherwise(F.try_divide(lo, hi))
         out[f"{m}_diff"] = hi - lo
-    one = ends.select(*[c.alias(n) for n, c in out.items()])
+    one = ends.select(*by, *[c.alias(n) for n, c in out.items()])
     return one.withColumn("equalized_odds_ratio", F.least("fnr_ratio", "fpr_ratio")).withColumn("equalized_odds_diff", F.greatest("tpr_diff", "fpr_diff"))
 
 
 def evaluate(df: DataFrame, *, threshold: float | str = 0.5, group: str | None = None, score: str = "risk_score", label: str = "label", bins: int = 10) -> DataFrame:
     """One row with all metrics. threshold: a number, or 'best' for that of least cost.
 
-    Rows are read and exchanged once, as one row for each group and score; all metrics come from sums over these.
+    Rows are read and exchanged once, as one row for each group and score; all metrics come from sums over these. Rows without a score are counted, and weigh nothing in the rest.
     """
     if threshold == "best":
         threshold = best_threshold(df, score=score, label=label).first()["threshold"]
     by = (group,) if group else ()
     y = F.col(label)
-    cells = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.count(F.lit(1)).alias("_rows"))
-    s, p, n, has = F.col(score), F.col("pos"), F.col("neg"), valid(F.col(score))
+    cells = df.groupBy(*by, F.when(valid(F.col(score)), F.col(score)).alias(score)).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    s, p, n, has = F.col(score), F.col("pos"), F.col("neg"), F.col(score).isNotNull()
     hit, clipped = s >= threshold, F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), s))
     of = lambda when, x: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
     tallies = [of(has & ~hit, n).alias("tn"), of(has & hit, n).alias("fp"), of(has & ~hit, p).alias("fn"), of(has & hit, p).alias("tp")]
-    sums = cells.agg(of(~has, F.col("_rows")).alias("n_unscored"), of(has, p + n).alias("n_samples"), of(has, p).alias("n_positives"), of(has, n).alias("n_negatives"), F.sum(F.when(has, -(p * F.log(clipped) + n * F.log(1 - clipped)))).alias("_log"), F.sum(F.when(has, p * (1 - s) * (1 - s) + n * s * s)).alias("_brier"), *tallies)
+    sums = cells.agg(of(~has, p + n).alias("n_unscored"), of(has, p + n).alias("n_samples"), of(has, p).alias("n_positives"), of(has, n).alias("n_negatives"), F.sum(F.when(has, -(p * F.log(clipped) + n * F.log(1 - clipped)))).alias("_log"), F.sum(F.when(has, p * (1 - s) * (1 - s) + n * s * s)).alias("_brier"), *tallies)
     mean = lambda c: F.try_divide(F.col(c), F.col("n_samples").cast("double"))
     one = sums.select("n_unscored", "n_samples", "n_positives", "n_negatives", mean("_log").alias("log_loss"), mean("_brier").alias("brier_score"), "tn", "fp", "fn", "tp", *[c.alias(x) for x, c in rates().items()])
-    known = cells.where(has)
-    scores = known.groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # A filter would be pushed below the aggregate, and make another of it; so rows without a score stay, with nothing to count.
+    scores = cells.groupBy(score).agg(of(has, p).alias("pos"), of(has, n).alias("neg"))
     sure, right = F.greatest(s, 1 - s), F.when(s >= 0.5, p).otherwise(n)
     sure_cells = scores.select(sure.alias("x"), right.alias("y"), (p + n).alias("w"))
     parts = [one, _points(scores, score).agg(_auc().alias("roc_auc")), _gap_of(sure_cells.withColumn("bin", equal_width(F.col("x"), bins)), "ece"), _gap_of(quantile_bins(sure_cells, "x", bins, weight="w"), "ece_quantile")]
     if group:
-        parts.append(_fairness_of(_large_groups(known.groupBy(group).agg(*tallies).select("*", *[c.alias(x) for x, c in rates().items()]), 0.04)))
+        parts.append(_fairness_of(_large_groups(cells.groupBy(group).agg(*tallies).select("*", *[c.alias(x) for x, c in rates().items()]), 0.04)))
     return reduce(lambda a, b: a.crossJoin(b), parts).withColumn("threshold", F.lit(float(threshold)))
 
 
-def _gap_of(binned: DataFrame, name: str) -> DataFrame:
+def _gap_of(binned: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """From x, y (a sum), w and bin: the mean gap of the bins' averages, weighted by their rows."""
-    gaps = binned.groupBy("bin").agg(F.abs(F.sum(F.col("x") * F.col("w")) - F.sum("y")).alias("gap"), F.sum("w").alias("w"))
-    return gaps.agg(F.try_divide(F.sum("gap"), F.sum("w").cast("double")).alias(name))
+    gaps = binned.groupBy(*by, "bin").agg(F.abs(F.sum(F.col("x") * F.col("w")) - F.sum("y")).alias("gap"), F.sum("w").alias("w"))
+    return gaps.groupBy(*by).agg(F.try_divide(F.sum("gap"), F.sum("w").cast("double")).alias(name))
 
 
 def bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
@@ -247,23 +249,21 @@ def bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: in
     total = own.agg(F.count(F.lit(1)).alias("_n"))
     draws = placed.select((F.col("_p") - 1).alias("_j")).crossJoin(total).select("_n", "_j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("rep"))
     drawn = draws.select("rep", (hash_long(hash_key("rep", "_j", seed)) % F.col("_n") + 1).alias("_p"))
-    cells = drawn.join(placed, "_p").groupBy("rep", score, label).agg(F.count(F.lit(1)).alias("w"))
-    return _summary(replicate_metrics(cells, threshold, score, label), confidence)
+    cells = drawn.join(placed, "_p").groupBy("rep", score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    return _summary(replicate_metrics(cells, threshold, score), confidence)
 
 
 #: A prime, below which weights of resamples are hashed: products of two numbers below it fit into 64 bits.
 PRIME = (1 << 31) - 1
-#: How often a row is drawn at most: a Poisson(1) number is larger once in a billion times.
-MOST_DRAWN = 12
 
 
 def poisson_ends() -> list[int]:
-    """The numbers below PRIME from which on a row is drawn once, twice, and so on."""
-    out, p, total = [], math.exp(-1), 0.0
-    for i in range(MOST_DRAWN):
-        total += p
+    """The numbers below PRIME from which on a row is drawn once, twice, and so on; what is rarer than one of them doesn't come up."""
+    out, p, total = [], math.exp(-1), math.exp(-1)
+    while math.ceil(total * PRIME) < PRIME:
         out.append(math.ceil(total * PRIME))
-        p /= i + 1
+        p /= len(out)
+        total += p
     return out
 
 
@@ -273,47 +273,70 @@ def replicate_factors(k: int, seed: int) -> list[tuple[int, int, int]]:
     return [(1 + number(r, 0) % (PRIME - 1), 1 + number(r, 1) % (PRIME - 1), number(r, 2)) for r in range(k)]
 
 
+#: A score (of one group) with more than a row in so many has its rows dealt over as many tasks.
+HOT_SHARE = 64
+
+
 def poisson_cells(df: DataFrame, *, k: int, seed: int, row_id: str, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """rep, score, label, w: how often rows of that score and label are in each resample, each row a Poisson(1) number of times.
+    """rep, score, pos, neg: how often rows of that score, of either label, are in each resample, each row a Poisson(1) number of times.
 
-    A row has one MD5; its weights in the resamples are linear functions of that modulo a prime, which are independent for any two rows.
+    A row has one MD5; its weights in the resamples are linear functions of that modulo a prime, which are independent for any two rows. Rows are dealt by score before
+    they are multiplied, so that k rows a distinct score are exchanged, not k rows a row; scores that many rows share are dealt over many tasks.
     """
     key = hash_key(row_id, seed)
-    rows = with_scores(df, score).select(*by, score, label, (hash_long(key) % PRIME).alias("_x"), (F.conv(F.substring(key, 16, 15), 16, 10).cast("long") % PRIME).alias("_y"))
+    own = [*by, score]
+    rows = with_scores(df, score).select(*own, F.col(label).cast("long").alias("_label"), (hash_long(key) % PRIME).alias("_x"), (F.conv(F.substring(key, 16, 15), 16, 10).cast("long") % PRIME).alias("_y"))
+    counts = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.withColumn("_hot", F.lit(True)).join(F.broadcast(counts.agg((F.sum("_n") / HOT_SHARE).alias("_most"))), F.col("_n") > F.col("_most"))
+    hot = F.broadcast(hot.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(own)], "_hot"))  # HOT_SHARE rows at most
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(own)])
+    dealt = rows.join(hot, same, "left").withColumn("_salt", F.when(F.col("_hot"), F.col("_x") % HOT_SHARE).otherwise(0)).repartition(*own, "_salt")
     factors = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(c).cast("long").alias("c")) for r, (a, b, c) in enumerate(replicate_factors(k, seed))])
     u = (F.col("_f.a") * F.col("_x") % PRIME + F.col("_f.b") * F.col("_y") % PRIME + F.col("_f.c")) % PRIME
-    weight = reduce(lambda a, b: a + b, [(F.col("_u") >= e).cast("int") for e in poisson_ends()])
-    drawn = rows.withColumn("_f", F.explode(factors)).select(*by, score, label, "_f.rep", u.alias("_u")).where(F.col("_u") >= poisson_ends()[0])
-    return drawn.groupBy("rep", *by, score, label).agg(F.sum(weight).alias("w"))
+    weight = reduce(lambda a, b: a + b, [(F.col("_u") >= e).cast("long") for e in poisson_ends()])
+    drawn = dealt.select(*own, "_label", "_x", "_y", F.explode(factors).alias("_f")).select(*own, "_label", "_f.rep", u.alias("_u")).where(F.col("_u") >= poisson_ends()[0])
+    return drawn.select(*own, "rep", "_label", weight.alias("_w")).groupBy("rep", *own).agg(F.sum(F.col("_w") * F.col("_label")).alias("pos"), F.sum(F.col("_w") * (1 - F.col("_label"))).alias("neg"))
 
 
-def poisson_bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
-    """As bootstrap(), but each row joins each resample a Poisson(1) number of times: no join, and k rows a distinct score are exchanged."""
-    return _summary(replicate_metrics(poisson_cells(df, k=k, seed=seed, row_id=row_id, score=score, label=label), threshold, score, label), confidence)
+def poisson_bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, group: str | None = None, full: bool = False, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
+    """As bootstrap(), but each row joins each resample a Poisson(1) number of times: no join, and k rows a distinct score are exchanged. full: also of the error over
+    quantile bins, which each resample has its own of; group: of fairness over groups, too, so that all metrics of evaluate() have intervals."""
+    cells = poisson_cells(df, k=k, seed=seed, row_id=row_id, score=score, label=label, by=(group,) if group else ())
+    return _summary(replicate_metrics(cells, threshold, score, group=group, full=full or bool(group)), confidence)
 
 
-def replicate_metrics(cells: DataFrame, threshold: float, score: str, label: str, bins: int = 10) -> DataFrame:
-    """rep and a column for each metric, from rep, score, label and w. Resamples are ordered and added up each by itself."""
-    s, y, w = F.col(score), F.col(label), F.col("w")
-    one = cells.groupBy("rep", score).agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
-    p, n = F.col("pos"), F.col("neg")
+def replicate_metrics(cells: DataFrame, threshold: float, score: str, *, group: str | None = None, full: bool = False, bins: int = 10, min_share: float = 0.04) -> DataFrame:
+    """rep and a column for each metric, from rep, group, score, pos and neg. Running sums are over ranges of scores of each resample, so that no task orders a whole one."""
+    s, p, n = F.col(score), F.col("pos"), F.col("neg")
     hit = s >= threshold
     clipped = F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), s))
-    falling = Window.partitionBy("rep").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    one = one.withColumn("_pairs", n * (F.sum("pos").over(falling) - p / 2.0))
+    one = cells.groupBy("rep", score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")) if group else cells
     sure, right = F.greatest(s, 1 - s), F.when(s >= 0.5, p).otherwise(n)
-    binned = one.withColumn("_bin", equal_width(sure, bins)).groupBy("rep", "_bin").agg(
+    # Ordered within ranges; then one row for each range and bin, whose sums over the ranges before are few to add up.
+    falling = Window.partitionBy("rep", "_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("rep").orderBy(F.desc("_range")).rangeBetween(Window.unboundedPreceding, -1)
+    ranged = one.withColumn("_range", range_of(s.cast("double"), GROUP_STEPS)).withColumn("_pairs", n * (F.sum("pos").over(falling) - p / 2.0)).withColumn("_bin", equal_width(sure, bins))
+    parts = ranged.groupBy("rep", "_range", "_bin").agg(
         F.sum((p + n) * sure).alias("_sure"), F.sum(right).alias("_right"), F.sum(p + n).alias("_all"), F.sum("_pairs").alias("_pairs"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
         F.sum(F.when(hit, p).otherwise(0)).alias("tp"), F.sum(F.when(hit, n).otherwise(0)).alias("fp"), F.sum(-(p * F.log(clipped) + n * F.log(1 - clipped))).alias("_log"), F.sum(p * (1 - s) * (1 - s) + n * s * s).alias("_brier"),
     )
-    total = lambda c: F.sum(c).alias(c)
-    sums = binned.groupBy("rep").agg(F.sum(F.abs(F.col("_sure") - F.col("_right"))).alias("_gap"), *[total(c) for c in ("_all", "_pairs", "_p", "_n", "tp", "fp", "_log", "_brier")])
+    parts = parts.withColumn("_pairs", F.col("_pairs") + F.col("_n") * F.coalesce(F.sum("_p").over(above), F.lit(0)))
+    totals = [F.sum(c).alias(c) for c in ("_all", "_pairs", "_p", "_n", "tp", "fp", "_log", "_brier")]
+    sums = parts.groupBy("rep", "_bin").agg(F.abs(F.sum("_sure") - F.sum("_right")).alias("_gap"), *totals).groupBy("rep").agg(F.sum("_gap").alias("_gap"), *totals)
     sums = sums.withColumn("fn", F.col("_p") - F.col("tp")).withColumn("tn", F.col("_n") - F.col("fp"))
     of_all = lambda c: F.col(c) / F.col("_all")
-    return sums.select(
+    out = sums.select(
         "rep", *[c.alias(x) for x, c in rates().items()], of_all("_log").alias("log_loss"), of_all("_brier").alias("brier_score"), of_all("_gap").alias("ece"), of_all("_p").alias("prevalence"),
         F.try_divide("_pairs", (F.col("_p") * F.col("_n")).cast("double")).alias("roc_auc"),
     )
+    if full:
+        sure_cells = one.select("rep", sure.alias("x"), right.alias("y"), (p + n).alias("w"))
+        out = out.join(_gap_of(quantile_bins(sure_cells, "x", bins, weight="w", by=("rep",)), "ece_quantile", ("rep",)), "rep", "left")
+    if group:
+        tallies = [F.sum(F.when(h, x).otherwise(0)).alias(c) for c, h, x in (("tn", ~hit, n), ("fp", hit, n), ("fn", ~hit, p), ("tp", hit, p))]
+        by_group = cells.groupBy("rep", group).agg(*tallies).select("*", *[c.alias(x) for x, c in rates().items()])
+        out = out.join(_fairness_of(_large_groups(by_group, min_share, ("rep",)), ("rep",)), "rep", "left")
+    return out
 
 
 def _summary(reps: DataFrame, confidence: float) -> DataFrame:
@@ -328,7 +351,7 @@ def calibration_interval(df: DataFrame, group: str, *, bins: int = 5, k: int = 2
     binned = quantile_bins(with_scores(df, score), score, bins)
     curve = binned.groupBy(group, "bin").agg(F.avg(score).alias("mean_score"), F.avg(label).alias("share_positive"), F.count(F.lit(1)).alias("n"))
     cells = poisson_cells(binned.withColumn("_one", F.lit(0.0)), k=k, seed=seed, row_id=row_id, score="_one", label=label, by=(group, "bin"))
-    shares = cells.groupBy(group, "bin", "rep").agg((F.sum(F.col("w") * F.col(label)) / F.sum("w")).alias("_share"))
+    shares = cells.select(group, "bin", "rep", (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("_share"))
     tail = (1 - confidence) / 2
     p = F.percentile("_share", F.array(F.lit(tail), F.lit(1 - tail)))
     return curve.join(shares.groupBy(group, "bin").agg(p[0].alias("low"), p[1].alias("high")), [group, "bin"])

@@ -21,25 +21,26 @@ def with_position(df: DataFrame, name: str, key: Column, *ties: str, by: tuple[s
     return ranked.withColumn(name, F.col("_start") + F.col("_in")).drop("_key", "_range", "_in", "_start")
 
 
-#: Ranges in which a score, or what it lacks to 1, doubles; and the farthest range.
-STEPS = 256
-FARTHEST = STEPS * 64
+#: Ranges in which a score, or what it lacks to 1, doubles; and how often it does before the farthest range. Where there are many groups, few ranges of each are many enough.
+STEPS, GROUP_STEPS = 256, 16
+DOUBLINGS = 64
 
 
-def range_of(score: Column) -> Column:
+def range_of(score: Column, steps: int = STEPS) -> Column:
     """A whole number that never falls as the score rises from 0 to 1. Ranges get narrower towards both ends, where the scores of models pile up."""
+    far = steps * DOUBLINGS
     odds = F.when(score < 0.5, F.log2(score) + 1).otherwise(-(F.log2(1 - score) + 1))
-    ends = F.when(score < 0.5, F.lit(-FARTHEST)).otherwise(F.lit(FARTHEST))
-    return F.when(odds.isNull(), ends).otherwise(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.floor(odds * STEPS)))).cast("int")
+    ends = F.when(score < 0.5, F.lit(-far)).otherwise(F.lit(far))
+    return F.when(odds.isNull(), ends).otherwise(F.greatest(F.lit(-far), F.least(F.lit(far), F.floor(odds * steps)))).cast("int")
 
 
-def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...] = (), ascending: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
+def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...] = (), ascending: bool = False, totals: dict[str, str] | None = None, steps: int = STEPS) -> DataFrame:
     """Adds sums of columns from the first row to this one, in the order of a score with one row a value. sums: new name to column; totals: new name to column, over all rows.
 
     Both the rows and the starts of ranges come from df. Where it is an aggregate, and all its columns are used later on, Spark computes and exchanges it once for both.
     """
     totals = totals or {}
-    ranged = df.withColumn("_range", range_of(F.col(score).cast("double")))
+    ranged = df.withColumn("_range", range_of(F.col(score).cast("double"), steps))
     order = (lambda c: F.asc(c)) if ascending else (lambda c: F.desc(c))
     ends = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sorted({*sums.values(), *totals.values()})])
     before, every = Window.partitionBy(*by).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
@@ -51,14 +52,16 @@ def running(df: DataFrame, score: str, sums: dict[str, str], by: tuple[str, ...]
     return out.drop("_range", *[f"_{x}_{n}" for n in sums for x in "si"])
 
 
-def percentiles(df: DataFrame, column: str, shares: list[float], weight: str | None = None) -> DataFrame:
-    """share and value: linearly interpolated percentiles of a column, of a column between 0 and 1, exact, from one row a distinct value. weight: how many rows each stands for."""
-    counts = df.groupBy(column).agg(F.sum(weight).alias("_n") if weight else F.count(F.lit(1)).alias("_n"))
-    ends = running(counts, column, {"_end": "_n"}, ascending=True, totals={"_all": "_n"})
+def percentiles(df: DataFrame, column: str, shares: list[float], weight: str | None = None, by: tuple[str, ...] = (), steps: int = STEPS) -> DataFrame:
+    """share and value: linearly interpolated percentiles of a column between 0 and 1, exact, from one row a distinct value. weight: how many rows each stands for."""
+    counts = df.groupBy(*by, column).agg(F.sum(weight).alias("_n") if weight else F.count(F.lit(1)).alias("_n"))
+    ends = running(counts, column, {"_end": "_n"}, by, ascending=True, totals={"_all": "_n"}, steps=steps)
     wanted = F.array(*[F.struct(F.lit(q).alias("share"), (F.lit(q) * (F.col("_all") - 1)).alias("_at")) for q in shares])
-    # Each wanted rank meets the rows that hold it, or the rank above it.
-    rows = ends.select(column, "_n", "_end", F.explode(wanted).alias("_w")).select(column, "_n", "_end", "_w.*")
+    # Each wanted rank meets the rows that hold it, or the rank above it; rows that hold none go before they are multiplied.
+    first = F.col("_end") - F.col("_n")
+    holds = F.filter(wanted, lambda w: (F.ceil(w["_at"]) >= first) & (F.floor(w["_at"]) < F.col("_end")))
+    rows = ends.select(*by, column, "_n", "_end", F.explode(holds).alias("_w")).select(*by, column, "_n", "_end", "_w.*")
     low = (F.floor("_at") >= F.col("_end") - F.col("_n")) & (F.floor("_at") < F.col("_end"))
     high = (F.ceil("_at") >= F.col("_end") - F.col("_n")) & (F.ceil("_at") < F.col("_end"))
-    found = rows.where(low | high).groupBy("share", "_at").agg(F.max(F.when(low, F.col(column))).alias("_lo"), F.max(F.when(high, F.col(column))).alias("_hi"))
-    return found.select("share", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias("value"))
+    found = rows.where(low | high).groupBy(*by, "share", "_at").agg(F.max(F.when(low, F.col(column))).alias("_lo"), F.max(F.when(high, F.col(column))).alias("_hi"))
+    return found.select(*by, "share", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias("value"))

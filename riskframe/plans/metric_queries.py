@@ -123,6 +123,25 @@ def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.poisson_bootstrap(scores(spark, d)), "mean", "std", "low", "high")
 
 
+_ALL_METRICS = ["log_loss", "brier_score", "ece", "prevalence", "roc_auc", "ece_quantile", *_R, *_FAIR_COLUMNS]
+_EDGES = "[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]"
+
+
+@query(f"""WITH {SCORES}, {_WEIGHTS}, cells AS (SELECT rep, nation, risk_score, label, sum(w) AS w FROM w WHERE w > 0 GROUP BY ALL), {_REPLICATES.split("SELECT metric,")[0].replace("m AS (SELECT", "m0 AS (SELECT rep,").replace(" FROM q)", " FROM q),")}
+  sure AS (SELECT rep, greatest(s,1-s) AS x, CASE WHEN s>=0.5e0 THEN pos ELSE neg END AS y, pos+neg AS w FROM one),
+  edges AS (SELECT rep, quantile_cont(x, {_EDGES}) AS edges FROM (SELECT rep, x, unnest(range(w::BIGINT)) FROM sure) GROUP BY rep),
+  eq AS (SELECT rep, sum(gap)/sum(w) AS ece_quantile FROM (SELECT rep, bin, abs(sum(x*w)-sum(y)) AS gap, sum(w) AS w FROM (SELECT sure.*, len(list_filter(edges, lambda v: v < x)) AS bin FROM sure JOIN edges USING (rep)) GROUP BY ALL) GROUP BY rep),
+  gc AS (SELECT rep, nation, sum(CASE WHEN risk_score<0.5e0 THEN w*(1-label) ELSE 0 END) AS tn, sum(CASE WHEN risk_score>=0.5e0 THEN w*(1-label) ELSE 0 END) AS fp, sum(CASE WHEN risk_score<0.5e0 THEN w*label ELSE 0 END) AS fn, sum(CASE WHEN risk_score>=0.5e0 THEN w*label ELSE 0 END) AS tp FROM cells GROUP BY ALL),
+  kept AS (SELECT rep, {RATES} FROM (SELECT *, sum(tn+fp+fn+tp) OVER (PARTITION BY rep) AS every FROM gc) WHERE tn+fp+fn+tp >= 0.04e0 * every),
+  fr AS (SELECT rep, {_FAIR.replace(",6)", ",15)")} FROM kept GROUP BY rep),
+  m AS (SELECT * EXCLUDE (rep) FROM m0 JOIN eq USING (rep) JOIN (SELECT *, least(fnr_ratio, fpr_ratio) AS equalized_odds_ratio, greatest(tpr_diff, fpr_diff) AS equalized_odds_diff FROM fr) USING (rep))
+  SELECT metric, round(avg(value),6) AS mean, round(stddev_samp(value),6) AS std, round(quantile_cont(value,0.025),6) AS low, round(quantile_cont(value,0.975),6) AS high
+  FROM (UNPIVOT m ON {", ".join(f'"{x}"' for x in _ALL_METRICS)} INTO NAME metric VALUE value) GROUP BY metric""")
+def bootstrap_full(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of all metrics of evaluate(), fairness over groups among them, from 200 resamples."""
+    return rounded(metrics.poisson_bootstrap(scores(spark, d), group="nation"), "mean", "std", "low", "high")
+
+
 @query(f"""WITH {SCORES}, {_WEIGHTS}, e AS (SELECT quantile_cont(risk_score, [0.2,0.4,0.6,0.8]) AS edges FROM scores), b AS (SELECT w.*, len(list_filter(edges, lambda v: v < risk_score)) AS bin FROM w, e),
   share AS (SELECT segment, bin, rep, sum(w*label)/sum(w) AS v FROM b WHERE w > 0 GROUP BY 1, 2, 3), ends AS (SELECT segment, bin, quantile_cont(v,0.025) AS low, quantile_cont(v,0.975) AS high FROM share GROUP BY 1, 2),
   curve AS (SELECT segment, bin, avg(risk_score) AS mean_score, avg(label) AS share_positive, count(*) AS n FROM b WHERE rep = 0 GROUP BY 1, 2)
