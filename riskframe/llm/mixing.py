@@ -5,7 +5,9 @@ are taken in the order of their keys. A source whose target exceeds its size is
 it fits (complete epochs); the rest goes to the first documents, up to the budget.
 
 The documents that the rest goes to are those up to one key, the source's cut. It is found from sums over ranges of
-keys, and within the one range that the budget ends in; texts are never moved, each row meets its source's cut.
+keys, then over parts of the one range that the budget ends in, and within one of these; texts are never moved, each
+row meets its source's cut. Ranges are even in the logarithm of the key: whatever the weights of a source, no range
+has more than about a row in a thousand, and no part more than one in 240,000.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, Scratch, unit_hash
 
 WEIGHTS = (1, 2, 3)
-#: Ranges of keys of a source: one task orders the rows of one range of each.
-BINS = 4096
+#: Ranges of keys in which a key doubles, and parts of a range.
+RANGES, PARTS = 256, 256
+#: The first and last parts reach to 0 and to infinity.
+_FARTHEST = 1 << 24
 #: Sources up to which their table is sent to every task; with more, Spark chooses how to join it.
 BROADCAST_SOURCES = 1 << 16
 
@@ -58,12 +62,14 @@ def source_targets(sizes: DataFrame, share: float = 1.0, most: float = 3.0, weig
     return filled.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _sized(docs: DataFrame, doc_id: str, text: str, source: str, quality: Column | None, seed: int, bins: int) -> DataFrame:
-    """The row as doc, and doc_id, source, size, key, bin: a fixed increasing function of the key, so that equal keys share a bin."""
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, quality: Column | None, seed: int) -> DataFrame:
+    """The row as doc, and doc_id, source, size, key, bin: a function of the key that never falls as it rises, so that equal keys share a bin: the part of a range."""
     weight = letter_share(text) if quality is None else quality
-    key = -F.log(unit_hash(doc_id, F.md5(F.coalesce(F.col(text), F.lit(""))), seed=seed)) / weight
+    drawn = -F.log(unit_hash(doc_id, F.md5(F.coalesce(F.col(text), F.lit(""))), seed=seed))
+    key = F.when((weight > 0) & ~F.isnan(weight.cast("double")), F.try_divide(drawn, weight.cast("double"))).otherwise(F.lit(float("inf")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), key.alias("key"))
-    return rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * (1.0 - F.exp(-F.col("key") * 0.9))).cast("int")))
+    bin = F.greatest(F.lit(-_FARTHEST), F.least(F.lit(_FARTHEST), F.floor(F.log2("key") * (RANGES * PARTS))))
+    return rows.withColumn("bin", F.coalesce(bin, F.lit(-_FARTHEST)).cast("int"))
 
 
 #: A row's place in its source's order. Ties in the key go by doc_id, null last; rows that still tie are alike.
@@ -79,17 +85,22 @@ def _with_sources(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
 def cuts(thin: DataFrame, scratch: Scratch, share: float, most: float, weights: tuple[int, ...]) -> tuple[DataFrame, bool]:
     """One row a source: source, source_size, target, epochs (how often it is taken whole), cut_bin, cut (the place of the last row that is taken once more, of
     those in that bin; null if none is) and ties, most_ties (rows at that place, and how many of them are taken); and whether sources are few."""
-    sums = scratch.table(thin.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, most, weights)
+    whole_range = F.floor(F.col("bin") / PARTS).cast("int")
+    sums = scratch.table(thin.groupBy("source", whole_range.alias("at")).agg(F.sum("size").alias("at_size")), "ranges")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("at_size").alias("source_size")), share, most, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < int(most), F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0.0)))
     targets = scratch.table(targets.select("source", "source_size", "target", "epochs", "rest"), "targets")
     few = targets.count() <= BROADCAST_SOURCES
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bases = _with_sources(sums.withColumn("base", F.coalesce(F.sum("bin_size").over(before), F.lit(0))), targets, few)
-    ends = bases.where((F.col("rest") > 0) & (F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("base") + F.col("bin_size"))).select("source", F.col("bin").alias("cut_bin"), "base", "rest")
-    ends = scratch.table(ends, "ends")
-    # The documents of the one bin that the rest ends in; taken while half of the document or more lies within the rest.
+    before = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ends_in = (F.col("rest") > 0) & (F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("base") + F.col("at_size"))
+    bases = _with_sources(sums.withColumn("base", F.coalesce(F.sum("at_size").over(before), F.lit(0))), targets, few)
+    first = scratch.table(bases.where(ends_in).select("source", F.col("at").alias("cut_range"), "base", "rest"), "first")
+    # Parts of the range that the rest ends in, PARTS a source.
+    parts = _with_sources(thin, first.select("source", "cut_range"), few).where(whole_range == F.col("cut_range")).groupBy("source", F.col("bin").alias("at")).agg(F.sum("size").alias("at_size"))
+    parts = _with_sources(parts.withColumn("_upto", F.coalesce(F.sum("at_size").over(before), F.lit(0))), first, few).withColumn("base", F.col("base") + F.col("_upto"))
+    ends = scratch.table(parts.where(ends_in).select("source", F.col("at").alias("cut_bin"), "base", "rest"), "ends")
+    # The documents of the one part that the rest ends in; taken while half of the document or more lies within the rest.
     run = F.sum("size").over(Window.partitionBy("source").orderBy("key", F.col("doc_id").isNull(), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     inside = _with_sources(thin, ends, few).where("bin = cut_bin").withColumn("taken", F.col("base") + run - F.col("size") / 2.0 <= F.col("rest")).withColumn("place", _place())
     cut = inside.withColumn("cut", F.max(F.when(F.col("taken"), F.col("place"))).over(Window.partitionBy("source"))).where("place = cut")
@@ -112,18 +123,18 @@ def _copied(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     return out.withColumn("copies", F.col("epochs") + F.col("once"))
 
 
-def mix(docs: DataFrame, *, share: float = 1.0, most: float = 3.0, weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None, seed: int = 7, bins: int = BINS, keep: bool = False, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, share: float = 1.0, most: float = 3.0, weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None, seed: int = 7, keep: bool = False, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, key, source_size, target, copies, taken; a row for each row of docs.
 
     Null texts and texts without words have size 0 and cost nothing. A null source is a source. Ties in the key are
     ordered by doc_id; identical rows may swap places, with the same result. A document is taken at most `most` times
-    (a whole number). The budget's last document is taken if that leaves the source nearer to its target. keep: column doc has the row.
+    (a whole number). Documents whose weight is null, not a number or not above 0 come after all others. The budget's last document is taken if that leaves the source nearer to its target. keep: column doc has the row.
 
-    Keys are dealt into `bins` ranges a source, so that a source with a third of all rows is added up by many tasks, and ordered only
-    within the range that its budget ends in.
+    Keys are dealt into ranges, so that a source with a third of all rows is added up by many tasks, and ordered only
+    within the part of one range that its budget ends in.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = _sized(docs, doc_id, text, source, quality, seed, bins)
+    rows = _sized(docs, doc_id, text, source, quality, seed)
     thin = scratch.table(rows.drop("doc"), "sized")
     sources, few = cuts(thin, scratch, share, most, weights)
     out = _copied(rows if keep else thin, sources, few)
