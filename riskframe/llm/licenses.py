@@ -133,8 +133,8 @@ def window_templates(templates: dict[str, list[str]], texts: dict[str, list[str]
 
 
 def window_hits(rows: DataFrame, threshold: float, grams: list[tuple[str, int, list[str], list[int]]]) -> DataFrame:
-    """Replaces _w (words of the whole text) and _s (its distinct bigrams that any template has) by _v, array<struct<rank, start, end, license, notice, dice>>:
-    of each template's windows that reach the threshold those that no better one overlaps, best first. Best is the most shared bigrams times Dice.
+    """Replaces _w (words of the whole text) and _s (its distinct bigrams that any template has) by _v, array<struct<start, rank, end, license, notice, dice>>:
+    windows that reach the threshold and don't overlap, in their order, as swept() keeps the better ones. Better is more shared bigrams times Dice.
 
     A window begins at one of the template's bigrams; the one before it that has none would only lower Dice. Only a text that
     shares m * t / (2 - t) of a template's m bigrams can hold a window of it.
@@ -160,13 +160,32 @@ def window_hits(rows: DataFrame, threshold: float, grams: list[tuple[str, int, l
 
         starts = F.filter(F.transform("_b", lambda b, i: F.when(F.array_contains(t["g"], b), i)), lambda i: i.isNotNull())
         counts = F.flatten(F.transform(starts, lambda i: F.filter(F.transform(t["sizes"], lambda size: measured(i, size)), lambda n: dice(n) >= threshold)))
-        return F.transform(counts, lambda n: F.struct((-n["both"] * dice(n)).alias("rank"), n["start"].alias("start"), n["end"].alias("end"), t["license"].alias("license"), t["notice"].alias("notice"), dice(n).alias("dice")))
+        return F.transform(counts, lambda n: F.struct(n["start"].alias("start"), (-n["both"] * dice(n)).alias("rank"), n["end"].alias("end"), t["license"].alias("license"), t["notice"].alias("notice"), dice(n).alias("dice")))
 
     rows = rows.select(*others, F.array_sort(F.flatten(F.transform("_h", found))).alias("_v"))
-    empty = F.array().cast("array<struct<rank: double, start: int, end: int, license: string, notice: int, dice: double>>")
-    apart = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] <= y["end"]) & (y["start"] <= x["end"]))
-    best = F.aggregate("_v", empty, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return rows.select(*others, F.when(F.size("_v") > 0, best).alias("_v"))
+    rows = rows.select(*others, "_v", swept(F.col("_v")).alias("_k"))
+    # What the sweep gave up for a window that gave way itself, and that nothing kept overlaps.
+    taken = F.flatten(F.transform("_k", lambda k, i: F.concat(F.array_repeat(F.lit(False), k["start"] - F.when(i == 0, 0).otherwise(F.get("_k", i - 1)["end"] + 1)), F.array_repeat(F.lit(True), k["end"] - k["start"] + 1))))
+    rows = rows.select(*others, "_v", "_k", F.when(F.size("_k") > 0, taken).alias("_t1"))
+    free = F.filter("_v", lambda v: ~F.coalesce(F.array_contains(F.slice("_t1", v["start"] + 1, v["end"] - v["start"] + 1), True), F.lit(False)))
+    return rows.select(*others, "_k", F.when(F.size("_k") > 0, free).alias("_f")).select(*others, F.when(F.size("_k") > 0, F.array_sort(F.concat("_k", F.when(F.size("_f") > 0, swept(F.col("_f"))).otherwise(_no_windows())))).alias("_v"))
+
+
+_WINDOW = "struct<start: int, rank: double, end: int, license: string, notice: int, dice: double>"
+
+
+def _no_windows() -> Column:
+    return F.array().cast(f"array<{_WINDOW}>")
+
+
+def swept(windows: Column) -> Column:
+    """Of windows in the order of their starts some that don't overlap: each is compared with the one before it that is still kept, and the better stays, the first of equals.
+    One pass: what is settled is only added to."""
+    nothing = F.struct(_no_windows().alias("done"), F.lit(None).cast(_WINDOW).alias("last"))
+    settled = lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"])))
+    state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
+    apart = lambda a, x: a["last"].isNull() | (a["last"]["end"] < x["start"])
+    return F.aggregate(windows, nothing, lambda a, x: F.when(apart(a, x), state(settled(a), x)).otherwise(state(a["done"], F.when(x["rank"] < a["last"]["rank"], x).otherwise(a["last"]))), settled)
 
 
 def license_hits(docs: DataFrame, *, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, texts: dict[str, list[str]] = TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,11 +241,17 @@ def license_hits(docs: DataFrame, *, threshold: float = THRESHOLD, templates: di
 
     rows = rows.select("doc_id", "_v", F.flatten(F.transform("_g", compared)).alias("_h"))
     # Of the hits in a line the highest; ties go to the first template.
-    lone = F.filter("_h", lambda a, i: ~F.exists(F.transform("_h", lambda b, j: (a["line"] == b["line"]) & ((b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (j < i)))), lambda x: x))
+    ordered = F.array_sort(F.transform("_h", lambda a, i: F.struct(a["line"].alias("line"), (-a["dice"]).alias("less"), i.alias("i"), a["license"].alias("license"), a["notice"].alias("notice"), a["dice"].alias("dice"))))
+    rows = rows.select("doc_id", "_v", ordered.alias("_h"))
+    firsts = F.filter("_h", lambda a, i: (i == 0) | (F.get("_h", i - 1)["line"] != a["line"]))
     none = F.array().cast("array<struct<line: int, license: string, notice: int, dice: double>>")
-    rows = rows.select("doc_id", "_v", F.coalesce(lone, none).alias("hits"))
-    covered = lambda v, h: ((h["line"] == -1) | h["line"].between(v["line"], v["last"])) & ((h["license"] == v["license"]) | (h["dice"] >= v["dice"]))
-    more = F.filter("_v", lambda v: ~F.exists("hits", lambda h: covered(v, h)))
+    rows = rows.select("doc_id", "_v", F.coalesce(F.transform(firsts, lambda a: F.struct(a["line"].alias("line"), a["license"].alias("license"), a["notice"].alias("notice"), a["dice"].alias("dice"))), none).alias("hits"))
+    # By line, -1 first and null where a line is no hit, up to the last that is: a window then meets the hits of its own lines alone.
+    filled = F.flatten(F.transform("hits", lambda h, i: F.concat(F.array_repeat(F.lit(None).cast("struct<line: int, license: string, notice: int, dice: double>"), h["line"] - F.when(i == 0, -1).otherwise(F.get("hits", i - 1)["line"] + 1)), F.array(h))))
+    rows = rows.select("doc_id", "_v", "hits", F.when((F.size("_v") > 0) & (F.size("hits") > 0), filled).alias("_n"))
+    covers = lambda v, h: F.coalesce((h["license"] == v["license"]) | (h["dice"] >= v["dice"]), F.lit(False))
+    covered = lambda v: F.coalesce(covers(v, F.get("_n", F.lit(0))) | F.exists(F.slice("_n", v["line"] + 2, v["last"] - v["line"] + 1), lambda h: covers(v, h)), F.lit(False))
+    more = F.filter("_v", lambda v: ~covered(v))
     more = F.transform(more, lambda v: F.struct(v["line"].alias("line"), v["license"].alias("license"), v["notice"].alias("notice"), v["dice"].alias("dice")))
     return rows.select("doc_id", F.concat("hits", F.coalesce(more, none)).alias("hits"))
 
