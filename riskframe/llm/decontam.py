@@ -198,7 +198,7 @@ def corpus_rarity(docs: DataFrame, text: str, known: dict[int, np.ndarray]) -> d
 
     rows = docs.select(text_bytes(text).alias("t")).mapInArrow(run, "n int, part int, counts binary").repartition(_PARTS, "n", "part").mapInArrow(add, "n int, part int, counts binary")
     out = {n: np.zeros(len(x), np.int64) for n, x in known.items()}
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # _PARTS rows a length, together as large as the block's shingles
         x = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
         out[r["n"]][r["part"] * sizes[r["n"]] :][: len(x)] = x
     return out
@@ -224,6 +224,10 @@ def _pass(rows: DataFrame, index: Index) -> DataFrame:
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, t binary, n_words bigint, spans array<struct<a: int, b: int>>, items array<string>")
 
 
+#: Blocks that a task looks for one after the other in what it has read, before spans and texts are written: each has its worker, and its index.
+CHAINED = 4
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, spans (of word numbers, merged; ends exclusive), items (ids as text, sorted); a row for each row of docs.
 
@@ -244,9 +248,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         wins = windows_of([(r["item"], bytes(r["t"])) for r in own.toLocalIterator()], window)
         known = shingles_of(wins)
         rows = _pass(rows, build_index(wins, known, corpus_rarity(docs, text, known) if known else {}))
-        if k + 1 < blocks:
+        rows = rows.drop("n_words") if k + 1 < blocks else rows
+        if k + 1 < blocks and (k + 1) % CHAINED == 0:
             table = scratch.table(rows, f"block-{k}")
-            rows = table.drop("n_words")
+            rows = table
             if last is not None:
                 scratch.drop(last)
             last = table
