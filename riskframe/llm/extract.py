@@ -382,7 +382,10 @@ def _disguised(page: list[Block], rng: np.random.Generator) -> list[Block]:
 def fit(pages: DataFrame, *, sample: int = SAMPLE, composed: int = COMPOSED, page_id: str = "page_id", html: str = "html") -> Labeller:
     """The labeller that a sample of the pages gives, the same however they are dealt. Without any, it learns from composed pages alone."""
     known = pages.select(F.col(page_id).cast("string").alias("id"), F.col(html).alias("h")).where(F.length("h").between(1, SAMPLE_CHARS))
-    rows = known.orderBy(F.xxhash64("id"), "id", F.md5(F.col("h").cast("binary"))).limit(sample).collect()
+    known = known.withColumn("k", F.concat_ws(":", F.md5(F.coalesce(F.col("id"), F.lit("")).cast("binary")), F.md5(F.col("h").cast("binary"))))
+    # The sample is drawn from hashes; no other page is moved. Rows that repeat a page count once.
+    drawn = known.groupBy("k").agg(F.lit(1).alias("one")).orderBy("k").limit(sample).select("k")
+    rows = sorted(known.join(F.broadcast(drawn), "k").groupBy("k").agg(F.min("h").alias("h")).collect())
     own = [blocks(r["h"]) for r in rows]
     rng = np.random.default_rng(11)
     texts = [b.text.split() for page in own for b in page if len(b.text) > 60 and b.links * 2 < len(b.text)]

@@ -266,10 +266,11 @@ def test_smallest_capacity_is_the_least():
         assert sharding.smallest_capacity(ends, shards) == brute.least_capacity(sizes, shards)
 
 
-@pytest.mark.parametrize("digits", [1, 2, 3])
-def test_sharding_is_minimax(spark, docs, digits):
+@pytest.mark.parametrize(("digits", "fetched"), [(1, 1 << 16), (3, 1 << 16), (1, 3), (2, 0)])
+def test_sharding_is_minimax(spark, docs, digits, fetched):
+    """Blocks are parted until few groups, or none, are left to fetch; a group of copies outweighs all blocks."""
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(1000 + i, "the same text " * 40) for i in range(60)]
-    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), block_digits=digits).collect()
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), block_digits=digits, fetched=fetched).collect()
     sizes = {}
     for _, t in rows:
         k = hashlib.md5(t.encode()).hexdigest()
@@ -285,6 +286,30 @@ def test_sharding_is_minimax(spark, docs, digits):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in keys.values())
 
 
+def test_sharding_fetches_no_more_than_it_says(spark, monkeypatch):
+    """Of a million groups, some as large as half a shard."""
+    size = F.when(F.col("id") % 250000 == 7, 60_000_000).otherwise(F.col("id") % 997 + 1)
+    rows = spark.range(1_000_000).select(F.md5(F.col("id").cast("string")).alias("key"), size.cast("long").alias("size"))
+    left, question = [], sharding._in_question
+
+    def seen(*args):
+        left.append(sum(x.groups for x in question(*args)))
+        return question(*args)
+
+    monkeypatch.setattr(sharding, "_in_question", seen)
+    sizes = dict(rows.collect())
+    keys, ends = sorted(sizes), []
+    for k in keys:
+        ends.append((ends[-1] if ends else 0) + sizes[k])
+    best = sharding.smallest_capacity(ends, 8)
+    cuts, total = sharding.cut_keys(rows, 8, 2, fetched=500)
+    assert total == ends[-1] and left[-1] <= 500 < left[0]
+    shares = [0] * 8
+    for k in keys:
+        shares[sum(k > c for c in cuts[:-1])] += sizes[k]
+    assert max(shares) == best
+
+
 def test_sharding_odd(odd, none):
     rows = sharding.shard(odd).collect()
     assert len(rows) == len(ODD) and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {1}
@@ -570,3 +595,53 @@ def test_mix_of_rows_that_tie(spark):
 def test_mix_odd(odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
     assert mixing.mixed_rows(odd).columns == odd.columns
+
+
+@pytest.mark.parametrize("text", ["all good letters", "12345 67890", "UPPER CASE ONLY"])
+def test_no_range_of_keys_is_large(spark, text):
+    """Whatever the weights of a source."""
+    docs = spark.range(60000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text + " "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    ranges = mixing._sized(docs, "doc_id", "text", "source", None, 7).groupBy(F.floor(F.col("bin") / mixing.PARTS)).count()
+    assert ranges.agg(F.max("count")).first()[0] < 600
+
+
+def test_mixing_with_weights_that_arent_numbers(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "s", w) for i, w in enumerate([1.0, 0.0, None, float("nan"), 1e-300, 1e300, 0.5] * 6)], "doc_id long, text string, source string, w double")
+    found = mixing.mix(docs, share=0.5, quality=F.col("w")).collect()
+    assert len(found) == 42 and sum(r["taken"] for r in found) == pytest.approx(found[0]["target"], abs=5)
+    assert not any(r["taken"] for r in found if r["key"] == float("inf"))
+
+
+def test_licence_scan_of_repeated_notices_takes_time_in_proportion(spark):
+    import time
+
+    notice = next(iter(licenses.TEMPLATES.values()))[0]
+    took = []
+    for lines in (4000, 16000):
+        docs = spark.createDataFrame([(1, "\n".join([notice] * lines))], "doc_id long, text string")
+        began = time.perf_counter()
+        found = licenses.licenses(docs).first()
+        took.append(time.perf_counter() - began)
+        assert found["n_hits"] >= lines
+    assert took[1] < 10 * took[0] + 5
+
+
+def test_windows_that_are_kept_dont_overlap(spark):
+    """Against plain Python: what the sweep keeps, and what nothing kept overlaps."""
+    rng = random.Random(9)
+    rows = [(k, sorted([(a := rng.randrange(80), -float(rng.randrange(1, 9)), a + rng.randrange(1, 12), f"l{rng.randrange(3)}", 0, 0.9) for _ in range(rng.randrange(0, 40))])) for k in range(40)]
+
+    def sweep(windows):
+        done, last = [], None
+        for w in windows:
+            if last is None or last[2] < w[0]:
+                done += [last] if last else []
+                last = w
+            elif w[1] < last[1]:
+                last = w
+        return done + ([last] if last else [])
+
+    df = spark.createDataFrame(rows, "k int, v array<struct<start: int, rank: double, end: int, license: string, notice: int, dice: double>>")
+    for r in df.select("k", licenses.swept(F.col("v")).alias("v")).collect():
+        kept = [tuple(x) for x in r["v"]]
+        assert kept == sweep(dict(rows)[r["k"]]) and all(a[2] < b[0] for a, b in zip(kept, kept[1:]))
