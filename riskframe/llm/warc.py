@@ -16,6 +16,7 @@ import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -44,6 +45,15 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
+def escaped(page_id) -> str:
+    """As a header holds it: one line, whatever the id; numbers stay as they are."""
+    return quote(str(page_id), safe="")
+
+
+def unescaped(value: str | None) -> str | None:
+    return None if value is None else unquote(value)
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, length: int) -> bytes:
     """A gzip member with a response record, or a revisit record without payload where refers_to is given. The record's id is made from its content."""
     revisit = refers_to is not None
@@ -53,10 +63,10 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, len
     head = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", DATE.strftime("%Y-%m-%dT%H:%M:%SZ")),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"),
-        ("X-Page-Id", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(length)),
+        ("X-Payload-Length", str(length)), *([("X-Page-Id", escaped(page_id))] if page_id is not None else []),
     ]
     if revisit:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", escaped(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     out = io.BytesIO()
     with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) as g:
@@ -238,7 +248,7 @@ def read(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame
                         payload = block.partition(b"\r\n\r\n")[2]
                         if hashlib.sha1(block).hexdigest() != head["WARC-Block-Digest"].removeprefix("sha1:") or not revisit and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"{name}: digest of {head['WARC-Record-ID']} differs")
-                        rows.append({"page_id": head["X-Page-Id"] or None, "url": head.get("WARC-Target-URI"), "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(payload), "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": head.get("X-Refers-To-Page-Id"), "payload": None if revisit else payload})
+                        rows.append({"page_id": unescaped(head.get("X-Page-Id")), "url": head.get("WARC-Target-URI"), "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(payload), "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": unescaped(head.get("X-Refers-To-Page-Id")), "payload": None if revisit else payload})
                         if len(rows) >= 64:
                             yield pa.RecordBatch.from_pylist(rows, _READ)
                             rows = []

@@ -645,3 +645,17 @@ def test_windows_that_are_kept_dont_overlap(spark):
     for r in df.select("k", licenses.swept(F.col("v")).alias("v")).collect():
         kept = [tuple(x) for x in r["v"]]
         assert kept == sweep(dict(rows)[r["k"]]) and all(a[2] < b[0] for a, b in zip(kept, kept[1:]))
+
+
+def test_archive_of_odd_ids_and_a_very_long_page(spark, tmp_path):
+    """Ids that are texts come back as they were; so does a page of many megabytes; columns with names of the operator's don't matter."""
+    long = "<p>" + "0123456789abcdef" * 300000 + "</p>"
+    rows = [("a\nb", "u", "x"), ("", "u", "y"), (None, "u", "z"), (" blank ", None, "x"), ("%41", "u", ""), ("é\r", "u", None), ("long", "u", long), ("longer", "u", long)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumns({c: F.lit(1) for c in ("payload", "digest", "keeper", "length", "part", "file")})
+    folder = f"file://{tmp_path}/archives"
+    back = warc.read(warc.write(pages, folder), folder, "string").collect()
+    key = lambda x: (x is None, x or "")
+    assert sorted((r["page_id"] for r in back), key=key) == sorted((r[0] for r in rows), key=key)
+    by_id = {r["page_id"]: r for r in back}
+    assert by_id["longer"]["record_type"] == "response" and by_id["long"]["refers_to"] == "longer" and by_id["long"]["payload_bytes"] == len(long)
+    assert bytes(by_id["longer"]["payload"]).decode() == long and by_id["a\nb"]["record_type"] == "response"
