@@ -61,9 +61,9 @@ def looked_up(df: DataFrame, column: str, table: DataFrame, *, code: str = "code
 
 def region_lookup(df: DataFrame, name: str, areas: DataFrame, *, aliases: dict[str, str] | None = None, regions: dict[str, str] | None = None, into: str = "region") -> DataFrame:
     """Adds the region of an area's name: by alias and exact name; else that of the first area, in file order, whose name holds it; else by
-    the regions given for names; else 'N/A'. areas: position, area, region; a small fixed table.
+    the regions given for names; else 'N/A'. areas: position, area, region.
 
-    Names are looked up once each, so only distinct names meet areas by substring.
+    Names are looked up once each. A name meets only areas that hold its rarest run of three letters, by an index of the areas' runs; these are then compared whole.
     """
     x = F.trim(F.split_part(F.col(name), F.lit("("), F.lit(1)))
     alias = F.create_map(*[F.lit(v) for kv in (aliases or {"": ""}).items() for v in kv])
@@ -73,7 +73,23 @@ def region_lookup(df: DataFrame, name: str, areas: DataFrame, *, aliases: dict[s
     a = areas.select("position", F.col("area").alias("_area"), F.col("region").alias("_region"))
     exact = names.join(a, F.col("_name") == F.col("_area")).groupBy("_name").agg(F.min_by("_region", "position").alias("_exact"))
     rest = names.join(exact, "_name", "left_anti")
-    inside = rest.join(a, F.col("_area").contains(F.col("_name"))).groupBy("_name").agg(F.min_by("_region", "position").alias("_inside"))
+    inside = holding(rest, a).groupBy("_name").agg(F.min_by("_region", "position").alias("_inside"))
     found = names.join(exact, "_name", "left").join(inside, "_name", "left")
     region = F.coalesce("_exact", "_inside", F.try_element_at(given, F.col("_name")), F.lit(UNKNOWN))
     return named.join(found.select(F.col("_name").alias("_n"), region.alias(into)), F.col("_name").eqNullSafe(F.col("_n")), "left").drop("_n", "_name")
+
+
+def _runs(x: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    return F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: x.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(names: DataFrame, areas: DataFrame, run: int = 3) -> DataFrame:
+    """Pairs of a _name and a row of areas whose _area holds it, from distinct names. Names shorter than a run are runs themselves, the empty one too, which all areas hold."""
+    shorter = [_runs(F.col("_area"), n) for n in range(1, run)]
+    index = areas.where("_area IS NOT NULL").withColumn("_run", F.explode(F.concat(_runs(F.col("_area"), run), *shorter, F.array(F.lit("")))))
+    counts = index.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    own = names.where("_name IS NOT NULL").select("_name", F.explode(F.when(F.length("_name") < run, F.array("_name")).otherwise(_runs(F.col("_name"), run))).alias("_run"))
+    # A name with a run that no area has is in none: it takes as few areas as there are, none.
+    rarest = own.join(counts, "_run", "left").groupBy("_name").agg(F.min_by("_run", F.coalesce("_n", F.lit(0))).alias("_run"))
+    return rarest.join(index, "_run").where(F.col("_area").contains(F.col("_name"))).drop("_run")

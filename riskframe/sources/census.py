@@ -327,7 +327,7 @@ def _task(name: str, description: str, target: str, threshold: Threshold, featur
     )
 
 
-# Feature lists are those of the public benchmark by Ding et al. (2021).
+# Questions, choices and descriptions of the tasks. Feature lists are those of the public benchmark by Ding et al. (2021).
 TASKS: dict[str, Task] = {
     x.name: x
     for x in (

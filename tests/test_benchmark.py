@@ -139,3 +139,21 @@ def test_importance_by_the_command_line(data, tmp_path):
     args = ["--model", "hash", "--results-dir", str(tmp_path), "--data", str(tmp_path / "people"), "--task", "ACSMobility", "--use-feature-subset", "AGEP,SEX", "--feature-importance", "--importance-repeats", "1", "--subsampling", "0.9", "--task-population"]
     found = cli.main(args)["importance"]
     assert {f["feature"] for f in found} == {"AGEP", "SEX"}
+
+
+def test_substring_lookup_by_an_index(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda lo, hi: "".join(rng.choice("abcé ") for _ in range(rng.randrange(lo, hi)))
+    areas = [(i, word(0, 12), f"r{i}") for i in range(300)] + [(300, None, "none")]
+    names = list({word(0, 6) for _ in range(200)} | {"", "a", "zzz", "ab(c"}) + [None]
+    a = spark.createDataFrame(areas, "position int, area string, region string")
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    found = valuemap.region_lookup(n, "name", a)
+    for r in found.collect():
+        x = r["name"] if r["name"] is None else r["name"].split("(")[0].strip(" ")
+        exact = [g for _, t, g in areas if t is not None and t == x]
+        held = [g for _, t, g in areas if x is not None and t is not None and x in t]
+        assert r["region"] == (exact or held or ["N/A"])[0], r
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
