@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import hashlib
 import math
 import random
 
@@ -171,7 +172,7 @@ def test_evaluate_agrees_with_each_metric(df):
 def test_resamples_vary_as_they_should(spark):
     """Poisson weights have mean and variance one, independent between rows and between resamples."""
     rows = spark.range(4000).select(F.col("id").alias("row_id"), (F.col("id") / 4000).alias("risk_score"), (F.col("id") % 2).cast("int").alias("label"))
-    w = metrics.poisson_cells(rows, k=30, seed=1, row_id="row_id", score="risk_score", label="label").toPandas().pivot(index="risk_score", columns="rep", values="w").reindex([i / 4000 for i in range(4000)]).fillna(0).to_numpy()
+    w = metrics.poisson_cells(rows, k=30, seed=1, row_id="row_id", score="risk_score", label="label").withColumn("w", F.col("pos") + F.col("neg")).toPandas().pivot(index="risk_score", columns="rep", values="w").reindex([i / 4000 for i in range(4000)]).fillna(0).to_numpy()
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and w.max() >= 6
     c = np.corrcoef(w.T) - np.eye(30)
     assert np.abs(c).max() < 0.08
@@ -179,6 +180,33 @@ def test_resamples_vary_as_they_should(spark):
     assert found["prevalence"]["std"] == pytest.approx(math.sqrt(0.25 / 4000), rel=0.25) and found["prevalence"]["low"] < 0.5 < found["prevalence"]["high"]
 
 
+def test_resamples_of_hot_scores_and_null_groups(spark):
+    """Rows of a score that half of all rows share are dealt over many tasks; sums by resample are those of the rows one by one."""
+    rows = [(i, 0.5 if i % 2 else (i % 40) / 40, i % 3 == 0, None if i % 5 == 0 else f"g{i % 2}") for i in range(600)]
+    df = spark.createDataFrame([(i, s, int(y), g) for i, s, y, g in rows], "row_id long, risk_score double, label int, g string")
+    found = {(r["rep"], r["risk_score"], r["g"]): (r["pos"], r["neg"]) for r in metrics.poisson_cells(df, k=7, seed=3, row_id="row_id", score="risk_score", label="label", by=("g",)).collect()}
+    expected: dict = {}
+    ends = metrics.poisson_ends()
+    for i, s, y, g in rows:
+        h = hashlib.md5(f"{i}:3".encode()).hexdigest()
+        x, z = int(h[:15], 16) % metrics.PRIME, int(h[15:30], 16) % metrics.PRIME
+        for rep, (a, b, c) in enumerate(metrics.replicate_factors(7, 3)):
+            n = sum((a * x % metrics.PRIME + b * z % metrics.PRIME + c) % metrics.PRIME >= e for e in ends)
+            if n:
+                pos, neg = expected.get((rep, s, g), (0, 0))
+                expected[rep, s, g] = (pos + n * y, neg + n * (not y))
+    assert found == expected
+
+
+def test_all_metrics_of_an_evaluation_have_intervals(spark):
+    df = spark.range(500).select(F.col("id").alias("row_id"), ((F.col("id") * 37 % 101) / 101).alias("risk_score"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 2).alias("g"))
+    one = metrics.evaluate(df, group="g").first().asDict()
+    found = {r["metric"]: r for r in metrics.poisson_bootstrap(df, k=40, group="g").collect()}
+    assert set(one) - set(found) == {"n_unscored", "n_samples", "n_positives", "n_negatives", "tn", "fp", "fn", "tp", "threshold"}
+    for m in ("accuracy", "roc_auc", "log_loss", "brier_score", "tpr"):
+        assert found[m]["low"] <= one[m] <= found[m]["high"]
+
+
 def test_logistic_regression_finds_the_optimum(spark, sf):
     """Loss on the test rows as of Newton's method in numpy."""
     from riskframe.plans.baselines import fit_and_score
