@@ -8,13 +8,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import boosting, metrics
 
+#: XGBoost: second-order boosted trees by Spark's aggregates (operators/boosting.py); the others are Spark's own.
 MODELS = {"LR": lambda: LogisticRegression(maxIter=50), "GBM": lambda: GBTClassifier(maxIter=20, seed=42)}
 
 
 def fit_and_score(df: DataFrame, features: list[str], model: str = "LR") -> DataFrame:
-    """Fits on the rows of split train; risk_score of the others. Missing features read -1."""
+    """Fits on the rows of split train; risk_score of the others. Missing features read -1, but to XGBoost, which learns a side for them at each split."""
+    if model == "XGBoost":
+        learned = boosting.fit(df.where("split = 'train'"), features)
+        return df.where("split <> 'train'").withColumn("risk_score", learned.probability())
     filled = df.fillna(-1, subset=features)
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(filled)
     fitted = MODELS[model]().setFeaturesCol("_x").setLabelCol("label").fit(rows.where("split = 'train'"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import uniform
-from ..operators import dataset, metrics
+from ..operators import boosting, dataset, metrics
 from .registry import COUNTS, HASH32, RATES, SCORES, query, rounded, scores, table
 
 _R = list(metrics.RATES)
@@ -269,3 +269,39 @@ def ml_baseline_lr(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     rows = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") > 250000).cast("int").alias("label"), (F.col("o_totalprice") / 600000.0 * uniform("o_orderkey", 9)).alias("a"), uniform("o_orderkey", 7).alias("b"))
     return fit_and_evaluate(dataset.split(rows, test=0.3), ["a", "b"])
+
+
+@query()
+def ml_baseline_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees on features of all order lines, one of them with missing values, evaluated; a test grows the same trees in numpy."""
+    from .baselines import fit_and_evaluate
+
+    key, label = F.concat_ws("-", "l_orderkey", "l_linenumber"), (F.col("l_returnflag") == "R").cast("int")
+    rows = table(spark, d, "lineitem").select(
+        key.alias("row_id"), label.alias("label"), (F.col("l_extendedprice") * (0.4 * label + uniform(key, 9))).alias("a"),
+        F.when(uniform(key, 7) > 0.2 + 0.3 * label, F.col("l_quantity")).alias("b"), F.col("l_discount").alias("c"),
+    )
+    return fit_and_evaluate(dataset.split(rows, test=0.3), ["a", "b", "c"], "XGBoost")
+
+
+_BINNED = """SELECT CAST(l_returnflag = 'R' AS INT) AS y, CASE WHEN l_quantity % 7 > 0 THEN CAST(floor(l_quantity / 5) AS INT) END AS b0, CAST(floor(l_extendedprice / 4000) AS INT) AS b1 FROM lineitem"""
+
+
+@query(f"""WITH r AS (SELECT 1 AS node, b0, b1, CASE WHEN y = 1 THEN -786432 ELSE 262144 END AS g, 196608 AS h FROM ({_BINNED})),
+  x AS (SELECT node, 0 AS feature, b0 AS bin, g, h FROM r UNION ALL SELECT node, 1, b1, g, h FROM r),
+  s AS (SELECT node, feature, bin, sum(g) AS g, sum(h) AS h FROM x GROUP BY 1, 2, 3),
+  t AS (SELECT *, sum(CASE WHEN bin IS NULL THEN 0 ELSE g END) OVER up AS gu, sum(CASE WHEN bin IS NULL THEN 0 ELSE h END) OVER up AS hu, sum(g) OVER w AS ga, sum(h) OVER w AS ha,
+    sum(CASE WHEN bin IS NULL THEN g ELSE 0 END) OVER w AS gn, sum(CASE WHEN bin IS NULL THEN h ELSE 0 END) OVER w AS hn FROM s
+    WINDOW w AS (PARTITION BY node, feature), up AS (PARTITION BY node, feature ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+  c AS (SELECT node, feature, bin, m AS missing_left, CASE WHEN m THEN gu + gn ELSE gu END AS gl, CASE WHEN m THEN hu + hn ELSE hu END AS hl, ga, ha FROM t, (VALUES (true), (false)) v(m) WHERE bin IS NOT NULL),
+  e AS (SELECT *, ga - gl AS gr, ha - hl AS hr FROM c),
+  f AS (SELECT *, ((gl/1048576e0)*(gl/1048576e0)/(hl/1048576e0+1) + (gr/1048576e0)*(gr/1048576e0)/(hr/1048576e0+1) - (ga/1048576e0)*(ga/1048576e0)/(ha/1048576e0+1)) / 2 AS gain FROM e WHERE hl >= 1048576 AND hr >= 1048576)
+  SELECT feature, bin, missing_left, gl::BIGINT AS gl, hl::BIGINT AS hl, gr::BIGINT AS gr, hr::BIGINT AS hr, round(gain, 6) AS gain FROM f WHERE gain > 0""")
+def boosted_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every split of a first node, where each row's score is 0.25, with its gain."""
+    quantity, price, y = F.col("l_quantity"), F.col("l_extendedprice"), (F.col("l_returnflag") == "R").cast("int")
+    rows = table(spark, d, "lineitem").select(
+        F.lit(1).alias("node"), ((0.25 - y) * boosting.UNIT).cast("long").alias("g"), F.lit(int(0.1875 * boosting.UNIT)).cast("long").alias("h"),
+        F.when(quantity % 7 > 0, F.floor(quantity / 5)).alias("b0"), F.floor(price / 4000).alias("b1"),
+    )
+    return rounded(boosting.candidates(boosting.histogram(rows, ["quantity", "price"])).drop("node"), "gain")
