@@ -14,10 +14,10 @@ from ..operators import boosting, metrics
 MODELS = {"LR": lambda: LogisticRegression(maxIter=50), "GBM": lambda: GBTClassifier(maxIter=20, seed=42)}
 
 
-def fit_and_score(df: DataFrame, features: list[str], model: str = "LR") -> DataFrame:
-    """Fits on the rows of split train; risk_score of the others. Missing features read -1, but to XGBoost, which learns a side for them at each split."""
+def fit_and_score(df: DataFrame, features: list[str], model: str = "LR", **settings) -> DataFrame:
+    """Fits on the rows of split train; risk_score of the others. Missing features read -1, but to XGBoost, which learns a side for them at each split. settings: of boosting.fit."""
     if model == "XGBoost":
-        learned = boosting.fit(df.where("split = 'train'"), features)
+        learned = boosting.fit(df.where("split = 'train'"), features, **settings)
         return df.where("split <> 'train'").withColumn("risk_score", learned.probability())
     filled = df.fillna(-1, subset=features)
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(filled)
@@ -26,6 +26,6 @@ def fit_and_score(df: DataFrame, features: list[str], model: str = "LR") -> Data
     return out.withColumn("risk_score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def fit_and_evaluate(df: DataFrame, features: list[str], model: str = "LR") -> DataFrame:
-    scored = fit_and_score(df, features, model)
+def fit_and_evaluate(df: DataFrame, features: list[str], model: str = "LR", **settings) -> DataFrame:
+    scored = fit_and_score(df, features, model, **settings)
     return metrics.losses(scored).crossJoin(metrics.roc_auc(scored)).withColumn("model", F.lit(model))

@@ -281,7 +281,7 @@ def ml_baseline_boosted(spark: SparkSession, d: str) -> DataFrame:
         key.alias("row_id"), label.alias("label"), (F.col("l_extendedprice") * (0.4 * label + uniform(key, 9))).alias("a"),
         F.when(uniform(key, 7) > 0.2 + 0.3 * label, F.col("l_quantity")).alias("b"), F.col("l_discount").alias("c"),
     )
-    return fit_and_evaluate(dataset.split(rows, test=0.3), ["a", "b", "c"], "XGBoost")
+    return fit_and_evaluate(dataset.split(rows, test=0.3), ["a", "b", "c"], "XGBoost", trees=8, depth=3)
 
 
 _BINNED = """SELECT CAST(l_returnflag = 'R' AS INT) AS y, CASE WHEN l_quantity % 7 > 0 THEN CAST(floor(l_quantity / 5) AS INT) END AS b0, CAST(floor(l_extendedprice / 4000) AS INT) AS b1 FROM lineitem"""
