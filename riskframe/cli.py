@@ -7,6 +7,8 @@ import importlib
 import json
 import os
 
+from pyspark.sql import DataFrame
+
 from .plans.benchmark import DEFAULT, Benchmark, Config, FewShot
 
 
@@ -14,7 +16,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--model", required=True, help="module:attribute that makes the backend or is a Model, 'hash', or transformers:NAME, vllm:NAME or web:NAME")
     p.add_argument("--results-dir", required=True)
-    p.add_argument("--data", required=True, help="Parquet table with row_id, the task's features and its target")
+    p.add_argument("--data", required=True, help="Parquet table with row_id, the task's features and its target; with --survey-years a survey's table, as sources.survey writes it")
+    p.add_argument("--survey-years", type=lambda x: [int(y) for y in x.split(",")], help="years of the survey, parted by commas")
+    p.add_argument("--horizon", default="1-Year")
+    p.add_argument("--survey-unit", default="person")
+    p.add_argument("--states", type=lambda x: x.split(","), help="letters of states, parted by commas; all if left out")
     p.add_argument("--task", default="ACSIncome")
     p.add_argument("--few-shot", type=int)
     p.add_argument("--compose-few-shot-examples", default="random", help="random, balanced, or counts such as 2,3")
@@ -88,14 +94,25 @@ def backend(name: str, text: bool = False):
     return getattr(importlib.import_module(module), attribute)
 
 
-def main(argv: list[str] | None = None) -> dict:
+def records(a: argparse.Namespace) -> DataFrame:
+    """The table, or what is asked of a survey's."""
     from .session import session
+    from .sources import survey
+
+    if a.survey_years is None:
+        if a.states:
+            raise ValueError("--states needs --survey-years")
+        return session().read.parquet(a.data)
+    return survey.read_table(session(), a.data, a.survey_years, horizon=a.horizon, unit=a.survey_unit, states=a.states)
+
+
+def main(argv: list[str] | None = None) -> dict:
     from .sources.census import LOW, POPULATIONS, TASKS
 
     a = parser().parse_args(argv)
     task = TASKS[a.task]
     low = {k: v for k, v in LOW.items() if k in task.features}
-    b = Benchmark(task, session().read.parquet(a.data), backend(a.model, a.cot_prompting or a.enable_thinking), config(a), a.model.replace(":", "."), low, population=POPULATIONS[a.task] if a.task_population else None, answers=a.answers)
+    b = Benchmark(task, records(a), backend(a.model, a.cot_prompting or a.enable_thinking), config(a), a.model.replace(":", "."), low, population=POPULATIONS[a.task] if a.task_population else None, answers=a.answers)
     if a.feature_importance:
         found = b.importance(a.results_dir, repeats=a.importance_repeats, subsampling=a.subsampling)
         print(json.dumps(found))

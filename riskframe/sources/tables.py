@@ -18,12 +18,6 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, *, sep:
     return (reader.option("comment", "#") if skip_comments else reader).csv(path)
 
 
-def read_survey(spark: SparkSession, path: str, schema: str | T.StructType | None = None, states: list[str] | None = None) -> DataFrame:
-    """A survey's records: Parquet, or CSV if a schema is given; of the states only, if named (partitions are pruned by ST)."""
-    df = read_csv(spark, path, schema) if schema is not None else spark.read.parquet(path)
-    return df.where(F.col("ST").isin(states)) if states else df
-
-
 def read_codebook(spark: SparkSession, path: str, postprocess=None) -> DataFrame:
     """code and text from lines such as '0010 .Text'; other lines are left out. postprocess: Column to Column."""
     pattern = r"(\d+)\s+[.](.+)$"
