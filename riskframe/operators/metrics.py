@@ -240,16 +240,11 @@ def _gap_of(binned: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
 
 
 def bootstrap(df: DataFrame, *, k: int = 200, confidence: float = 0.95, seed: int = 42, threshold: float = 0.5, row_id: str = "row_id", score: str = "risk_score", label: str = "label") -> DataFrame:
-    """metric, mean, std (of the sample), low and high (percentiles): over k resamples of n rows, drawn with replacement by hashes. Exact, but n * k draws are joined to
-    the rows: for small tables. Larger ones have poisson_bootstrap()."""
-    from .positions import with_position
-
-    own = with_scores(df, score)
-    placed = with_position(own.select(row_id, score, label), "_p", F.md5(F.col(row_id).cast("string")), row_id)
-    total = own.agg(F.count(F.lit(1)).alias("_n"))
-    draws = placed.select((F.col("_p") - 1).alias("_j")).crossJoin(total).select("_n", "_j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("rep"))
-    drawn = draws.select("rep", (hash_long(hash_key("rep", "_j", seed)) % F.col("_n") + 1).alias("_p"))
-    cells = drawn.join(placed, "_p").groupBy("rep", score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    """metric, mean, std (of the sample), low and high (percentiles): over k resamples of n rows, drawn with replacement by hashes. Exact: each of the n * k draws is hashed,
+    which poisson_bootstrap() does once a row; they are exchanged as gaps between sorted places, a byte or two each."""
+    from .resample import resampled_cells
+
+    cells = resampled_cells(with_scores(df, score), k=k, seed=seed, row_id=row_id, score=score, label=label)
     return _summary(replicate_metrics(cells, threshold, score), confidence)
 
 
