@@ -79,15 +79,25 @@ def numeric_tokens(vocabulary: Column, size: int | Column) -> Column:
     return F.map_filter(vocabulary, lambda t, i: (t.rlike("^[0-9]+$") | (t == ".")) & (i < size))
 
 
+def numeric_entries(vocabulary: Column, size: int | Column) -> Column:
+    """i and t: numeric tokens' ids and texts, in the order of the ids."""
+    return F.array_sort(F.transform(F.map_entries(numeric_tokens(vocabulary, size)), lambda e: F.struct(e["value"].alias("i"), e["key"].alias("t"))))
+
+
 def numeric(passes: Column, vocabulary: Column, size: int | Column) -> Column:
     """Each pass gives its likeliest numeric token; together they are the number's digits. Null if that is no number."""
-    entries = F.array_sort(F.transform(F.map_entries(numeric_tokens(vocabulary, size)), lambda e: F.struct(e["value"].alias("i"), e["key"].alias("t"))))
+    return numeric_of(passes, numeric_entries(vocabulary, size))
+
+
+def numeric_of(passes: Column, entries: Column) -> Column:
+    """numeric(), from numeric_entries(). Spark doesn't keep what it computed within these functions, so all that is used again is computed by let()."""
 
-    def likeliest(tokens: Column) -> Column:
-        ranked = F.transform(entries, lambda e: F.struct((-F.coalesce(F.try_element_at(tokens, e["i"]), F.lit(0.0))).alias("m"), e["i"].alias("i"), e["t"].alias("t")))
+    def likeliest(tokens: Column, known: Column) -> Column:
+        ranked = F.transform(known, lambda e: F.struct((-F.coalesce(F.try_element_at(tokens, e["i"]), F.lit(0.0))).alias("m"), e["i"].alias("i"), e["t"].alias("t")))
         return F.array_min(ranked)["t"]
 
-    return stated_probability(F.array_join(F.transform(passes, likeliest), ""))
+    digits = let(entries, lambda known: F.array_join(F.transform(passes, lambda tokens: likeliest(tokens, known)), ""))
+    return let(digits, stated_probability)
 
 
 def reasoned(text: Column, thinking: bool = False) -> Column:

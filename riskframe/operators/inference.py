@@ -152,21 +152,34 @@ def risk(answer: Column, model: Model, question: Question) -> Column:
         return F.when(said.isNotNull(), F.coalesce(decode.reasoned(said, question.thinking), F.lit(0.5)))
     if model.gives == "text":
         return clip01(stated_probability(F.ltrim(answer))) if isinstance(question, Numeric) else F.when(question.key_in(answer).isNotNull(), question.number_of(question.key_in(answer)))
+    clipped = lambda score: F.when(answer.isNotNull(), decode.let(score, clip01))
     if model.gives == "tokens":
-        known = F.from_json(F.lit(json.dumps(useful_tokens(model.vocabulary, model.size))), "map<string,bigint>")
-        size, passes, said = F.lit(model.size).cast("bigint"), answer, None
-    else:
-        # Words stand for themselves: ids are their places among all words of the answer.
-        words = decode.synthetic_vocabulary(answer["passes"])
+        useful = useful_tokens(model.vocabulary, model.size)
+        if isinstance(question, MultipleChoice):
+            known = F.from_json(F.lit(json.dumps(useful)), "map<string,bigint>")
+            return clipped(_decoded(answer, known, F.lit(model.size).cast("bigint"), question))
+        # Known before any row is read: searched for once, not in each row.
+        numbers = sorted((i, t) for t, i in useful.items() if re.fullmatch("[0-9]+|[.]", t))
+        entries = F.from_json(F.lit(json.dumps([{"i": i, "t": t} for i, t in numbers])), "array<struct<i:bigint,t:string>>")
+        return clipped(decode.numeric_of(answer, entries))
+
+    def of_words(words: Column) -> Column:
+        """Words stand for themselves: ids are their places among all words of the answer."""
         known = F.map_from_arrays(words, F.transform(words, lambda _, i: i.cast("bigint")))
         passes = F.transform(answer["passes"], lambda m: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct((F.array_position(words, e["key"]) - 1).alias("key"), e["value"].alias("value")))))
-        size, said = F.size(words).cast("bigint"), answer["text"]
+        return _decoded(passes, known, F.size(words).cast("bigint"), question)
+
+    score = decode.let(decode.synthetic_vocabulary(answer["passes"]), of_words)
+    if not isinstance(question, MultipleChoice):
+        stated = decode.let(F.ltrim(answer["text"]), stated_probability)
+        score = decode.let(F.struct(score.alias("decoded"), stated.alias("stated")), lambda x: reconciled(x["decoded"], x["stated"]))
+    return clipped(score)
+
+
+def _decoded(passes: Column, known: Column, size: Column, question: Question) -> Column:
     if isinstance(question, MultipleChoice):
-        score = decode.multiple_choice(decode.in_range(F.get(passes, F.lit(0)), size), known, question)
-    else:
-        score = decode.numeric(passes, known, size)
-        score = reconciled(score, stated_probability(F.ltrim(said))) if said is not None else score
-    return F.when(answer.isNotNull(), clip01(score))
+        return decode.let(decode.in_range(F.get(passes, F.lit(0)), size), lambda tokens: decode.multiple_choice(tokens, known, question))
+    return decode.numeric(passes, known, size)
 
 
 class HashBackend:
