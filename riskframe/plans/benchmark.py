@@ -150,6 +150,8 @@ class Benchmark:
     def prompts(self, rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
         """row_id, order_id and prompt: one row for each order of the choices if order bias is corrected."""
         c, q = self.config, self.question()
+        # Texts are many times as large as the rows of a narrow table, of which a task may read a great many; tasks are dealt rows before these become texts.
+        rows = rows.repartition("row_id")
         build = Prompts(self.task, PromptConfig.from_dict(c.prompt_variation or {}), self.low)
         if c.few_shot:
             shots = {"order": c.few_shot.example_order, "show_question": c.few_shot.show_question_in_examples}

@@ -57,7 +57,8 @@ class AnswerStore:
         gives = model.gives if model else NUMBERS
         what = asdict(settings) if model and settings else {}
         keyed = df.withColumn("_key", answer_key(F.col(prompt), model_name, what))
-        wanted = keyed.where(F.col(prompt).isNotNull()).select("_key", F.col(prompt).alias("_prompt")).dropDuplicates(["_key"])
+        # Of all columns: a first() of texts would have each task sort all of its prompts.
+        wanted = keyed.where(F.col(prompt).isNotNull()).select("_key", F.col(prompt).alias("_prompt")).distinct()
         known = self.stored(spark, gives).select("_key")
         new = wanted.join(known, "_key", "left_anti")
         if model:
