@@ -205,7 +205,7 @@ def _value(node: Node, places: dict[str, int]) -> Column:
 def fit(df: DataFrame, features: list[str], label: str = "label", *, trees: int = 20, depth: int = 4, rate: float = 0.3, penalty: float = 1.0, least: float = 1.0, bins: int = 64) -> Boosted:
     """Learns a 0/1 label by log loss. Rows without a label are left out; without any labelled row it raises. Columns but the features and the label aren't read.
 
-    Features are binned once and written to the shared folder; margins are added there after every PENDING trees, so that plans stay small and a lost executor
+    Features are binned once and written to the shared folder, as one row with a count for rows of the same bins and label; margins are added there after every PENDING trees, so that plans stay small and a lost executor
     costs no more than its tasks. Growing stops early where no split gains anything. Where all rows have one label, every score is close to it.
     """
     if not features or len(set(features)) < len(features):
@@ -217,8 +217,10 @@ def fit(df: DataFrame, features: list[str], label: str = "label", *, trees: int
     y = F.col(f"`{label}`").cast("int").alias("y")
     written, grown, waiting, places = f"{folder}/0", [], [], {f: i for i, f in enumerate(features)}
     try:
-        known.select(y, F.lit(0.0).alias("margin"), *[bin_of(present(f), ends[f]).cast("short").alias(f"b{i}") for i, f in enumerate(features)]).write.parquet(written)
-        n, ones = spark.read.parquet(written).agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+        binned = known.select(y, *[bin_of(present(f), ends[f]).cast("short").alias(f"b{i}") for i, f in enumerate(features)])
+        # Rows of the same bins and label have the same margin in every tree: one stands for all.
+        binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("margin", F.lit(0.0)).write.parquet(written)
+        n, ones = spark.read.parquet(written).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("y") * F.col("n")), F.lit(0))).first()
         if not n:
             raise ValueError("no labelled rows to learn from")
         share = min(max(ones / n, 1e-6), 1 - 1e-6)
@@ -231,8 +233,8 @@ def fit(df: DataFrame, features: list[str], label: str = "label", *, trees: int
                 remove(spark, before)
                 rows = spark.read.parquet(written)
             p = 1 / (1 + F.exp(-(F.col("margin") + base)))
-            sloped = rows.withColumn("p", p).withColumn("g", F.round((F.col("p") - F.col("y")) * UNIT).cast("long")).withColumn("h", F.round(F.col("p") * (1 - F.col("p")) * UNIT).cast("long"))
-            tree = _grow(sloped.drop("p", "margin", "y"), features, ends, depth, rate, penalty, least)
+            sloped = rows.withColumn("p", p).withColumn("g", F.round((F.col("p") - F.col("y")) * UNIT).cast("long") * F.col("n")).withColumn("h", F.round(F.col("p") * (1 - F.col("p")) * UNIT).cast("long") * F.col("n"))
+            tree = _grow(sloped.drop("p", "margin", "y", "n"), features, ends, depth, rate, penalty, least)
             if tree.feature is None:
                 break
             grown.append(tree)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import boosting, metrics
+from ..sources.shared import remove, shared_folder
 
 #: XGBoost: second-order boosted trees by Spark's aggregates (operators/boosting.py); the others are Spark's own.
 MODELS = {"LR": lambda: LogisticRegression(maxIter=50), "GBM": lambda: GBTClassifier(maxIter=20, seed=42)}
@@ -27,5 +30,15 @@ def fit_and_score(df: DataFrame, features: list[str], model: str = "LR", **setti
 
 
 def fit_and_evaluate(df: DataFrame, features: list[str], model: str = "LR", **settings) -> DataFrame:
-    scored = fit_and_score(df, features, model, **settings)
-    return metrics.losses(scored).crossJoin(metrics.roc_auc(scored)).withColumn("model", F.lit(model))
+    """One row. The split rows are written once and read by all passes of the fit, the scores once for all metrics; both go when the row is there."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex[:12]}"
+    try:
+        df.select(*dict.fromkeys([*features, "label", "split"])).write.partitionBy("split").parquet(f"{folder}/rows")
+        rows = spark.read.parquet(f"{folder}/rows")
+        fit_and_score(rows, features, model, **settings).select("label", "risk_score").write.parquet(f"{folder}/scores")
+        scored = spark.read.parquet(f"{folder}/scores")
+        found = metrics.losses(scored).crossJoin(metrics.roc_auc(scored)).withColumn("model", F.lit(model))
+        return spark.createDataFrame(found.collect(), found.schema)  # one row
+    finally:
+        remove(spark, folder)
